@@ -21,5 +21,21 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_best_fit_packing": op1_best_fit_packing}
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from podium.llm.mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3, share=1.0)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from podium.llm.token_files import read, write
+
+    return read(write(read_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, kind="byte"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_source_mixing": op4_source_mixing,
+    "op9_token_files": op9_token_files,
+}
 ORACLE_SQL: dict[str, str] = {}
