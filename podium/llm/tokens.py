@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,25 @@ import pyarrow.compute as pc
 
 #: Words that a worker keeps; beyond that it starts anew.
 KEPT_WORDS = 800_000
+#: Signs that are cut off a word's end where the tokenizer splits there anyway.
+SIGNS = ".,;:!?%&#*$|"
 #: Words in one call of the library.
 CALL_WORDS = 20_000
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 12_000_000
 
 
+_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+
+def _gather(pool: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of pool in a row, and where each begins (one more entry than runs)."""
+    sizes = end - begin
+    ends = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=ends[1:])
+    return pool[np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
 class Encoder:
     """Encodes columns of texts.
 
@@ -29,6 +43,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word: bool | None = None
+        one = lambda x: self.plain([x])[0]
+        self.lowers = one("ABCXYZ") == one("abcxyz") and one("A1b") == one("a1b")
+        self.cuts = all(one("a" + x) == one("a") + one(x) and one("7" + x + x) == one("7") + one(x + x) for x in SIGNS)
         self.clear()
 
     def clear(self) -> None:
@@ -61,15 +78,22 @@ class Encoder:
         bounds = np.asarray(parts.offsets, dtype=np.int64)
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
+        if self.lowers:  # of plain words alone: a special token's name is as it is
+            words = [w.lower() if w.isascii() and "<|" not in w else w for w in words]
+        stems, tails = words, [""] * len(words)
+        if self.cuts:
+            stems = [s if (s := w.rstrip(SIGNS)) and s[-1] in _PLAIN and "<|" not in w else w for w in words]
+            tails = [w[len(s) :] for w, s in zip(words, stems, strict=True)]
         if len(self.known) + len(words) > KEPT_WORDS:
             self.clear()
-        if new := [w for w in words if w not in self.known]:
+        if new := [w for w in dict.fromkeys(chain(stems, tails)) if w not in self.known]:
             self._add(new)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        at = at[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
-        sizes = self.begin[at + 1] - self.begin[at]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.pool[np.repeat(self.begin[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        both = np.empty(2 * len(words), np.int64)
+        both[::2] = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(words))
+        both[1::2] = np.fromiter(map(self.known.__getitem__, tails), np.int64, len(words))
+        pool, begin = _gather(self.pool, self.begin[both], self.begin[both + 1])
+        at = 2 * np.asarray(coded.indices, dtype=np.int64)
+        ids, ends = _gather(pool, begin[at], begin[at + 2])
         return ids, ends[bounds - bounds[0]]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
