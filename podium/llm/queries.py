@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from podium.llm import rules
 from podium.llm.common import read_table
 
 
@@ -27,6 +28,18 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3, share=1.0)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from podium.llm.rules import judge
+
+    return judge(read_table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from podium.llm.simhash import report
+
+    return report(read_table(spark, sf_dir, "documents"), radius=3, every=50)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from podium.llm.token_files import read, write
 
@@ -36,6 +49,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_source_mixing": op4_source_mixing,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_simhash_fingerprints": op7_simhash_fingerprints,
     "op9_token_files": op9_token_files,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": rules.sql(rounded=False)}
