@@ -40,17 +40,31 @@ def op7_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(read_table(spark, sf_dir, "documents"), radius=3, every=50)
 
 
+def op8_private_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from podium.llm.pii import report
+
+    return report(read_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from podium.llm.token_files import read, write
 
     return read(write(read_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, kind="byte"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from podium.llm.ngram_join import join
+
+    return join(read_table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_source_mixing": op4_source_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_fingerprints": op7_simhash_fingerprints,
+    "op8_private_pseudonyms": op8_private_pseudonyms,
     "op9_token_files": op9_token_files,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": rules.sql(rounded=False)}
