@@ -22,6 +22,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
 
+def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from podium.llm.substring_dedup import dedup
+
+    return dedup(read_table(spark, sf_dir, "documents"), length=200)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from podium.llm.mixing import mix
 
@@ -60,6 +66,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_repeated_bytes": op2_repeated_bytes,
     "op4_source_mixing": op4_source_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_fingerprints": op7_simhash_fingerprints,
