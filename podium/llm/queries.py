@@ -28,12 +28,24 @@ def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(read_table(spark, sf_dir, "documents"), length=200)
 
 
+def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from podium.llm.licenses import scan
+
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from podium.llm.mixing import mix
 
     return mix(read_table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3, share=1.0)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from podium.llm.quality import score
+
+    return score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from podium.llm.rules import judge
 
@@ -67,7 +79,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_repeated_bytes": op2_repeated_bytes,
+    "op3_license_notices": op3_license_notices,
     "op4_source_mixing": op4_source_mixing,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_fingerprints": op7_simhash_fingerprints,
     "op8_private_pseudonyms": op8_private_pseudonyms,
