@@ -82,3 +82,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, sh
     more: Column = (F.col("place") < F.col("threshold")).cast("long")
     both = sized.alias("d").join(limits.alias("s"), F.expr("d.source <=> s.source"))
     return both.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + more)).alias("taken"))
+
+
+def repeat(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0) -> DataFrame:
+    """The documents, all columns as they are, each as often as the mix takes it. Those without words come once: they cost nothing."""
+    sized = materialise(sizes(docs), "sizes")
+    limits = thresholds(sized, targets(sized, weights, most, share))
+    limits = limits.select(F.col("source").alias("_source"), F.col("copies").alias("_copies"), F.col("threshold").alias("_threshold"))
+    placed = docs.select(F.struct("*").alias("_row"), F.col("source").cast("string").alias("_own"), F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 64 - BITS * LEVELS).alias("_place"), (F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == 0).alias("_empty"))
+    both = placed.join(limits, F.col("_own").eqNullSafe(F.col("_source")))
+    times = F.when(F.col("_empty"), 1).otherwise(F.col("_copies") + (F.col("_place") < F.col("_threshold")).cast("long"))
+    return both.filter(times > 0).select("_row.*", F.explode(F.sequence(F.lit(1), times.cast("int"))).alias("_time")).drop("_time")
