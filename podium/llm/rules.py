@@ -18,8 +18,14 @@ from podium.llm.common import materialise
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: Character classes, by name; what is in none of them counts as the last class.
-CLASSES = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "wide": r"[^\x00-\x7F]", "space": r"[\x20\x09-\x0D]", "stop": "[.,;:]"}
+#: Character classes, by name; then come white space, bytes beyond one a character, and all other characters.
+CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "stop": "[.,;:]", "symbol": SYMBOLS, "mark": "[!?]"}
+N_CLASSES = len(CLASSES) + 3
+#: What the classes leave out, in runs.
+PLAIN = r"[a-z\x{80}-\x{10FFFF}\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
+#: Repeated windows up to which a text's windows are looked up in their list; with more of them all windows are sorted.
+FEW_REPEATS = 16
 #: Frequent function words of each language, for the histogram of common words.
 COMMON = {
     "en": ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "on", "with", "as", "was", "by", "be"),
@@ -36,38 +42,52 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
+def words(text: Column) -> Column:
+    """The white-space-separated words of a text that isn't null."""
+    inner = F.btrim(text, F.lit(BLANKS))
+    return F.when(inner != "", F.split(inner, SPACE, -1)).otherwise(F.array().cast("array<string>"))
+
+
+def with_words(df: DataFrame, text: str = "_text") -> DataFrame:
+    """Adds _words, n_words, word_chars and _signs, the text's characters that may be in a class."""
+    df = df.withColumn("_words", words(F.col(text))).withColumn("_signs", F.regexp_replace(F.col(text), PLAIN, ""))
+    return df.withColumn("n_words", F.size("_words").cast("long")).withColumn("word_chars", F.length(F.concat_ws("", "_words")).cast("long")).withColumn("n_symbols", _count(F.col("_signs"), SYMBOLS))
+
+
 def with_base(df: DataFrame, text: str = "_text") -> DataFrame:
-    """Adds the base counts of a text column that isn't null: _words and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    t = F.col(text)
-    df = df.withColumn("_words", F.filter(F.split(t, SPACE, -1), lambda w: w != ""))
-    df = df.withColumn("n_words", F.size("_words").cast("long")).withColumn("word_chars", F.length(F.regexp_replace(t, SPACE, "")).cast("long")).withColumn("n_symbols", _count(t, SYMBOLS))
-    df = df.withColumn("_lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)))
+    """Adds n_dup_lines and n_repeat_words; with_words comes first."""
+    df = df.withColumn("_lines", F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(WORD)))
     df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
-    # windows of three words as (hash, start), sorted, so that equal ones stand together
-    windows = F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 3), lambda i: F.struct(F.xxhash64(*(F.get("_words", i + k) for k in range(3))).alias("h"), i.alias("i")))
-    df = df.withColumn("_sorted", F.when(F.col("n_words") > 3, F.sort_array(windows)).otherwise(F.lit(None)))
-    twice = F.filter("_sorted", lambda x, k: (F.get("_sorted", k - 1)["h"].eqNullSafe(x["h"]) | F.get("_sorted", k + 1)["h"].eqNullSafe(x["h"])))
-    df = df.withColumn("_starts", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("_sorted")
+    places = F.sequence(F.lit(0), F.col("n_words").cast("int") - 3)
+    df = df.withColumn("_hashes", F.when(F.col("n_words") > 3, F.transform(places, lambda i: F.xxhash64(*(F.get("_words", i + k) for k in range(3))))))
+    df = df.withColumn("_sorted", F.sort_array("_hashes"))
+    df = df.withColumn("_twice", F.array_distinct(F.filter("_sorted", lambda x, k: F.get("_sorted", k + 1) == x))).drop("_sorted")
+    # starts of repeated windows: looked up where they are few, else from windows as (hash, start), sorted so that equal ones meet
+    few = F.filter(places, lambda i: F.array_contains("_twice", F.get("_hashes", i)))
+    df = df.withColumn("_pairs", F.when(F.size("_twice") > FEW_REPEATS, F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    many = F.filter("_pairs", lambda x, k: F.get("_pairs", k - 1)["h"].eqNullSafe(x["h"]) | F.get("_pairs", k + 1)["h"].eqNullSafe(x["h"]))
+    df = df.withColumn("_starts", F.when(F.size("_twice") > FEW_REPEATS, F.sort_array(F.transform(many, lambda x: x["i"]))).when(F.size("_twice") > 0, few)).drop("_pairs", "_twice", "_hashes")
     covered = F.aggregate(F.transform("_starts", lambda x, k: F.least(F.lit(3), F.coalesce(F.get("_starts", k + 1) - x, F.lit(3))).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_starts")
 
 
 def with_histograms(df: DataFrame, text: str = "_text", lang: str = "_lang") -> DataFrame:
-    """Adds _classes and _common, arrays of counts; _words must be there."""
-    t, at = F.col(text), F.col(lang)
-    counts = [_count(t, p) for p in CLASSES.values()]
-    df = df.withColumn("_classes", F.array(*counts))
-    df = df.withColumn("_classes", F.concat("_classes", F.array(F.length(t).cast("long") - F.aggregate("_classes", F.lit(0).cast("long"), lambda a, b: a + b))))
+    """Adds _classes and _common, arrays of counts; with_words comes first."""
+    at, n = F.col(lang), F.length(text).cast("long")
+    counts = [_count(F.col("_signs"), p) for p in CLASSES.values()]
+    df = df.withColumn("_classes", F.concat(F.array(*counts), F.array(n - F.col("word_chars"))))
+    rest = n - F.aggregate("_classes", F.lit(0).cast("long"), lambda a, b: a + b)
+    df = df.withColumn("_classes", F.concat("_classes", F.array(F.octet_length(text).cast("long") - n, rest)))
     names = F.coalesce(*(F.when(at == k, F.array(*map(F.lit, v))) for k, v in COMMON.items()), F.array().cast("array<string>"))
     every = sorted(functools.reduce(operator.or_, map(set, COMMON.values())))
     df = df.withColumn("_few", F.filter("_words", lambda w: w.isin(every))).withColumn("_names", names)
     df = df.withColumn("_common", F.transform("_names", lambda n: F.size(F.filter("_few", lambda w: w == n)).cast("long"))).drop("_few", "_names")
-    return df.withColumn("_common", F.concat("_common", F.array(F.col("n_words") - F.aggregate("_common", F.lit(0).cast("long"), lambda a, b: a + b))))
+    return df.withColumn("_common", F.concat("_common", F.array(F.col("n_words") - F.aggregate("_common", F.lit(0).cast("long"), lambda a, b: a + b)))).drop("_signs")
 
 
 def references(features: DataFrame, lang: str = "_lang") -> DataFrame:
     """_lang and the sums of both histograms over all documents of the language: a row a language."""
-    n = {"_classes": len(CLASSES) + 1, "_common": BINS + 1}
+    n = {"_classes": N_CLASSES, "_common": BINS + 1}
     sums = {f"{c}{i}": F.sum(F.get(c, F.lit(i))) for c, m in n.items() for i in range(m)}
     rows = features.groupBy(lang).agg(*(v.alias(k) for k, v in sums.items()))
     return rows.select(F.col(lang).alias("_ref"), *(F.array(*(F.col(f"{c}{i}") for i in range(m))).alias(f"_ref{c}") for c, m in n.items()))
@@ -102,7 +122,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no words and fails. Equal rows are judged alike. An empty table gives no rows; other columns are ignored.
     """
-    features = with_histograms(with_base(_prepared(docs, F.col("doc_id").cast("long").alias("doc_id")))).drop("_text", "_words")
+    features = with_histograms(with_base(with_words(_prepared(docs, F.col("doc_id").cast("long").alias("doc_id"))))).drop("_text", "_words")
     features = materialise(features, "rules")
     out = judged(features, references(features))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
@@ -110,9 +130,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns, whatever their names."""
-    text_only = _prepared(docs).withColumn("_words", F.filter(F.split("_text", SPACE, -1), lambda w: w != "")).withColumn("n_words", F.size("_words").cast("long"))
-    refs = materialise(references(with_histograms(text_only)), "references")
-    whole = with_histograms(with_base(_prepared(docs, F.struct("*").alias("_row"))))
+    refs = materialise(references(with_histograms(with_words(_prepared(docs)))), "references")
+    whole = with_histograms(with_base(with_words(_prepared(docs, F.struct("*").alias("_row")))))
     return judged(whole, refs).filter("kept").select("_row.*")
 
 
@@ -126,7 +145,7 @@ def sql(documents: str = "documents", rounded: bool = True) -> str:
     """The same in DuckDB's SQL."""
     counts = ", ".join(f"len(regexp_extract_all(t, '{p}'))" for p in CLASSES.values())
     names = " ".join(f"WHEN '{k}' THEN {list(v)!r}" for k, v in COMMON.items())
-    n = {"classes": len(CLASSES) + 1, "common": BINS + 1}
+    n = {"classes": N_CLASSES, "common": BINS + 1}
     sums = ", ".join(f"[{', '.join(f'sum({c}[{i + 1}])' for i in range(m))}] AS r{c}" for c, m in n.items())
     far = f"((n_chars >= {LEAST_CHARS} AND class_distance > {MOST_CLASS}) OR (n_words >= {LEAST_WORDS} AND word_distance > {MOST_WORD}))"
     show = "round({0}, 6) AS {0}" if rounded else "{0}"
@@ -136,8 +155,8 @@ w AS (SELECT rid, doc_id, lang, t, length(t) AS n_chars, regexp_extract_all(t, '
 g AS (SELECT rid, i, words[i] || chr(10) || words[i + 1] || chr(10) || words[i + 2] AS g FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
 g2 AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1),
 r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g2) GROUP BY rid),
-c AS (SELECT *, len(words) AS n_words, length(regexp_replace(t, '{SPACE}', '', 'g')) AS word_chars, len(regexp_extract_all(t, '{SYMBOLS}')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, [{counts}] AS cl, CASE lang {names} ELSE [] END AS names FROM w),
-f AS (SELECT * EXCLUDE (cl), list_append(cl, n_chars - list_sum(cl)::BIGINT) AS classes, list_transform(names, lambda n: len(list_filter(words, lambda x: x = n))) AS cm FROM c),
+c AS (SELECT *, len(words) AS n_words, length(regexp_replace(t, '{SPACE}', '', 'g')) AS word_chars, len(regexp_extract_all(t, '{SYMBOLS}')) AS n_symbols, n_chars - length(regexp_replace(t, '{SPACE}', '', 'g')) AS n_space, len(lines) - len(list_distinct(lines)) AS n_dup_lines, [{counts}, n_space] AS cl, CASE lang {names} ELSE [] END AS names FROM w),
+f AS (SELECT * EXCLUDE (cl), list_concat(cl, [strlen(t) - n_chars, n_chars - list_sum(cl)::BIGINT]) AS classes, list_transform(names, lambda n: len(list_filter(words, lambda x: x = n))) AS cm FROM c),
 h AS (SELECT * EXCLUDE (cm), list_append(cm, n_words - coalesce(list_sum(cm), 0)::BIGINT) AS common FROM f),
 refs AS (SELECT lang AS rlang, {sums} FROM h GROUP BY lang),
 j AS (SELECT h.*, coalesce(r.n_repeat_words, 0) AS n_repeat_words, {_sql_distance("classes", "rclasses")} AS class_distance, CASE WHEN len(common) > 1 THEN {_sql_distance("common", "rcommon")} END AS word_distance
