@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from podium.catalog import ordering
+from podium.catalog import alignment, ordering, text
 
-_PARTS = (ordering,)
+_PARTS = (ordering, alignment, text)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
