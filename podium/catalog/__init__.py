@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from podium.catalog import alignment, ordering, text
+from podium.catalog import alignment, evaluation, geometry, ordering, text, vectors
 
-_PARTS = (ordering, alignment, text)
+_PARTS = (ordering, alignment, text, evaluation, vectors, geometry)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
