@@ -1,0 +1,513 @@
+"""The corpus operators against brute force, and on odd inputs: nulls, empty and very long texts, ties, repeated rows, empty tables, further
+columns with clashing names."""
+
+import binascii
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from podium.llm import bwt, graph, licenses, mixing, ngram_join, packing, pii, quality, rules, simhash, substring_dedup, token_files
+from podium.llm.common import read_table, texts
+from podium.llm.queries import QUERIES, tokenizer_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"w{i % 997}" for i in range(30_000))
+SAME = "The same document stands here twice, with more than forty words so that it is long enough to be found by everything that looks for copies of texts. " * 3
+ODD = [
+    (1, None, "en", "a", 0), (2, "", None, None, 0), (3, " \n\t ", "de", "a", 4), (4, LONG, "en", "b", len(LONG)), (5, SAME, "en", "b", len(SAME)),
+    (6, SAME, "en", None, len(SAME)), (7, "one two", "xx", "c", 7), (8, "one two three four", "fr", "c", 18), (9, "Äöü 日本 😀 a%%% b!! 4111111111111111 A.B@c.example.com", "de", "a", 50),
+    (9, "Äöü 日本 😀 a%%% b!! 4111111111111111 A.B@c.example.com", "de", "a", 50), (None, "no id at all", "en", "a", 12),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def clashing(odd):
+    """Further columns named like those that the operators use."""
+    names = ("length", "rank", "piece", "n", "c", "h", "size", "place", "fp", "run", "at", "kept", "_row", "_text", "_words", "spans", "tk", "z", "set_key", "root", "node", "key", "score", "label", "target", "salt", "before")
+    return odd.withColumns({k: F.lit(7) for k in names})
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents")
+
+
+@pytest.fixture(scope="module")
+def plain(docs):
+    return [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+RUNS = {
+    "pack": lambda d: packing.pack(d, tokenizer_path()),
+    "files": lambda d: token_files.read(token_files.write(d, tokenizer_path())),
+    "dedup": lambda d: substring_dedup.dedup(d),
+    "scan": licenses.scan,
+    "mix": mixing.mix,
+    "repeat": mixing.repeat,
+    "judge": rules.judge,
+    "keep_good": rules.keep_good,
+    "simhash": simhash.report,
+    "pii": pii.report,
+    "pseudonymise": pii.pseudonymise,
+    "ngrams": ngram_join.join,
+    "keep_first": ngram_join.keep_first,
+}
+
+
+@pytest.mark.parametrize("name", sorted(RUNS))
+def test_empty_tables(name, empty):
+    assert RUNS[name](empty).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(set(RUNS) - {"keep_good", "keep_first", "repeat", "pack"}))
+def test_a_row_for_each_row(name, odd, clashing):
+    assert sorted(map(repr, (r[0] for r in rows(RUNS[name](odd).select("doc_id"))))) == sorted(repr(r[0]) for r in ODD)
+    assert RUNS[name](clashing).count() == len(ODD)
+
+
+@pytest.mark.parametrize("name", ["keep_good", "keep_first", "repeat", "pseudonymise"])
+def test_columns_stay(name, clashing):
+    assert RUNS[name](clashing).columns == clashing.columns
+
+
+def sorted_rows(df, *columns):
+    return sorted(map(repr, rows(df.select(*columns))))
+
+
+# packing and files
+
+
+def ids_of(texts_):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    return [np.array([*e.ids, 1], "<u4") for e in t.encode_batch([x or "" for x in texts_], add_special_tokens=False)]
+
+
+def check_packed(found, texts_, capacity):
+    want = collections.Counter()
+    for d, x in zip([t[0] for t in texts_], ids_of([t[1] for t in texts_]), strict=True):
+        for k in range(0, len(x), capacity):
+            y = x[k : k + capacity]
+            want[d, k // capacity, k, len(y), zlib.crc32(y.tobytes())] += 1
+    assert collections.Counter(r[:5] for r in found) == want
+    bins = collections.defaultdict(list)
+    for r in found:
+        bins[r[5]].append((r[6], r[3]))
+    for places in bins.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    return len(bins), sum(r[3] for r in found)
+
+
+def test_packing(odd, docs, plain):
+    check_packed(rows(packing.pack(odd, tokenizer_path())), [(r[0], r[1]) for r in ODD], 4096)
+    some = plain[:300]
+    n, total = check_packed(rows(packing.pack(docs.filter(F.col("doc_id").isin([d for d, _ in some])), tokenizer_path())), some, 4096)
+    assert n <= -(-total // 4096) + 2
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plans_hold_every_piece_once(seed):
+    rng = np.random.default_rng(seed)
+    lengths = collections.Counter(rng.integers(1, 65, rng.integers(1, 400)).tolist())
+    made = packing.plan(dict(lengths), 64)
+    held = collections.Counter()
+    for times, own in made:
+        assert times > 0 and sum(own) <= 64
+        for n in own:
+            held[n] += times
+    assert held == lengths
+
+
+def test_exact_complements_are_used():
+    made = packing.plan({60: 3, 40: 2, 20: 1, 10: 4, 30: 1, 25: 4}, 100)
+    assert sum(t for t, x in made if sum(x) == 100) >= 3 and sum(t for t, _ in made) <= 5
+
+
+@pytest.mark.parametrize("kind", ["byte", "bit"])
+def test_files_round_trip(kind, tmp_path, odd):
+    rng = np.random.default_rng(1)
+    own = [(None if i == 0 else i, rng.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32)) for i, n in enumerate((1, 5, 70_000, 0, 200_000))]
+    data = token_files.write_file(own, kind)
+    token_files.to_path(data, str(tmp_path / "ids"))
+    reader = token_files.from_path(str(tmp_path / "ids"))
+    assert [d for d, *_ in reader.documents()] == [d for d, _ in own]
+    assert all((got == want).all() for (_, _, got), (_, want) in zip(reader.documents(), own, strict=True))
+    every = np.concatenate([x for _, x in own])
+    assert (reader.ids(65_000, 140_000) == every[65_000:140_000]).all()
+    with pytest.raises(ValueError):
+        token_files.Reader(data[:-1])
+    found = sorted(rows(token_files.read(token_files.write(odd, tokenizer_path(), kind=kind))), key=lambda r: r[1])
+    want = sorted(zip([r[0] for r in ODD], ids_of([r[1] for r in ODD]), strict=True), key=lambda x: (x[0] is not None, x[0] or 0))
+    at = 0
+    for (d, start, n, crc), (e, x) in zip(found, want, strict=True):
+        assert (d, start, n, crc) == (e, at, len(x), zlib.crc32(x.tobytes()))
+        at += n
+
+
+# repeated bytes
+
+
+def repeated_by_force(texts_, length):
+    raw = [(t or "").encode() for t in texts_]
+    n = collections.Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if n[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((len(b), int(gone.sum()), int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int)])) == 1)), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_interval_expansion(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(40):
+        length = int(rng.integers(1, 12))
+        strings = [bytes(rng.integers(0, int(rng.integers(1, 4)), int(rng.integers(0, 40))).astype(np.uint8)) for _ in range(int(rng.integers(1, 6)))]
+        n = collections.Counter(s[i : i + length] for s in strings for i in range(len(s) - length + 1))
+        assert [x.tolist() for x in bwt.repeated(strings, length)] == [[i for i in range(len(s) - length + 1) if n[s[i : i + length]] > 1] for s in strings]
+
+
+@pytest.mark.parametrize("most_runs", [4096, 1])
+def test_repeated_bytes(spark, odd, monkeypatch, most_runs):
+    monkeypatch.setattr(substring_dedup, "MOST_RUNS", most_runs)  # 1: every anchor goes the way of the very common ones
+    rng = random.Random(3)
+    line = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    shared, runs = line(260), "x" * 900
+    own = [(i, line(rng.randrange(900)) + (shared[: rng.randrange(150, 260)] if i % 3 else "") + line(50) + (runs[: 100 * (i % 5)])) for i in range(40)]
+    own += [(40, own[7][1]), (41, own[7][1] + "y"), (42, None)]
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    found = {r[0]: tuple(r[1:]) for r in rows(substring_dedup.dedup(df))}
+    assert [found[i] for i, _ in own] == repeated_by_force([t for _, t in own], 200)
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = sorted(map(repr, ((r[0], *x) for r, x in zip(ODD, repeated_by_force([r[1] for r in ODD], 200), strict=True))))
+    assert sorted_rows(substring_dedup.dedup(odd), *names) == want
+
+
+def test_kept_bytes(spark):
+    df = spark.createDataFrame([(1, "a" * 50 + SAME), (2, SAME + "b" * 50)], "doc_id long, text string")
+    assert {r["doc_id"]: bytes(r["kept"]) for r in substring_dedup.dedup(df, keep_text=True).collect()} == {1: b"a" * 50, 2: b"b" * 50}
+
+
+# licenses
+
+
+def test_licenses(spark, plain, docs):
+    found = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    for d, t in plain:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m.group(0).lower(), t))
+        hits = sorted((k, label) for phrase, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split())
+        r = found[d]
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(words), len(hits), ",".join(sorted({x for _, x in hits})))
+        assert (r["first_word"], r["last_word"]) == ((hits[0][0], hits[-1][0]) if hits else (None, None))
+        assert set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+
+
+def test_notices_with_edits():
+    notice = "permission is hereby granted, free of charge, to any person obtaining a copy"
+    find = licenses.Searcher().find
+    assert find("x " + notice + " y") == [("mit", 2, 2 + len(notice), 0)]
+    spoilt = "x " + notice.replace("hereby", "herby").replace("charge", "chaarge").replace("person", "p3rson")
+    assert [(a, n) for a, *_, n in find(spoilt)] == [("mit", 3)]
+    assert find("permission to copy is not given") == []
+    for t in licenses.NOTICES:  # each piece alone leads to the notice
+        assert len(licenses.seeds(t)) == licenses.edits(t) + 1 and "".join(p for _, p in licenses.seeds(t)) == t
+
+
+# mixing
+
+
+def test_mix(docs, plain):
+    found = rows(mixing.mix(docs))
+    sizes = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for d, t in plain}
+    assert {r[0]: r[1] for r in found} == sizes and rows(mixing.mix(docs)) is not None
+    source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    own, taken, target = collections.Counter(), collections.Counter(), {}
+    for d, size, source_size, t, k in found:
+        own[source[d]] += size
+        taken[source[d]] += k
+        target[source[d]] = t
+        assert k % max(size, 1) == 0 and 0 <= k <= 3 * size
+    names = sorted(own)
+    weights = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
+    left, free, want = sum(own.values()), set(names), {}
+    while True:  # level by level
+        share = {s: left * weights[s] / sum(weights[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * own[s]}
+        if not over:
+            want |= share
+            break
+        for s in over:
+            want[s] = 3 * own[s]
+            left -= want[s]
+        free -= over
+    largest = max(sizes.values())
+    for s in names:
+        assert abs(want[s] - target[s]) < 1e-6 * want[s] + 1e-6 and abs(taken[s] - target[s]) <= largest
+    assert sorted(found) == sorted(rows(mixing.mix(docs.repartition(3))))
+
+
+def test_mix_of_odd_rows(odd):
+    found = {r["doc_id"]: r for r in mixing.mix(odd).collect()}
+    assert found[1]["taken"] == 0 and found[2]["source_size"] == found[6]["source_size"] > 0
+    assert mixing.repeat(odd).filter("doc_id = 1").count() == 1
+
+
+# classifier
+
+
+def test_classifier(spark, sf_dir, odd, empty):
+    docs, labels = read_table(spark, "/root/testdata/sf0.1", "documents"), read_table(spark, "/root/testdata/sf0.1", "labels")
+    found = quality.score(docs, labels).join(labels, "doc_id").toPandas()
+    assert (found["held_out"] == [binascii.crc32(str(d).encode()) % 5 == 0 for d in found["doc_id"]]).all()
+    held = found[found["held_out"]]
+    assert (held["predicted"] == held["quality"]).mean() > 0.97
+    out = quality.score(odd, labels).toPandas()
+    assert len(out) == len(ODD) and out["score"].between(0, 1).all()
+    assert quality.score(empty, labels).count() == 0
+    assert set(quality.score(odd, labels.filter("doc_id < 0")).toPandas()["score"]) == {0.5}
+
+
+def test_held_out_rows_teach_nothing(spark):
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "bad signs %%% there") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    spoilt = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert (quality.train(docs, labels) == quality.train(docs, spoilt)).all()
+
+
+# rules
+
+
+def test_rules_on_odd_rows(spark, odd):
+    found = {r["doc_id"]: r for r in rules.judge(odd).collect()}
+    for d, t, *_ in ODD:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        three = collections.Counter(zip(words, words[1:], words[2:], strict=False))
+        hit = {k + j for k in range(len(words) - 2) if three[tuple(words[k : k + 3])] > 1 for j in range(3)}
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit))
+        assert tuple(found[d])[1:6] == want, d
+        assert found[d]["base_failed"] == (len(words) < 50 or 100 * len(hit) > 50 * len(words))
+        assert not (found[d]["base_failed"] and found[d]["kept"])
+
+
+def test_many_and_few_repeats_agree(spark, monkeypatch, docs):
+    few = sorted(rows(rules.judge(docs)))
+    monkeypatch.setattr(rules, "FEW_REPEATS", 0)
+    assert sorted(rows(rules.judge(docs))) == few
+
+
+def test_good_documents_stay(spark):
+    docs = read_table(spark, "/root/testdata/sf0.1", "documents")
+    labels = read_table(spark, "/root/testdata/sf0.1", "labels")
+    both = rules.judge(docs).filter("NOT base_failed").join(labels, "doc_id").toPandas()
+    assert both[both["quality"] == 1]["kept"].mean() > 0.995 and both[both["quality"] == 0]["kept"].mean() < 0.3
+    assert sorted(r[0] for r in rows(rules.keep_good(docs).select("doc_id"))) == sorted(r[0] for r in rows(rules.judge(docs).filter("kept").select("doc_id")))
+
+
+# fingerprints
+
+
+def simhash_by_hand(text):
+    words = ["", *re.findall(r"[^\x20\x09-\x0D]+", text), ""]
+    votes = np.zeros(64, int)
+    for a, b in zip(words, words[1:], strict=False):
+        h = xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))
+        votes += np.array([h >> j & 1 for j in range(64)])
+    return sum(1 << j for j in range(64) if 2 * votes[j] > len(words) - 1)
+
+
+@pytest.mark.parametrize("run", [1000, 40])
+def test_fingerprints(docs, plain, monkeypatch, run):
+    monkeypatch.setattr(simhash, "RUN", run)
+    found = sorted(rows(simhash.report(docs)))
+    plain = sorted(plain)
+    assert [r[0] for r in found] == [d for d, _ in plain]
+    fps = np.array([int(r[3], 16) for r in found], np.uint64)
+    for i, (d, t) in enumerate(plain):
+        nxt, k = plain[(i + 1) % len(plain)][1], len(t) // 4
+        new = t[: len(t) - k] + nxt[:k]
+        r = found[i]
+        assert r[1] == len(t) and r[2] == hashlib.sha256(new.encode()).hexdigest()
+        if i % 25 == 0:
+            assert int(r[3], 16) == simhash_by_hand(t) and int(r[4], 16) == simhash_by_hand(new)
+        assert abs(r[6] - (1 - bin(int(fps[i]) ^ int(fps[(i + 1) % len(fps)])).count("1") / 64)) < 1e-12
+        assert r[7] == (int((np.bitwise_count(fps ^ fps[i]) <= 3).sum()) - 1 if d % 50 == 0 else None)
+
+
+def test_fingerprints_of_odd_rows(odd):
+    found = {}
+    for r in simhash.report(odd).collect():
+        found.setdefault(r["doc_id"], []).append(r["fingerprint"])
+    assert found[1] == found[2] == found[3] and found[5] == found[6] and len(found[9]) == 2
+
+
+def test_block_tables_find_all_near(spark):
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    near = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, 6))) for b in base for _ in range(3)]
+    signed = [x - (1 << 64) if x >> 63 else x for x in [*base, *near]]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    for radius in (1, 3):
+        want = {(a, b) for a in set(signed) for b in set(signed) if bin((a ^ b) & (2**64 - 1)).count("1") <= radius}
+        assert {(r["query"], r["fp"]) for r in simhash.near(df, df, radius).collect()} == want
+
+
+# pseudonyms
+
+
+def test_pseudonyms(spark):
+    text = 'call +1 (743) 555-3824 or 743-555-3824, cards 4111111111111111 4111-1111-1111-1111 4111111111111112; ip 227.5.221.1. and 300.1.1.1 mail bob@mail5.example.com. ssn 123-45-6789 000-12-3456 on 2024-02-29, not 2023-02-29; token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end'
+    df = spark.createDataFrame([(1, text), (2, "again 4111111111111111, bob@mail5.example.com"), (3, None), (4, "clean 12 text 1234567890123456")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.report(df).collect()}
+    a = found[1]
+    assert [a[f"n_{k}"] for k in ("email", "secret", "ssn", "date", "phone", "ip", "card")] == [1, 1, 1, 1, 2, 1, 2]
+    for old in ("743) 555", "4111111111111111", "227.5.221.1", "bob@", "123-45-6789", "2024-02-29", "04dbebab"):
+        assert old not in a["text"]
+    for kept in ("4111111111111112", "300.1.1.1", "000-12-3456", "2023-02-29", "+1 ("):
+        assert kept in a["text"]
+    card = re.search(r"cards (\d{16}) ([\d-]{19})", a["text"])
+    assert card[1] == card[2].replace("-", "") and card[1] in found[2]["text"]
+    assert sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(card[1]))) % 10 == 0
+    assert re.search(r"on \d{4}-\d{2}-\d{2},", a["text"]) and found[3]["text"] is None and found[4]["text"] == "clean 12 text 1234567890123456"
+    other = pii.report(df, key="another").filter("doc_id = 2").first()["text"]
+    assert other != found[2]["text"]
+
+
+@pytest.mark.parametrize(("most_a", "most_b"), [(7, 5), (10, 100), (200, 365)])
+def test_feistel_is_a_permutation(spark, most_a, most_b):
+    n = F.lit(most_b).cast("long")
+    df = spark.range(most_a * most_b).select(pii.feistel("k", "test", F.floor(F.col("id") / n), F.pmod("id", n), F.lit(most_a).cast("long"), n).alias("s")).select("s.*")
+    found = {tuple(r) for r in df.collect()}
+    assert len(found) == most_a * most_b and max(a for a, _ in found) < most_a and max(b for _, b in found) < most_b
+
+
+def test_pseudonyms_leave_the_rest_alone(docs):
+    changed = pii.report(docs).alias("a").join(docs.alias("b"), "doc_id").filter("n_found = 0 AND a.text <> b.text")
+    assert changed.count() == 0
+
+
+# n-gram join
+
+
+def linked_by_force(texts_, size, percent):
+    sets = {}
+    for d, t in texts_:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m.group(0).lower(), t or ""))
+        sets[d] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+    where = collections.defaultdict(list)
+    for d, x in sets.items():
+        for s in x:
+            where[s].append(d)
+    root = {d: d for d in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for d, x in sets.items():
+        both = collections.Counter(o for s in x for o in where[s] if o < d)
+        for o, n in both.items():
+            if 100 * n >= percent * (len(x) + len(sets[o]) - n):
+                a, b = sorted((top(d), top(o)))
+                root[b] = a
+    return {d: (len(x), top(d)) for d, x in sets.items()}
+
+
+@pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
+def test_join_of_documents(docs, plain, size, percent):
+    assert {r[0]: r[1:] for r in rows(ngram_join.join(docs, size, percent))} == linked_by_force(plain, size, percent)
+
+
+@pytest.mark.parametrize("row", [8192, 8])
+def test_join_of_many_near_copies(spark, monkeypatch, row):
+    monkeypatch.setattr(ngram_join, "ROW", row)  # 8: long index rows are compared in blocks
+    rng = random.Random(4)
+    base = [[f"v{rng.randrange(4000)}" for _ in range(120)] for _ in range(6)]
+    own = []
+    for i in range(150):
+        w = list(base[i % 6])
+        for _ in range(rng.randrange(0, 6)):
+            w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        own.append((i, " ".join(w[: rng.randrange(100, 121)])))
+    own += [(150, "one two three"), (151, "One  two\nthree"), (152, None), (153, "")]
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    assert {r[0]: r[1:] for r in rows(ngram_join.join(df))} == linked_by_force(own, 4, 85)
+
+
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)]
+    found = dict(rows(graph.components(spark.createDataFrame(edges, "a long, b long"))))
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    assert found == {x: top(x) for a, b in edges if a != b for x in (a, b)}
+
+
+# pipeline
+
+
+def test_pipeline(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "pseudonyms", "source_mix", "best_fit_packing"]
+    docs = read_table(spark, sf_dir, "documents")
+    was, columns = docs.count(), docs.columns
+    kept = corpus_pipeline.quality_rules(spark, docs, sf_dir)
+    kept.write.parquet(str(tmp_path / "a"))
+    kept = spark.read.parquet(str(tmp_path / "a"))
+    one = corpus_pipeline.near_duplicates(spark, kept, sf_dir)
+    groups = linked_by_force([(r["doc_id"], r["text"]) for r in kept.collect()], 5, 80)
+    assert sorted(r[0] for r in rows(one.select("doc_id"))) == sorted(d for d, (_, c) in groups.items() if c == d)
+    assert one.columns == columns and 0 < one.count() < kept.count() < was
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_queries_are_there():
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)]
+
+
+def test_whole_texts(spark):
+    """What stands at the end of a very long text counts."""
+    tail = LONG + " released under the MIT License 227.5.221.1"
+    df = spark.createDataFrame([(1, tail)], "doc_id long, text string")
+    assert licenses.scan(df).first()["n_base"] == 1 and pii.report(df).first()["n_ip"] == 1
+    assert texts(df).first()["text"] == tail
