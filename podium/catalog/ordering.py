@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from podium.catalog.registry import Registry, rounded, table
 from podium.functions import scalars as S
-from podium.operators import ordered
+from podium.operators import matching, ordered
 
 _R = Registry()
 
@@ -117,4 +117,29 @@ def frame_interval_by_length(spark, sf_dir):
     return rounded(table(spark, sf_dir, "orders").select("o_orderkey", S.frame_interval(s).alias("every_s"), S.frame_interval_exact(s).alias("exact_s")), "exact_s")
 
 
+_SCREENS = """f AS (SELECT user_id, event_id, CASE WHEN event_type IN ('view', 'click') THEN 'slide' WHEN event_type IN ('error', 'purchase') THEN 'presenter_slide' ELSE 'other' END AS class FROM events),
+i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run_id FROM (SELECT *, (class IS DISTINCT FROM lag(class) OVER (PARTITION BY user_id ORDER BY event_id))::INT AS new FROM f)),
+r AS (SELECT user_id, run_id, class, min(event_id) AS first, max(event_id) AS last FROM i GROUP BY ALL),
+n AS (SELECT *, lag(class) OVER w AS pc, lag(last) OVER w AS pl, lead(class) OVER w AS nc, lead(first) OVER w AS nf FROM r WINDOW w AS (PARTITION BY user_id ORDER BY run_id)),
+q AS (SELECT user_id, run_id, coalesce(pc = 'slide', false) AS b, CASE WHEN pc = 'slide' THEN pl ELSE nf END AS query FROM n WHERE class = 'presenter_slide' AND (pc = 'slide' OR nc = 'slide')),
+p AS (SELECT q.*, i.event_id AS frame, row_number() OVER (PARTITION BY user_id, run_id ORDER BY CASE WHEN b THEN i.event_id ELSE -i.event_id END) AS step FROM q JOIN i USING (user_id, run_id)),
+g AS (SELECT * FROM (SELECT *, min(CASE WHEN (query + frame) % 3 = 0 THEN step END) OVER (PARTITION BY user_id, run_id) AS cut FROM p) WHERE cut IS NULL OR step < cut)"""
+
+
+def _screens(spark, sf_dir):
+    kind = F.when(F.col("event_type").isin("view", "click"), "slide").when(F.col("event_type").isin("error", "purchase"), "presenter_slide").otherwise("other")
+    return table(spark, sf_dir, "events").select("user_id", "event_id", kind.alias("class"))
+
+
+@_R.add("screen_slide_matches", f"WITH {_SCREENS} SELECT user_id, run_id::BIGINT AS run_id, query, frame, step FROM g")
+def screen_slide_matches(spark, sf_dir):
+    pairs = matching.candidate_pairs(_screens(spark, sf_dir), ["user_id"], "event_id")
+    return matching.matched_until(pairs, ["user_id"], (F.col("query") + F.col("frame")) % 3 != 0).withColumn("step", F.col("step").cast("long"))
+
+
+@_R.add("unique_screen_frames", f"WITH {_SCREENS} SELECT user_id, event_id, class FROM f ANTI JOIN (SELECT user_id, frame AS event_id FROM g) USING (user_id, event_id)")
+def unique_screen_frames(spark, sf_dir):
+    return matching.unique_screens(_screens(spark, sf_dir), ["user_id"], "event_id", lambda _: (F.col("query") + F.col("frame")) % 3 != 0).select("user_id", "event_id", "class")
+
+
 QUERIES, ORACLE_SQL = _R.queries, _R.sql

@@ -82,4 +82,19 @@ def svm_match_threshold(spark, sf_dir):
     return spark.createDataFrame([(round(vectors.svm_threshold(rows, "v", "y"), 4),)], "threshold double")
 
 
+@_R.add("classifier_cross_validation")
+def classifier_cross_validation(spark, sf_dir):
+    """Accuracy of a logistic regression on the vectors by strength of regularisation, in three folds."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    rows = table(spark, sf_dir, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"))
+    model = LogisticRegression(maxIter=20)
+    grid = ParamGridBuilder().addGrid(model.regParam, [0.01, 0.1]).build()
+    fitted = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=3, seed=1).fit(rows)
+    return spark.createDataFrame([(0.01, float(fitted.avgMetrics[0])), (0.1, float(fitted.avgMetrics[1]))], "reg_param double, accuracy double")
+
+
 QUERIES, ORACLE_SQL = _R.queries, _R.sql

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from podium.functions import models
 from podium.functions import scalars as S
 from podium.operators import align, boxes, evaluate, images, ordered, speech, structure, summarise, text, vectors
 from podium.plans.pipeline import Config, Pipeline, lecture_stages
@@ -395,6 +396,30 @@ def test_downloads_are_tried_again(spark):
     assert dict(got(readers.downloaded(items, "k", "link", fetch), "k", "failed")) == {1: False, 2: True}
 
 
+# models
+
+
+def test_models(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, "abcd")], "k int, content string")
+    size = models.as_column("size", lambda: lambda xs: [len(x) for x in xs], "long")
+    assert sorted(got(df.select("k", size(F.col("content")).alias("n")))) == [(1, 2), (2, 4)]
+    found = models.classified(df, "k", "net", lambda: lambda xs: (np.array([[len(x), 2.5] for x in xs], float), np.ones((len(xs), 3))), ["long", "short"])
+    assert dict(got(found, "k", "class")) == {1: "short", 2: "long"}
+    assert got(models.low_confidence(found, limit=0.7), "k") == [(1,)]
+    fall = models.occlusion(np.ones((4, 4)), lambda xs: [float(x[:2, :2].sum()) for x in xs], 2, 2)
+    assert fall.tolist() == [[4.0, 0.0], [0.0, 0.0]]
+    scores, geometry = np.zeros((3, 3)), np.zeros((5, 3, 3))
+    scores[1, 2], geometry[:4, 1, 2] = 0.9, (2, 5, 3, 1)
+    found, best = models.text_regions(scores, geometry)
+    assert found.tolist() == [[13, 7, 7, 2]] and best.tolist() == [0.9]
+    assert models.retried(lambda x: x)(3) == 3
+
+    def broken(x):
+        raise RuntimeError
+
+    assert models.retried(broken, 2, fallback=lambda x: -x)(3) == -3
+
+
 # the pipeline
 
 
