@@ -16,6 +16,8 @@ from podium.llm.common import materialise
 #: White-space-separated words, as a regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 BITS, LEVELS = 12, 3
+#: Sources whose thresholds may be broadcast (some 50 bytes each).
+MOST_SENT = 100_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -64,13 +66,19 @@ def _refine(sized: DataFrame, state: DataFrame, level: int) -> DataFrame:
 def thresholds(sized: DataFrame, target: DataFrame) -> DataFrame:
     """source, source_size, target, copies (that all its documents get), threshold (places below it get one more)."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    target = materialise(target, "targets")  # a row a source, as are the states
     state = target.withColumn("copies", F.floor(rate).cast("long")).withColumn("prefix", F.lit(0).cast("long")).withColumn("left", F.col("target") - F.col("copies") * F.col("source_size"))
     for level in range(LEVELS):
-        state = _refine(sized, state.drop("words"), level)
+        state = materialise(_refine(sized, state.drop("words"), level), "thresholds")
     nearer = F.col("left") * 2 >= F.coalesce(F.col("words"), F.lit(0))  # the last bucket is taken whole if that is nearer
     return state.select("source", "source_size", "target", "copies", (F.col("prefix") + nearer.cast("long")).alias("threshold"))
 
 
+def _sent(limits: DataFrame) -> DataFrame:
+    """limits, marked to be broadcast if they are counted to be few; else documents meet them by a shuffle."""
+    return F.broadcast(limits) if limits.count() <= MOST_SENT else limits
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document.
 
@@ -78,7 +86,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, sh
     empty table gives no rows. The choice depends on doc_id alone, so reruns agree.
     """
     sized = materialise(sizes(docs), "sizes")
-    limits = thresholds(sized, targets(sized, weights, most, share))
+    limits = _sent(thresholds(sized, targets(sized, weights, most, share)))
     more: Column = (F.col("place") < F.col("threshold")).cast("long")
     both = sized.alias("d").join(limits.alias("s"), F.expr("d.source <=> s.source"))
     return both.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + more)).alias("taken"))
@@ -88,7 +96,7 @@ def repeat(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     """The documents, all columns as they are, each as often as the mix takes it. Those without words come once: they cost nothing."""
     sized = materialise(sizes(docs), "sizes")
     limits = thresholds(sized, targets(sized, weights, most, share))
-    limits = limits.select(F.col("source").alias("_source"), F.col("copies").alias("_copies"), F.col("threshold").alias("_threshold"))
+    limits = _sent(limits.select(F.col("source").alias("_source"), F.col("copies").alias("_copies"), F.col("threshold").alias("_threshold")))
     placed = docs.select(F.struct("*").alias("_row"), F.col("source").cast("string").alias("_own"), F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 64 - BITS * LEVELS).alias("_place"), (F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == 0).alias("_empty"))
     both = placed.join(limits, F.col("_own").eqNullSafe(F.col("_source")))
     times = F.when(F.col("_empty"), 1).otherwise(F.col("_copies") + (F.col("_place") < F.col("_threshold")).cast("long"))
