@@ -49,12 +49,12 @@ def structured_alignment_text(spark, sf_dir):
     return align.align(slides.select("user_id", F.col("t").alias("frame_number")), words, ["user_id"], first_slide=False).select("user_id", "ord", "kind", "transcript")
 
 
-_LINES = "SELECT conv_id, turn + (turn >= 3)::INT AS line_num, (turn % 4 = 0)::INT AS category, substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 12) AS text FROM conversations"
+_LINES = "SELECT conv_id, turn + (turn >= 3)::INT AS line_num, (turn % 4 = 0)::INT AS category, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS text FROM conversations"
 
 
 def _lines(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
-    return turns.select("conv_id", (F.col("turn") + (F.col("turn") >= 3).cast("int")).alias("line_num"), (F.col("turn") % 4 == 0).cast("int").alias("category"), F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 12).alias("text"))
+    return turns.select("conv_id", (F.col("turn") + (F.col("turn") >= 3).cast("int")).alias("line_num"), (F.col("turn") % 4 == 0).cast("int").alias("category"), F.regexp_replace("text", "[^A-Za-z ]", "").alias("text"))
 
 
 @_R.add("paragraph_grouping", f"""WITH l AS ({_LINES}),
