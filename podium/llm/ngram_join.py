@@ -6,7 +6,7 @@
    of two classes or more stay.
 3. Pairs that share a prefix shingle pass the length and the positional filter, then (once per pair) the suffix filter: sizes of the sets' parts
    by hash range bound their difference from below. What is left is verified once by merging both whole sets.
-4. First each class is paired with two classes of each of its index rows only; their links make components. Then all pairs that share a prefix
+4. First each class is paired with the first class of each of its index rows only; their links make components. Then all pairs that share a prefix
    shingle and lie in different components so far follow. Pairs inside a component can't change it, so a large group of near
    copies never becomes all its pairs, and no link between components is lost.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ from podium.llm.common import materialise, partitions, texts
 from podium.llm.graph import components
 from podium.llm.shingles import batches_of_sets
 
-SKETCH_BITS, BLOCK = 20, 4096
+#: 2^SKETCH_BITS counters of a byte, summed in blocks. The more of them, the better rare shingles are told apart.
+SKETCH_BITS, BLOCK = 24, 1 << 14
 PARTS = 32
 #: Rows of one shingle that are compared in one task; longer rows are cut into blocks.
 ROW = 8192
@@ -44,31 +46,33 @@ def overlap(a, b, percent: int):
 
 
 def sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """How many documents' shingles fall in each hash bucket; summed by blocks of buckets on the executors."""
+    """How many documents' shingles fall in each hash bucket, 255 at most; summed by blocks of buckets on the executors."""
     spark, shift = docs.sparkSession, np.uint64(64 - SKETCH_BITS)
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for _, sets in batches_of_sets(batches, size):
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(total))
-        rows = [(k, x.astype("<u4").tobytes()) for k, x in enumerate(total.reshape(-1, BLOCK)) if x.any()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "counts"])
+            for s in sets:  # sorted and distinct, but two shingles may share a bucket
+                np.add.at(total, (s >> shift).astype(np.int64), 1)
+        press = zstandard.ZstdCompressor(level=1)
+        total = np.minimum(total, 65535).astype("<u2").reshape(-1, BLOCK)
+        for k in np.flatnonzero(total.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([press.compress(total[k].tobytes())], pa.binary())], ["block", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
+        open_ = zstandard.ZstdDecompressor()
         for batch in batches:
             for k, x in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(x.as_buffer(), "<u4").astype(np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(open_.decompress(x.as_buffer()), "<u2").astype(np.uint32)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 255).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
 
-    parts = docs.select("text").mapInArrow(count, "block int, counts binary").repartition(min(partitions(spark), (1 << SKETCH_BITS) // BLOCK), "block").mapInArrow(add, "block int, counts binary")
-    whole = np.zeros((1 << SKETCH_BITS) // BLOCK * BLOCK, np.int64).reshape(-1, BLOCK)
-    for row in parts.collect():  # 8 bytes a bucket
-        whole[row[0]] += np.frombuffer(row[1], "<i8")
-    return np.minimum(whole.reshape(-1), (1 << 32) - 1).astype(np.uint32)
+    parts = docs.select("text").mapInArrow(count, "block int, counts binary").repartition(partitions(spark), "block").mapInArrow(add, "block int, counts binary")
+    whole = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for k, counts in parts.collect():  # a byte a bucket
+        whole[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(counts, np.uint8)
+    return whole
 
 
 def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -96,7 +100,7 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index(classes: DataFrame) -> DataFrame:
-    """shingle, c, n, at of each class's prefix, where another class has the shingle too; with the row's first class and the one before (o, p)."""
+    """shingle, c, n, at of each class's prefix, where another class has the shingle too; with the first class of that shingle's row (o_)."""
     spark = classes.sparkSession
 
     def spread(batches):
@@ -108,12 +112,12 @@ def index(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(rep("doc_id")), pa.array(rep("n").astype(np.int32)), pa.array(at)], ["shingle", "c", "n", "at"])
 
     def shared(batches):
-        last: dict[str, np.ndarray] | None = None  # the row before this batch, and its run's first row
+        last: dict[str, np.ndarray] | None = None  # the open run's first row, and the row before this batch
         names = ("shingle", "c", "n", "at")
 
-        def out(x, first, before, keep):
-            cols = [pa.array(x[k][keep]) for k in names] + [pa.array(x[k][i][keep]) for i in (first, before) for k in ("c", "n", "at")]
-            return pa.RecordBatch.from_arrays(cols, [*names, "o_c", "o_n", "o_at", "p_c", "p_n", "p_at"])
+        def out(x, first, keep):
+            cols = [pa.array(x[k][keep]) for k in names] + [pa.array(x[k][first][keep]) for k in ("c", "n", "at")]
+            return pa.RecordBatch.from_arrays(cols, [*names, "o_c", "o_n", "o_at"])
 
         for batch in batches:
             x = {k: np.asarray(batch.column(k)) for k in names}
@@ -125,7 +129,6 @@ def index(classes: DataFrame) -> DataFrame:
             begin, sizes = _runs(x["shingle"])
             number = np.repeat(np.arange(len(begin)), sizes)
             first = begin[number]
-            before = np.maximum(np.arange(len(number)) - 1, first)
             more = np.zeros(len(number), bool)
             more[:-1] = number[1:] == number[:-1]
             keep = (np.arange(len(number)) > first) | more
@@ -134,16 +137,21 @@ def index(classes: DataFrame) -> DataFrame:
             keep[:1] &= not lead
             keep[-1] = False  # judged with the next batch
             if keep.any():
-                yield out(x, first, before, keep)
+                yield out(x, first, keep)
             last = {k: v[[first[-1], -1]] for k, v in x.items()}
         if last is not None and last["c"][0] != last["c"][1]:
-            x, one = last, np.array([0, 0])
-            yield out(x, one, one, np.array([False, True]))
+            yield out(last, np.array([0, 0]), np.array([False, True]))
 
     flat = "shingle long, c long, n int, at int"
     rows = classes.select("doc_id", "n", "prefix").mapInArrow(spread, flat)
-    dealt = rows.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle", "n", "c")
-    return dealt.mapInArrow(shared, flat + ", o_c long, o_n int, o_at int, p_c long, p_n int, p_at int")
+    dealt = rows.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle", "c")
+    return dealt.mapInArrow(shared, flat + ", o_c long, o_n int, o_at int")
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """A list of ids, marked to be broadcast if it is counted to be short enough; a longer one is joined by a shuffle."""
+    ids = materialise(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= MOST_SENT else ids
 
 
 def _passes(a: str, b: str, percent: int) -> str:
@@ -154,9 +162,9 @@ def _passes(a: str, b: str, percent: int) -> str:
 
 
 def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: each class with the first class of its index row and the one before it, once."""
-    pair = lambda x: rows.filter(f"{x}c <> c AND {_passes(x, '', percent)}").select(F.least("c", f"{x}c").alias("a"), F.greatest("c", f"{x}c").alias("b"))
-    return pair("o_").unionByName(pair("p_")).distinct()
+    """a, b: each class with the first class of its index row, once."""
+    fine = rows.filter(f"o_c <> c AND {_passes('o_', '', percent)}")
+    return fine.select(F.least("c", "o_c").alias("a"), F.greatest("c", "o_c").alias("b")).distinct()
 
 
 def other_pairs(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -233,13 +241,12 @@ def linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
     """The pairs whose whole sets link, each verified once. Sets are made anew for the classes in pairs alone."""
     spark = docs.sparkSession
     asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    asked = F.broadcast(asked) if asked.count() <= MOST_SENT else asked
 
     def sets_of(batches):
         for batch, sets in batches_of_sets(batches, size):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["c", "items"])
 
-    made = docs.join(asked, "doc_id", "left_semi").mapInArrow(sets_of, "c long, items binary")
+    made = docs.join(small(asked), "doc_id", "left_semi").mapInArrow(sets_of, "c long, items binary")
     sets = materialise(made.dropDuplicates(["c"]), "sets", "uncompressed")
     fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("salts"))
     firsts = fan.join(sets, F.col("a") == F.col("c")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "items")
@@ -273,9 +280,11 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     docs = texts(docs)
     made = materialise(prefixes(docs, size, percent), "prefixes", "uncompressed")
     reps = made.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("c"))
-    classes = made.join(reps.select(F.col("c").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "prefix", "parts")
+    copies = made.select("doc_id", "set_key").join(reps, "set_key").filter("doc_id <> c").select("doc_id").distinct()
+    alone = made.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").join(small(copies), "doc_id", "left_anti")
+    classes = alone.select("doc_id", "n", "prefix", "parts")
     rows = materialise(index(classes), "index")
-    sizes = materialise(classes.select("doc_id", "n", "parts"), "sizes")
+    sizes = materialise(classes.select("doc_id", "n", "parts").dropDuplicates(["doc_id"]), "sizes")
     one = materialise(suffix_filtered(first_pairs(rows, percent), sizes, percent), "pairs")
     links = materialise(linked(one, docs, size, percent), "links")
     two = materialise(suffix_filtered(other_pairs(rows, components(links), percent), sizes, percent), "pairs")
