@@ -1,8 +1,8 @@
 """Removal of byte strings of a given length that occur more than once, found by interval expansion on a Burrows-Wheeler transform.
 
 A transform of the whole corpus fits no machine, so windows are first brought together by content. Every window of `length` bytes
-has an anchor, the leftmost of its smallest-hashed 32-byte grams; equal windows have equal anchors. Neighbouring windows with the same
-anchor form a run, about one for 85 bytes of text, and each window is in one run. Then
+has an anchor, the leftmost of its smallest-hashed 64-byte grams; equal windows have equal anchors. Neighbouring windows with the same
+anchor form a run, about one for 70 bytes of text, and each window is in one run. Then
 1. anchors that occur once in the corpus drop out (hash counts, summed before the shuffle), with nearly all of the text;
 2. runs with equal anchor and bytes are counted, and those that occur twice are repeated whole;
 3. one copy of each different run goes, with its anchor's others, into a task's text of some MB, where `bwt.repeated` tells which of
@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from podium.llm.bwt import repeated
 from podium.llm.common import materialise, partitions, texts
 from podium.llm.shingles import mixed
-from podium.llm.tokens import slices
+from podium.llm.tokens import slices, trim
 
-GRAM = 32
-SLICE = 4_000_000
+GRAM = 64
+#: Bytes of text that are hashed at once: some dozen arrays of eight times that size.
+SLICE = 1_000_000
 #: Different runs of one anchor that meet in one text, and the bytes of a text.
-MOST_RUNS, TEXT_BYTES = 4096, 2_000_000
+MOST_RUNS, TEXT_BYTES = 4096, 1_000_000
 
 _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -176,6 +177,7 @@ def _expanded(runs: DataFrame, length: int) -> DataFrame:
                 size += len(r) + 1
         if held:
             yield work(held)
+        trim()
 
     dealt = runs.repartition(partitions(runs.sparkSession), "h").sortWithinPartitions("h", "sk")
     return dealt.mapInArrow(run, "h long, sk long, at binary")
