@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-#: Words that a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 800_000
+#: Words that a worker keeps (some 40 bytes each); beyond that it starts anew.
+KEPT_WORDS = 2_000_000
 #: Signs that are cut off a word's end where the tokenizer splits there anyway.
 SIGNS = ".,;:!?%&#*$|"
 #: Words in one call of the library.
 CALL_WORDS = 20_000
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 8_000_000
 
 
 _PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
@@ -30,12 +33,49 @@ def _gather(pool: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return pool[np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
 
+class Words:
+    """Ids of words, found by 128-bit hashes: sorted arrays, for a dictionary of strings would need five times the memory."""
+
+    def __init__(self):
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each word (a row of two hashes); -1 of those that aren't there."""
+        if not len(self.key):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.key, hashes[:, 0]), len(self.key) - 1)
+        return np.where((self.key[at] == hashes[:, 0]) & (self.check[at] == hashes[:, 1]), at, -1)
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Words that aren't there, with all their ids in a row. Numbers of words change."""
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        begin = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        key = np.concatenate([self.key, hashes[:, 0]])
+        order = np.argsort(key, kind="stable")
+        self.key, self.check = key[order], np.concatenate([self.check, hashes[:, 1]])[order]
+        self.begin, self.size = np.concatenate([self.begin, begin])[order], np.concatenate([self.size, sizes.astype(np.int32)])[order]
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by number, and where each word's begin (one more entry than words)."""
+        return _gather(self.ids, self.begin[at], self.begin[at] + self.size[at])
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+
+
 class Encoder:
     """Encodes columns of texts.
 
     Where the tokenizer drops ASCII white space and never joins across it, a text's ids are those of its
-    white-space-separated parts in a row. Then each distinct part of a batch is encoded once and kept. That this holds is tried
-    on the first texts against the plain call; where it doesn't, every text goes through the plain call.
+    white-space-separated words in a row. Then each distinct word of a batch is encoded once and kept; words that differ in case or in
+    the signs at their end share their stems' ids where these, too, are found to make no difference. That all this holds is
+    tried on the first texts against the plain call; where it doesn't, every text goes through the plain call.
     """
 
     def __init__(self, path: str):
@@ -46,66 +86,63 @@ class Encoder:
         one = lambda x: self.plain([x])[0]
         self.lowers = one("ABCXYZ") == one("abcxyz") and one("A1b") == one("a1b")
         self.cuts = all(one("a" + x) == one("a") + one(x) and one("7" + x + x) == one("7") + one(x + x) for x in SIGNS)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.n_ids = 0
+        self.known = Words()
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _add(self, words: list[str]) -> None:
-        for at in range(0, len(words), CALL_WORDS):
-            part = words[at : at + CALL_WORDS]
-            done = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, owner = np.array(done.ids, np.uint32), np.array(done.word_ids, np.int64)
-            first = len(self.known)
-            ends = self.n_ids + np.searchsorted(owner, np.arange(1, len(part) + 1))
-            while len(self.begin) < first + len(part) + 1:
-                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            while len(self.pool) < self.n_ids + len(ids):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.n_ids : self.n_ids + len(ids)] = ids
-            self.begin[first + 1 : first + len(part) + 1] = ends
-            self.n_ids += len(ids)
-            self.known.update(zip(part, range(first, first + len(part)), strict=True))
+    def _numbers(self, words: list[str], split: bool) -> np.ndarray:
+        """Numbers of the words, new ones encoded and added; split: by their stems and what follows."""
+        hashes = _hashes(words)
+        at = self.known.find(hashes)
+        new = np.flatnonzero(at < 0)
+        if not len(new):
+            return at
+        fresh = [words[i] for i in new.tolist()]
+        if split:
+            low = [w.lower() if w.isascii() and "<|" not in w else w for w in fresh] if self.lowers else fresh  # a special token's name is as it is
+            stems = [s if (s := w.rstrip(SIGNS)) and s[-1] in _PLAIN and "<|" not in w else w for w in low] if self.cuts else low
+            tails = [w[len(s) :] for w, s in zip(low, stems, strict=True)]
+            parts = list(dict.fromkeys(chain(stems, tails)))
+            place = dict(zip(parts, self._numbers(parts, False).tolist(), strict=True))
+            both = np.empty(2 * len(fresh), np.int64)
+            both[::2], both[1::2] = [place[s] for s in stems], [place[t] for t in tails]
+            ids, ends = self.known.of(both)
+            missing = self.known.find(hashes[new]) < 0  # a word may be its own stem
+            sizes = ends[2::2] - ends[:-2:2]
+            self.known.add(hashes[new][missing], ids[np.repeat(missing, sizes)], sizes[missing])
+        else:
+            for k in range(0, len(fresh), CALL_WORDS):
+                part = fresh[k : k + CALL_WORDS]
+                done = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+                sizes = np.bincount(np.array(done.word_ids, np.int64), minlength=len(part))
+                self.known.add(hashes[new[k : k + CALL_WORDS]], np.array(done.ids, np.uint32), sizes)
+        return self.known.find(hashes)
 
     def _by_word(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.ascii_split_whitespace(column)
         bounds = np.asarray(parts.offsets, dtype=np.int64)
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if self.lowers:  # of plain words alone: a special token's name is as it is
-            words = [w.lower() if w.isascii() and "<|" not in w else w for w in words]
-        stems, tails = words, [""] * len(words)
-        if self.cuts:
-            stems = [s if (s := w.rstrip(SIGNS)) and s[-1] in _PLAIN and "<|" not in w else w for w in words]
-            tails = [w[len(s) :] for w, s in zip(words, stems, strict=True)]
-        if len(self.known) + len(words) > KEPT_WORDS:
-            self.clear()
-        if new := [w for w in dict.fromkeys(chain(stems, tails)) if w not in self.known]:
-            self._add(new)
-        both = np.empty(2 * len(words), np.int64)
-        both[::2] = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(words))
-        both[1::2] = np.fromiter(map(self.known.__getitem__, tails), np.int64, len(words))
-        pool, begin = _gather(self.pool, self.begin[both], self.begin[both + 1])
-        at = 2 * np.asarray(coded.indices, dtype=np.int64)
-        ids, ends = _gather(pool, begin[at], begin[at + 2])
+        if len(self.known.key) + 2 * len(words) > KEPT_WORDS:
+            self.known = Words()
+        at = self._numbers(words, True) if words else np.zeros(0, np.int64)
+        if (at < 0).any():  # two words with the same first 64 bits of their hashes
+            return self._whole(column)
+        ids, ends = self.known.of(at[np.asarray(coded.indices, dtype=np.int64)])
         return ids, ends[bounds - bounds[0]]
 
+    def _whole(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = self.plain(column.to_pylist())
+        return np.array([i for x in lists for i in x], np.uint32), np.cumsum([0, *map(len, lists)])
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin (one more entry than texts)."""
         if self.by_word is None:
             head = column.slice(0, 8)
             ids, ends = self._by_word(head)
             self.by_word = [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == self.plain(head.to_pylist())
-        if self.by_word:
-            return self._by_word(column)
-        lists = self.plain(column.to_pylist())
-        return np.array([i for x in lists for i in x], np.uint32), np.cumsum([0, *map(len, lists)])
+        return self._by_word(column) if self.by_word else self._whole(column)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -130,6 +167,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that a worker's last arrays took back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def encoded(path: str, batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
