@@ -125,7 +125,7 @@ def best_guess_class(spark, sf_dir):
 _HASH = "sha1({0}::VARCHAR || '-{1}')"
 
 
-@_R.add("group_split", f"WITH g AS (SELECT DISTINCT source FROM documents), r AS (SELECT source, row_number() OVER (ORDER BY {_HASH.format('source', 0)}, source) AS r, floor(0.2 * count(*) OVER ()) AS k FROM g) SELECT source, CASE WHEN r <= k THEN 'test' ELSE 'train' END AS split FROM r")
+@_R.add("group_split", f"WITH g AS (SELECT DISTINCT source FROM documents), r AS (SELECT source, row_number() OVER (ORDER BY {_HASH.format('source', 0)}, source) AS r, floor(0.2::DOUBLE * count(*) OVER ()) AS k FROM g) SELECT source, CASE WHEN r <= k THEN 'test' ELSE 'train' END AS split FROM r")
 def group_split(spark, sf_dir):
     return evaluate.group_split(table(spark, sf_dir, "documents"), "source", 0.2)
 
@@ -135,7 +135,7 @@ def cv_folds(spark, sf_dir):
     return evaluate.folds(table(spark, sf_dir, "documents"), "source", 3)
 
 
-@_R.add("group_split_stats", f"""WITH g AS (SELECT DISTINCT source FROM documents), r AS (SELECT source, row_number() OVER (ORDER BY {_HASH.format('source', 0)}, source) AS r, floor(0.2 * count(*) OVER ()) AS k FROM g)
+@_R.add("group_split_stats", f"""WITH g AS (SELECT DISTINCT source FROM documents), r AS (SELECT source, row_number() OVER (ORDER BY {_HASH.format('source', 0)}, source) AS r, floor(0.2::DOUBLE * count(*) OVER ()) AS k FROM g)
 SELECT lang, count(*) FILTER (WHERE r > k) AS train, count(*) FILTER (WHERE r <= k) AS val, round(count(*) FILTER (WHERE r <= k) / count(*), 6) AS share FROM documents JOIN r USING (source) GROUP BY lang""")
 def group_split_stats(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -95,7 +95,7 @@ def carry_forward_time(spark, sf_dir):
     return ordered.carried(events, "start", "event_id", ["user_id"], "current_time_s").select("user_id", "event_id", "current_time_s")
 
 
-@_R.add("topn_restore_order", """SELECT conv_id, turn, rank_in_part FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS rank_in_part, floor(count(*) OVER (PARTITION BY conv_id) * 0.7) AS k FROM conversations) WHERE rank_in_part <= k""")
+@_R.add("topn_restore_order", """SELECT conv_id, turn, rank_in_part FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS rank_in_part, floor(count(*) OVER (PARTITION BY conv_id) * 0.7::DOUBLE) AS k FROM conversations) WHERE rank_in_part <= k""")
 def topn_restore_order(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").withColumn("rating", F.length("text"))
     return ordered.top_restored(turns, "rating", "turn", 0.7, ["conv_id"]).select("conv_id", "turn", F.col("rank_in_part").cast("long").alias("rank_in_part"))

@@ -58,7 +58,7 @@ def keyword_vocabulary(spark, sf_dir):
 
 @_R.add("keyword_sentence_selection", f"""WITH {_KEYWORDS}, s AS (SELECT doc_id, ss[i] AS sentence, i - 1 AS sent_idx FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT doc_id, {_SENTENCES.format('text')} AS ss FROM documents))),
 r AS (SELECT *, list_has_any({_TOKENS.format('sentence')}, ks)::INT::DOUBLE AS rating FROM s, (SELECT list(term) AS ks FROM k)),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rating DESC, sent_idx) AS n, floor(count(*) OVER (PARTITION BY doc_id) * 0.7) AS k FROM r)
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rating DESC, sent_idx) AS n, floor(count(*) OVER (PARTITION BY doc_id) * 0.7::DOUBLE) AS k FROM r)
 SELECT doc_id, sent_idx, sentence, rating FROM f WHERE n <= k""")
 def keyword_sentence_selection(spark, sf_dir):
     words = text.keyword_vocabulary(table(spark, sf_dir, "benchmark"), "text", 40)
