@@ -20,8 +20,8 @@ from podium.llm.common import materialise
 
 SPACE = r"[\x20\x09-\x0D]+"
 BITS = 64
-#: Documents in a run of neighbouring ids, and at most so many runs.
-RUN, MOST_RUNS = 1_000, 20_000
+#: Documents in a run of neighbouring ids, at most so many runs, and quantiles between which ids are cut evenly.
+RUN, MOST_RUNS, QUANTILES = 1_000, 20_000, 128
 
 
 def with_fingerprints(df: DataFrame, keys: list[str], texts: dict[str, str]) -> DataFrame:
@@ -55,17 +55,26 @@ def in_runs(docs: DataFrame) -> DataFrame:
     """doc_id, text, run, at, ahead, next_text: all documents in runs of neighbouring ids, each with the text of the next one.
 
     The order is by doc_id, null first, ties by text; after the last document comes the first. A run ends with the head of the next
-    run as an additional row (ahead is true). Ids are cut into runs at quantiles; run and at tell every row from the others.
+    run as an additional row (ahead is true). Ids are cut into runs at quantiles and evenly between them; run and at tell every row
+    from the others.
     """
-    n = docs.select("doc_id").count()
+    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
     runs = min(MOST_RUNS, max(1, n // RUN))
-    cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [i / runs for i in range(1, runs)], 0.25 / runs)}) if runs > 1 else []
+    cells = min(QUANTILES, runs)
+    cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [i / cells for i in range(1, cells)], 0.25 / cells)}) if cells > 1 else []
+    each = -(-runs // (len(cuts) + 1))
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
     run = F.lit(0)
-    if cuts:  # how many cuts are at most the id, found by halving
+    if cuts:  # how many cuts are at most the id, found by halving; then even steps up to the next cut
+        edges = [float(low), *map(float, cuts), float(high) + 1]
         at = F.array(*(F.lit(c).cast("long") for c in cuts))
-        run = F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), F.struct(F.lit(0).alias("a"), F.lit(len(cuts)).alias("b")), lambda s, _: _halve(s, at, F.col("key")), lambda s: s["a"])
-    parted = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), key.alias("key")).withColumn("run", run.cast("int"))
+        cell = F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), F.struct(F.lit(0).alias("a"), F.lit(len(cuts)).alias("b")), lambda s, _: _halve(s, at, F.col("key")), lambda s: s["a"])
+        steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(max(b - a, 1.0)).alias("w")) for a, b in zip(edges, edges[1:], strict=False)))
+        step = F.floor((F.col("key").cast("double") - F.get(steps, F.col("cell"))["a"]) * each / F.get(steps, F.col("cell"))["w"])
+        run = F.col("cell") * each + F.least(F.greatest(step, F.lit(0)), F.lit(each - 1))
+    else:
+        cell = F.lit(0)
+    parted = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), key.alias("key")).withColumn("cell", cell).withColumn("run", run.cast("int")).drop("cell")
     heads = parted.groupBy("run").agg(F.min("key").alias("key"))  # at most MOST_RUNS rows
     order = Window.orderBy("run")
     heads = heads.select("key", F.coalesce(F.lag("run").over(order), F.max("run").over(Window.partitionBy())).alias("before"))
