@@ -5,8 +5,8 @@ has an anchor, the leftmost of its smallest-hashed 64-byte grams; equal windows
 anchor form a run, about one for 70 bytes of text, and each window is in one run. Then
 1. anchors that occur once in the corpus drop out (hash counts, summed before the shuffle), with nearly all of the text;
 2. runs with equal anchor and bytes are counted, and those that occur twice are repeated whole;
-3. one copy of each different run goes, with its anchor's others, into a task's text of some MB, where `bwt.repeated` tells which of
-   its windows start elsewhere too. An anchor with more than `MOST_RUNS` different runs, which would fill a task, is dealt by
+3. one copy of each different run goes, with its anchor's others, into a task's text of about 1 MB, where `bwt.repeated` tells which of
+   its windows start elsewhere too; runs that agree with none of the others beside the anchor stay out. An anchor with more than `MOST_RUNS` different runs, which would fill a task, is dealt by
    the hashes (128 bits) of its whole windows instead, which are counted in parts;
 4. covered bytes are joined to their documents.
 Texts are compressed wherever they are shuffled. doc_id and a hash of the text tell documents apart.
@@ -15,6 +15,7 @@ Texts are compressed wherever they are shuffled. doc_id and a hash of the text t
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -60,10 +61,10 @@ def _least(x: np.ndarray, wide: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[wide - 1 : wide - 1 + n])
 
 
-def runs_of(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts in a row: text, first window (from the text's begin), number of windows and anchor of each run."""
+def runs_of(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of texts in a row: text, first window (from the text's begin), number of windows, anchor's place in the run, and anchor of each run."""
     if len(data) < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     grams = _gram_hashes(data)
     low = np.uint64(max(20, int(len(grams)).bit_length()))
     at = np.arange(len(grams), dtype=np.uint64)
@@ -75,7 +76,7 @@ def runs_of(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarr
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new & inside)
     last = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True))
-    return text[first], first - bounds[text[first]], last - first + 1, grams[anchor[first]]
+    return text[first], first - bounds[text[first]], last - first + 1, anchor[first] - first, grams[anchor[first]]
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,12 +117,12 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _runs(docs: DataFrame, length: int) -> DataFrame:
-    """h, sk (hash of the run's bytes), doc_id, tk, a (first window), w (windows) of every run."""
+    """h, sk (hash of the run's bytes), doc_id, tk, a (first window), w (windows), o (the anchor's place in the run) of every run."""
 
     def run(batches):
         for batch in slices(batches, most=SLICE):
             data, bounds = _bytes_of(batch.column("text"))
-            text, first, windows, h = runs_of(data, bounds, length)
+            text, first, windows, place, h = runs_of(data, bounds, length)
             if not len(text):
                 continue
             begin = bounds[text] + first
@@ -129,9 +130,9 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
             sk = np.fromiter((xxhash.xxh3_64_intdigest(raw[b:e]) for b, e in zip(begin.tolist(), (begin + windows + length - 1).tolist(), strict=True)), np.uint64, len(text))
             tk = np.fromiter((_key(raw[b:e]) for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), np.int32, len(bounds) - 1)
             doc = batch.column("doc_id").take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sk.view(np.int64)), doc, pa.array(tk[text]), pa.array(first, pa.int32()), pa.array(windows, pa.int32())], ["h", "sk", "doc_id", "tk", "a", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sk.view(np.int64)), doc, pa.array(tk[text]), pa.array(first, pa.int32()), pa.array(windows, pa.int32()), pa.array(place, pa.int32())], ["h", "sk", "doc_id", "tk", "a", "w", "o"])
 
-    return docs.mapInArrow(run, "h long, sk long, doc_id long, tk int, a int, w int")
+    return docs.mapInArrow(run, "h long, sk long, doc_id long, tk int, a int, w int, o int")
 
 
 def _same(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def _same(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _cut_out(kinds: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """h, sk, hot, run (bytes) of each different run, cut out of the document that was chosen for it."""
+    """h, sk, hot, o, run (bytes) of each different run, cut out of the document that was chosen for it."""
 
     def run(batches):
         open_ = zstandard.ZstdDecompressor()
@@ -149,32 +150,43 @@ def _cut_out(kinds: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             rows = []
             for z, wanted in zip(batch.column("z"), batch.column("wanted").to_pylist(), strict=True):
                 text = open_.decompress(z.as_buffer())
-                rows += [(x["h"], x["sk"], x["hot"], text[x["a"] : x["a"] + x["w"] + length - 1]) for x in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.binary())], ["h", "sk", "hot", "run"])
+                rows += [(x["h"], x["sk"], x["hot"], x["o"], text[x["a"] : x["a"] + x["w"] + length - 1]) for x in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()))], ["h", "sk", "hot", "o", "run"])
 
-    by_doc = kinds.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("h", "sk", "hot", "a", "w")).alias("wanted"))
+    by_doc = kinds.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("h", "sk", "hot", "o", "a", "w")).alias("wanted"))
     packed = _packed(docs).dropDuplicates(["doc_id", "tk"])
-    return _same(by_doc, packed).select("z", "wanted").mapInArrow(run, "h long, sk long, hot boolean, run binary")
+    return _same(by_doc, packed).select("z", "wanted").mapInArrow(run, "h long, sk long, hot boolean, o int, run binary")
 
 
 def _expanded(runs: DataFrame, length: int) -> DataFrame:
     """h, sk, at (repeated windows, as little-endian 32-bit places in the run), by texts of whole anchors."""
 
+    half = (length - GRAM) // 2
+
+    def likely(group):
+        """The runs of an anchor that agree with another one in the bytes before it or behind it, half a window's rest of them: a window
+        reaches as far on one side at least, so the others share none."""
+        sides = [(r[o - half : o] if o >= half else None, r[o + GRAM : o + GRAM + half] if len(r) >= o + GRAM + half else None) for _, _, o, r in group]
+        left, right = Counter(a for a, _ in sides if a is not None), Counter(b for _, b in sides if b is not None)
+        return [x for x, (a, b) in zip(group, sides, strict=True) if left.get(a, 0) > 1 or right.get(b, 0) > 1]
+
     def work(held):
-        found = repeated([r for _, _, r in held], length)
-        rows = [(h, sk, x.astype("<i4").tobytes()) for (h, sk, _), x in zip(held, found, strict=True) if len(x)]
+        found = repeated([r for *_, r in held], length) if held else []
+        rows = [(h, sk, x.astype("<i4").tobytes()) for (h, sk, *_), x in zip(held, found, strict=True) if len(x)]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["h", "sk", "at"])
 
     def run(batches):
-        held, size, now = [], 0, None
+        held, group, now = [], [], None
         for batch in batches:
-            for h, sk, r in zip(batch.column("h").to_pylist(), batch.column("sk").to_pylist(), batch.column("run").to_pylist(), strict=True):
-                if h != now and size >= TEXT_BYTES:
-                    yield work(held)
-                    held, size = [], 0
-                now = h
-                held.append((h, sk, r))
-                size += len(r) + 1
+            for h, sk, o, r in zip(*(batch.column(c).to_pylist() for c in ("h", "sk", "o", "run")), strict=True):
+                if h != now:
+                    held += likely(group)
+                    group, now = [], h
+                    if len(held) * length >= TEXT_BYTES:  # a run has some more than `length` bytes
+                        yield work(held)
+                        held = []
+                group.append((h, sk, o, r))
+        held += likely(group)
         if held:
             yield work(held)
         trim()
@@ -207,7 +219,7 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     ones of them; null: all)."""
     shared = _anchors(docs, length).groupBy("h").agg(F.sum("k").alias("k")).filter("k > 1").select("h")
     found = materialise(_runs(docs, length).join(shared, "h", "left_semi"), "runs")
-    kinds = found.groupBy("h", "sk").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "tk", "a", "w")).alias("at"))
+    kinds = found.groupBy("h", "sk").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "tk", "a", "w", "o")).alias("at"))
     kinds = materialise(kinds.select("h", "sk", "k", "at.*"), "kinds")
     several = kinds.groupBy("h").agg(F.count("*").alias("different")).filter("different > 1").select("h", (F.col("different") > MOST_RUNS).alias("hot"))
     cut = materialise(_cut_out(kinds.join(several, "h"), docs, length), "cut")
