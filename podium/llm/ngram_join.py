@@ -50,12 +50,14 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
     spark, shift = docs.sparkSession, np.uint64(64 - SKETCH_BITS)
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        total = np.zeros(1 << SKETCH_BITS, "<u2")
         for _, sets in batches_of_sets(batches, size):
-            for s in sets:  # sorted and distinct, but two shingles may share a bucket
-                np.add.at(total, (s >> shift).astype(np.int64), 1)
+            if sets:
+                where, more = np.unique(np.concatenate(sets) >> shift, return_counts=True)
+                where = where.astype(np.int64)
+                total[where] = np.minimum(total[where] + more, 65535)
         press = zstandard.ZstdCompressor(level=1)
-        total = np.minimum(total, 65535).astype("<u2").reshape(-1, BLOCK)
+        total = total.reshape(-1, BLOCK)
         for k in np.flatnonzero(total.any(axis=1)).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([press.compress(total[k].tobytes())], pa.binary())], ["block", "counts"])
 
@@ -208,7 +210,7 @@ def other_pairs(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
                 x = {k: np.concatenate([rest[k], v]) for k, v in x.items()}
             if not len(x["c"]):
                 continue
-            whole = len(x["c"]) - 1  # the last group may go on in the next batch
+            # the last group may go on in the next batch
             same = (x["shingle"] == x["shingle"][-1]) & (x["lo"] == x["lo"][-1]) & (x["hi"] == x["hi"][-1])
             whole = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             rest = {k: v[whole:] for k, v in x.items()}

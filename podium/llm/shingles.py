@@ -11,6 +11,8 @@ import xxhash
 
 from podium.llm.tokens import slices
 
+#: Bytes of text that are worked on at once.
+SLICE_BYTES = 4_000_000
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,5 +62,5 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
 
 def batches_of_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Each batch (a null text is empty) with its texts' sets."""
-    for batch in slices(batches):
+    for batch in slices(batches, most=SLICE_BYTES):
         yield batch, shingle_sets(pc.fill_null(batch.column("text"), ""), size)
