@@ -298,6 +298,6 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """One document of each group, that with the smallest doc_id, with all its columns; of rows with equal doc_id all stay."""
-    kept = join(docs, size, percent).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    """One document of each group, that with the smallest doc_id, with all its columns; of rows with equal doc_id all stay or go."""
+    gone = small(join(docs, size, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
