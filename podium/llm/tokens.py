@@ -30,7 +30,9 @@ def _gather(pool: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nd
     sizes = end - begin
     ends = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=ends[1:])
-    return pool[np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])], ends
+    at = np.repeat((begin - ends[:-1]).astype(np.int32), sizes)  # pools have less than 2^31 ids
+    at += np.arange(ends[-1], dtype=np.int32)
+    return pool[at], ends
 
 
 class Words:
