@@ -53,9 +53,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from podium.llm.simhash import report
+    from podium.llm.simhash import RADIUS, report
 
-    return report(read_table(spark, sf_dir, "documents"), radius=3, every=50)
+    return report(read_table(spark, sf_dir, "documents"), radius=RADIUS, every=50)
 
 
 def op8_private_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -382,6 +382,35 @@ def test_block_tables_find_all_near(spark):
         assert {(r["query"], r["fp"]) for r in simhash.near(df, df, radius).collect()} == want
 
 
+@pytest.mark.parametrize("radius", [5, 8, simhash.RADIUS])
+def test_wide_search_finds_all_near_once(spark, radius):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    near = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, 15))) for b in base for _ in range(5)]
+    signed = [x - (1 << 64) if x >> 63 else x for x in [*base, *near]]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = sorted({(a, b) for a in signed for b in signed if bin((a ^ b) & (2**64 - 1)).count("1") <= radius})
+    assert sorted((r["query"], r["fp"]) for r in simhash.near(df, df, radius).collect()) == want
+
+
+def test_query_finds_near_copies_at_the_line(spark, sf_dir):
+    """n_near of the registered query is exact at a radius that reaches most edited copies of five-word Jaccard 0.8 and more."""
+    found = rows(QUERIES["op7_simhash_fingerprints"](spark, sf_dir))
+    fps = np.array([int(r[3], 16) for r in found], np.uint64)
+    for r, fp in zip(found, fps, strict=True):
+        assert r[7] == (int((np.bitwise_count(fps ^ fp) <= simhash.RADIUS).sum()) - 1 if r[0] % 50 == 0 else None)
+    rng, words, within = random.Random(4), [f"w{i}" for i in range(3000)], []
+    for _ in range(150):
+        a = rng.choices(words, k=300)
+        b = list(a)
+        for p in rng.sample(range(300), 5):
+            b[p] = rng.choice(words)
+        x, y = ({tuple(t[i : i + 5]) for i in range(296)} for t in (a, b))
+        if len(x & y) / len(x | y) >= 0.8:
+            within.append((simhash_by_hand(" ".join(a)) ^ simhash_by_hand(" ".join(b))).bit_count() <= simhash.RADIUS)
+    assert len(within) > 50 and np.mean(within) >= 0.9
+
+
 # pseudonyms
 
 
