@@ -135,12 +135,13 @@ def extractive(df: DataFrame, text: str, by: str, method: str = "text_rank", cov
     return top_restored(rated, "rating", "sent_idx", coverage, [by]).drop("rank_in_part")
 
 
-def keywords(df: DataFrame, text: str, by: str, share: float = 0.2, window: int = 2) -> DataFrame:
+def keywords(df: DataFrame, text: str, by: str | list[str], share: float = 0.2, window: int = 2) -> DataFrame:
     """by, term, rating: TextRank keywords: words linked where they stand within the window, the best third or so of them."""
+    by = [by] if isinstance(by, str) else by
 
     def kernel(part: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for key, t in zip(part[by], part[text].fillna(""), strict=True):
+        for *key, t in zip(*(part[c] for c in by), part[text].fillna(""), strict=True):
             tokens = _tokens(t)
             names = sorted(set(tokens))
             at = {x: i for i, x in enumerate(names)}
@@ -154,11 +155,11 @@ def keywords(df: DataFrame, text: str, by: str, share: float = 0.2, window: int
                 continue
             rank = _sparse_rank(len(names), links)
             best = sorted(range(len(names)), key=lambda i: (-round(rank[i], 9), names[i]))[: max(1, int(len(names) * share))]
-            out += [(key, names[i], round(float(rank[i]), 9)) for i in best]
-        return pd.DataFrame(out, columns=[by, "term", "rating"])
+            out += [(*key, names[i], round(float(rank[i]), 9)) for i in best]
+        return pd.DataFrame(out, columns=[*by, "term", "rating"])
 
-    kind = dict(df.dtypes)[by]
-    return df.select(by, text).mapInPandas(lambda parts: map(kernel, parts), f"`{by}` {kind}, term string, rating double")
+    kinds = dict(df.dtypes)
+    return df.select(*by, text).mapInPandas(lambda parts: map(kernel, parts), ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "term string, rating double"]))
 
 
 def _sparse_rank(n: int, links: dict[tuple[int, int], float], damping: float = 0.85, steps: int = 50) -> np.ndarray:

@@ -29,6 +29,11 @@ def token_array(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(as_column(text), F.lit(""))), r"\W+"), lambda t: t != "")
 
 
+def word_array(text: Column | str) -> Column:
+    """Lower-case words of letters and digits of any script and underscores, as summarise.keywords takes them."""
+    return F.filter(F.split(F.lower(F.coalesce(as_column(text), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
+
+
 def token_counts(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     tokens = token_array(text)
     return df.select(*keep, F.size(tokens).cast("long").alias("n_tokens"), F.size(F.array_distinct(tokens)).cast("long").alias("n_terms"))
@@ -83,10 +88,14 @@ def keyword_vocabulary(df: DataFrame, text: str, n: int) -> DataFrame:
     return found.orderBy(F.col("df").desc(), "term").limit(n).select("term")
 
 
-def keyword_selection(transcripts: DataFrame, text: str, by: list[str], vocabulary: DataFrame, coverage: float = 0.70) -> DataFrame:
-    """by, sent_idx, sentence, rating: of each part's sentences, int(n * coverage) best in their order; a sentence with a keyword rates 1, else 0."""
+def keyword_selection(transcripts: DataFrame, text: str, by: list[str], vocabulary: DataFrame, coverage: float = 0.70, tokens=token_array) -> DataFrame:
+    """by, sent_idx, sentence, rating: of each part's sentences, int(n * coverage) best in their order; a sentence with a keyword rates 1, else 0.
+
+    vocabulary: term, for all parts, or by and term, for each part its own.
+    """
     rows = sentences(transcripts, text, by)
-    hits = rows.select(*by, "sent_idx", F.explode(F.array_distinct(token_array("sentence"))).alias("term")).join(vocabulary, "term", "left_semi").select(*by, "sent_idx").distinct()
+    on = [c for c in [*by, "term"] if c in vocabulary.columns]
+    hits = rows.select(*by, "sent_idx", F.explode(F.array_distinct(tokens("sentence"))).alias("term")).join(vocabulary, on, "left_semi").select(*by, "sent_idx").distinct()
     rated = rows.join(hits.withColumn("_hit", F.lit(1.0)), [*by, "sent_idx"], "left").withColumn("rating", F.coalesce("_hit", F.lit(0.0))).drop("_hit")
     return top_restored(rated, "rating", "sent_idx", coverage, by).drop("rank_in_part")
 
@@ -128,7 +137,8 @@ def full_sentences(slides: DataFrame, speech: DataFrame, text: str, by: list[str
 
 
 def combine(slides: DataFrame, speech: DataFrame, text: str, by: list[str], how: str = "concat", **options) -> DataFrame:
-    """by, combined, by one of the ways: only_asr, only_slides, concat (slides first), full_sents, keyword_based."""
+    """by, combined, by one of the ways: only_asr, only_slides, concat (slides first), full_sents, keyword_based (speech rated by the TextRank
+    keywords of its own part's slides)."""
     if how == "only_asr":
         return speech.select(*by, F.col(text).alias("combined"))
     if how == "only_slides":
@@ -139,8 +149,9 @@ def combine(slides: DataFrame, speech: DataFrame, text: str, by: list[str], how:
     if how == "full_sents":
         return full_sentences(slides, speech, text, by, **options).select(*by, "combined")
     if how == "keyword_based":
-        vocabulary = keyword_vocabulary(slides, text, options.pop("n_keywords", 50))
-        kept = keyword_selection(speech, text, by, vocabulary, **options)
+        from podium.operators.summarise import keywords
+
+        kept = keyword_selection(speech, text, by, keywords(slides, text, by).select(*by, "term"), tokens=word_array, **options)
         return kept.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sent_idx", "sentence"))), lambda x: x["sentence"]), " ").alias("combined"))
     raise ValueError(f"unknown way to combine: {how}")
 

@@ -211,6 +211,16 @@ def test_full_stops(spark):
     assert [x for (x,) in got(out, "word")] == ["Hi", "there", ".", "You", "."]
 
 
+def test_combine_by_keywords_of_the_own_part(spark):
+    """60 parts whose slides share common words: the sentence that each keeps is the one with its own slides' word, not with another's."""
+    slides = spark.createDataFrame([(i, f"über{i} topic lecture über{i} course über{i}") for i in range(60)], "k int, text string")
+    speech = spark.createDataFrame([(i, f"We met topic lecture course über{i + 1}. Then über{i} came.") for i in range(60)], "k int, text string")
+    words = {(r["k"], r["term"]) for r in summarise.keywords(slides, "text", "k").collect()}
+    assert words == {(i, f"über{i}") for i in range(60)}
+    out = dict(got(text.combine(slides, speech, "text", ["k"], "keyword_based", coverage=0.5), "k", "combined"))
+    assert out == {i: f"Then über{i} came." for i in range(60)}
+
+
 @pytest.mark.parametrize("method", sorted(summarise.METHODS))
 def test_extractive_is_a_subsequence(spark, method):
     body = "The sun is a star. Stars shine with light. A cat sleeps. The sun gives light to planets. Planets move around the sun."
