@@ -1,81 +1,114 @@
-"""Extractive summaries of documents, each document's sentence graph or matrix in NumPy: kernels per group, by the published methods.
+"""Extractive summaries of documents, each document's sentence graph or matrix in NumPy: kernels per document, by the published methods.
 
-A kernel sees one document's sentences; `most` sentences at most are related to each other (a matrix of most x most), longer
-documents are worked on in stretches of that many, each stretch by itself.
+A kernel sees all sentences of one document, however many. Terms are in long form and sentences are linked through the terms that they
+share, so memory goes with the terms and links that there are.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from podium.operators.ordered import top_restored
-from podium.operators.text import STOP_WORDS, sentences
+from podium.operators.text import STOP_WORDS, sentence_array
 
 _STOP = frozenset(STOP_WORDS)
+#: Letters, digits and underscores: what isalnum() tells, and "_".
+_WORD = re.compile(r"\w+")
 
 
 def _tokens(sentence: str) -> list[str]:
-    word = "".join(c if c.isalnum() or c == "_" else " " for c in sentence.lower())
-    return [t for t in word.split() if t not in _STOP]
+    return [t for t in _WORD.findall(sentence.lower()) if t not in _STOP]
 
 
-def _ranked(weights: np.ndarray, damping: float = 0.85, steps: int = 100, close: float = 1e-6) -> np.ndarray:
-    """PageRank of a weighted graph by power iteration."""
-    n = len(weights)
-    sums = weights.sum(axis=1, keepdims=True)
-    move = np.divide(weights, sums, out=np.full_like(weights, 1 / max(n, 1)), where=sums > 0)
+def _ranked(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, damping: float = 0.85, steps: int = 100, close: float = 1e-6) -> np.ndarray:
+    """PageRank of a graph of n nodes with links from a to b of weight w, by power iteration; a node without links goes anywhere."""
+    sums = np.bincount(a, w, n)
+    move, stuck = w / sums[a], (sums == 0) / max(n, 1)
     rank = np.full(n, 1 / max(n, 1))
+    if 8 * len(a) >= n * n:  # as a full matrix, no larger than the links
+        full = np.zeros((n, n))
+        full[b, a] = move
     for _ in range(steps):
-        new = (1 - damping) / n + damping * rank @ move
+        moved = full @ rank if 8 * len(a) >= n * n else np.bincount(b, rank[a] * move, n)
+        new = (1 - damping) / n + damping * (moved + stuck @ rank)
         if np.abs(new - rank).sum() < close:
             return new
         rank = new
     return rank
 
 
-def _matrix(docs: list[list[str]], idf: bool = True) -> tuple[np.ndarray, list[str]]:
-    terms = sorted({t for d in docs for t in d})
-    at = {t: i for i, t in enumerate(terms)}
-    m = np.zeros((len(docs), len(terms)))
-    for i, d in enumerate(docs):
-        for t in d:
-            m[i, at[t]] += 1
-    if idf and len(docs):
-        m *= np.log(len(docs) / np.maximum(1, (m > 0).sum(axis=0))) + 1
-    return m, terms
+def _matrix(docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Sentence, term and count of each term of each sentence, in the sentences' order, and the number of terms."""
+    at: dict[str, int] = {}
+    found = [Counter(d) for d in docs]
+    row = np.repeat(np.arange(len(docs)), [len(c) for c in found])
+    col = np.array([at.setdefault(t, len(at)) for c in found for t in c], np.int64)
+    return row, col, np.array([k for c in found for k in c.values()], float), len(at)
+
+
+def _links(n: int, row: np.ndarray, col: np.ndarray, value: np.ndarray, terms: int, weights: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, w of all pairs of sentences that weights(sentences, products of those with all) gives more than 0, a block of sentences at a time."""
+    order = np.argsort(col, kind="stable")
+    sentence, there = row[order], value[order]
+    start, first = np.searchsorted(col[order], np.arange(terms + 1)), np.searchsorted(row, np.arange(n + 1))
+    many = (start[1:] - start[:-1])[col]
+    found, each = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], max(1, 250_000 // max(n, 1))
+    for i in range(0, n, each):
+        rows = np.arange(i, min(n, i + each))
+        own = slice(first[rows[0]], first[rows[-1] + 1])
+        k = many[own]
+        at = np.arange(k.sum()) + np.repeat(start[col[own]] - (np.cumsum(k) - k), k)
+        spot = np.repeat((row[own] - i) * n, k) + sentence[at]
+        w = weights(rows, np.bincount(spot, there[at] * np.repeat(value[own], k), len(rows) * n).astype(float).reshape(len(rows), n))
+        a, b = np.nonzero(w > 0)
+        found.append((a + i, b, w[a, b]))
+    a, b, w = (np.concatenate(x) for x in zip(*found, strict=True))
+    return a, b, w
 
 
 def text_rank(docs: list[list[str]]) -> np.ndarray:
     """Sentences linked by shared words, scaled by the logarithms of their lengths."""
-    sets = [set(d) for d in docs]
     n = len(docs)
-    w = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i):
-            if len(docs[i]) > 1 and len(docs[j]) > 1:
-                w[i, j] = w[j, i] = len(sets[i] & sets[j]) / (np.log(len(docs[i])) + np.log(len(docs[j])))
-    return _ranked(w)
+    row, col, value, terms = _matrix(docs)
+    size = np.array([len(d) for d in docs])
+    logs = np.log(np.maximum(size, 1))
+
+    def weights(rows: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        fine = (size > 1) & (size[rows, None] > 1) & (np.arange(n) != rows[:, None])
+        return np.divide(shared, logs + logs[rows, None], out=np.zeros_like(shared), where=fine)
+
+    return _ranked(n, *_links(n, row, col, np.ones(len(value)), terms, weights))
 
 
 def lex_rank(docs: list[list[str]], threshold: float = 0.1) -> np.ndarray:
     """Sentences linked where the cosine of their TF-IDF vectors passes the threshold."""
-    m, _ = _matrix(docs)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-    return _ranked((m @ m.T > threshold).astype(float))
+    n = len(docs)
+    row, col, value, terms = _matrix(docs)
+    value = value * (np.log(n / np.bincount(col, minlength=terms)) + 1)[col]
+    value = value / np.sqrt(np.bincount(row, value**2, n))[row]
+    return _ranked(n, *_links(n, row, col, value, terms, lambda _, cosine: (cosine > threshold).astype(float)))
 
 
 def lsa(docs: list[list[str]], ratio: float = 1.0, least: int = 3) -> np.ndarray:
-    """Length of each sentence in the space of the strongest topics, weighed by their strength."""
-    m, terms = _matrix(docs, idf=False)
+    """Length of each sentence in the space of the strongest topics, weighed by their strength. With all topics it is the sentence's own length."""
+    row, col, value, terms = _matrix(docs)
+    n = len(docs)
     if not terms:
-        return np.zeros(len(docs))
-    m = m / np.maximum(1, m.max(axis=0))
-    _, sigma, v = np.linalg.svd(m.T, full_matrices=False)
-    k = max(least, int(len(sigma) * ratio))
+        return np.zeros(n)
+    most = np.zeros(terms)
+    np.maximum.at(most, col, value)
+    value = value / most[col]
+    k = max(least, int(min(n, terms) * ratio))
+    if k >= min(n, terms):
+        return np.sqrt(np.bincount(row, value**2, n))
+    m = np.zeros((terms, n))
+    m[col, row] = value
+    _, sigma, v = np.linalg.svd(m, full_matrices=False)
     return np.sqrt(((sigma[:k, None] * v[:k]) ** 2).sum(axis=0))
 
 
@@ -118,21 +151,24 @@ def at_random(docs: list[list[str]], seed: int = 0) -> np.ndarray:
 METHODS = {"text_rank": text_rank, "lex_rank": lex_rank, "lsa": lsa, "luhn": luhn, "edmundson": edmundson, "random": at_random}
 
 
-def extractive(df: DataFrame, text: str, by: str, method: str = "text_rank", coverage: float = 0.70, most: int = 400) -> DataFrame:
-    """by, sent_idx, sentence, rating: int(n * coverage) best sentences of each document by the method, in their order."""
+def extractive(df: DataFrame, text: str, by: str, method: str = "text_rank", coverage: float = 0.70) -> DataFrame:
+    """by, sent_idx, sentence, rating: int(n * coverage) best sentences (ties: the earlier) of each row's text by the method, in their order."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method}; there are {', '.join(METHODS)}")
     rate = METHODS[method]
-    rows = sentences(df, text, [by]).withColumn("_part", F.floor(F.col("sent_idx") / most))
 
     def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("sent_idx")
-        rating = rate([_tokens(s) for s in part["sentence"]])
-        return part.assign(rating=np.round(rating, 9))[[by, "sent_idx", "sentence", "rating"]]
-
-    kind = dict(rows.dtypes)[by]
-    rated = rows.groupBy(by, "_part").applyInPandas(kernel, f"`{by}` {kind}, sent_idx int, sentence string, rating double")
-    return top_restored(rated, "rating", "sent_idx", coverage, [by]).drop("rank_in_part")
+        out = []
+        for key, found in zip(part[by], part["_sentences"], strict=True):
+            if len(found):
+                rating = np.round(rate([_tokens(s) for s in found]), 9)
+                kept = np.sort(np.argsort(-rating, kind="stable")[: int(len(found) * coverage)])
+                out += [(key, i, found[i], rating[i]) for i in kept]
+        return pd.DataFrame(out, columns=[by, "sent_idx", "sentence", "rating"])
+
+    kind = dict(df.dtypes)[by]
+    rows = df.select(by, sentence_array(text).alias("_sentences"))
+    return rows.mapInPandas(lambda parts: map(kernel, parts), f"`{by}` {kind}, sent_idx int, sentence string, rating double")
 
 
 def keywords(df: DataFrame, text: str, by: str | list[str], share: float = 0.2, window: int = 2) -> DataFrame:

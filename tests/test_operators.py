@@ -229,6 +229,44 @@ def test_extractive_is_a_subsequence(spark, method):
     assert len(out) == 3 and [s for _, s in out] == [x + "." for x in body.rstrip(".").split(". ") if x + "." in {s for _, s in out}]
 
 
+def dense_ratings(docs, method):
+    """The rank methods and LSA of a whole text by full matrices."""
+    terms = sorted({t for d in docs for t in d})
+    m = np.array([[d.count(t) for t in terms] for d in docs], float)
+    if method == "lsa":
+        _, sigma, v = np.linalg.svd((m / np.maximum(1, m.max(axis=0))).T, full_matrices=False)
+        return np.sqrt(((sigma[:, None] * v) ** 2).sum(axis=0))
+    if method == "text_rank":
+        logs = np.log([max(1, len(d)) for d in docs])
+        long = np.array([len(d) > 1 for d in docs])
+        w = np.where(long[:, None] & long, (m > 0) @ (m > 0).T.astype(float) / np.maximum(1e-9, logs[:, None] + logs), 0)
+        np.fill_diagonal(w, 0)
+    else:
+        m *= np.log(len(docs) / np.maximum(1, (m > 0).sum(axis=0))) + 1
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+        w = (m @ m.T > 0.1).astype(float)
+    sums = w.sum(axis=1, keepdims=True)
+    move = np.divide(w, sums, out=np.full_like(w, 1 / len(w)), where=sums > 0)
+    rank = np.full(len(w), 1 / len(w))
+    for _ in range(200):
+        rank = 0.15 / len(w) + 0.85 * rank @ move
+    return rank
+
+
+@pytest.mark.parametrize("method", sorted(summarise.METHODS))
+def test_long_texts_are_rated_as_a_whole(spark, method):
+    rng = random.Random(5)
+    body = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=rng.randrange(1, 12))) for _ in range(450)] + ["the of", "alone"]
+    rows = spark.createDataFrame([(1, ". ".join(body) + "."), (2, "The of. And. 1!")], "k int, t string")
+    found = summarise.extractive(rows, "t", "k", method, 1.0).cache()
+    assert found.filter("k = 2").count() == 3
+    rating = dict(got(found.filter("k = 1"), "sent_idx", "rating"))
+    docs = [summarise._tokens(s) for s in body]
+    want = dense_ratings(docs, method) if method in ("text_rank", "lex_rank", "lsa") else summarise.METHODS[method](docs)
+    assert len(rating) == 452 and np.allclose([rating[i] for i in range(452)], want, atol=2e-6)
+
+
 def test_cluster_rules():
     with pytest.raises(ValueError):
         text.bag_of_words_rules("neural", "extractive", None, False)
