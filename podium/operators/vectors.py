@@ -37,6 +37,40 @@ def kmeans(df: DataFrame, vector: str, k: int = 20, seed: int = 0, max_iter: int
     return model.transform(rows).drop("_features"), model
 
 
+def kmeans_labels(x: np.ndarray, k: int = 20, seed: int = 0, max_iter: int = 20) -> np.ndarray:
+    """k-means of one part's rows, first centers by k-means++: each row's cluster, at most as many as there are different rows."""
+    rng, size = np.random.default_rng(seed), (x**2).sum(axis=1)
+    apart = lambda c: np.maximum(size[:, None] - 2 * x @ c.T + (c**2).sum(axis=1), 0)
+    exact = lambda c: ((x - c) ** 2).sum(axis=1)  # noqa: E731  equal rows are 0 apart
+    centers = x[[rng.integers(len(x))]]
+    nearest = exact(centers[0])
+    while len(centers) < k and nearest.sum() > 0:
+        centers = np.vstack([centers, x[rng.choice(len(x), p=nearest / nearest.sum())]])
+        nearest = np.minimum(nearest, exact(centers[-1]))
+    label = apart(centers).argmin(axis=1)
+    for _ in range(max_iter):
+        n = np.bincount(label, minlength=len(centers))
+        sums = np.zeros_like(centers)
+        np.add.at(sums, label, x)
+        centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers)
+        was, label = label, apart(centers).argmin(axis=1)
+        if np.array_equal(was, label):
+            break
+    return label
+
+
+def kmeans_by(df: DataFrame, by: str, vector: str, name: str, k: int = 20, **options) -> DataFrame:
+    """by, name, cluster_id: k-means in each part, with centers of its own."""
+
+    def kernel(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(name)
+        _, cluster = np.unique(kmeans_labels(np.stack(part[vector].to_numpy()).astype(float), k, **options), return_inverse=True)
+        return pd.DataFrame({by: part[by].to_numpy(), name: part[name].to_numpy(), "cluster_id": cluster.astype("int64")})
+
+    kinds = dict(df.dtypes)
+    return df.select(by, name, vector).groupBy(by).applyInPandas(kernel, f"`{by}` {kinds[by]}, `{name}` {kinds[name]}, cluster_id long")
+
+
 def cost_by_k(df: DataFrame, vector: str, ks: list[int], seed: int = 0) -> DataFrame:
     """k, cost: the elbow's curve."""
     rows = df.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>"))).select("_features").cache()
@@ -105,13 +139,15 @@ def affinity(df: DataFrame, by: str, vector: str, name: str, most: int = 3000, *
 
 
 def cluster_slides(df: DataFrame, method: str, order: str, vector: str, by: str | None = None, num_centroids: int = 20, **options) -> DataFrame:
-    """df's order with cluster_id, by one of the ways: segment, kmeans, normal (affinity propagation)."""
+    """df's order with cluster_id, by one of the ways: segment, kmeans, normal (affinity propagation), in each part where `by` is given."""
     from podium.operators.ordered import segment_clusters
 
     if method == "segment":
         return segment_clusters(df, order, vector, by=[by] if by else None, **options).select(*([by] if by else []), order, "cluster_id")
+    if method == "kmeans" and by:
+        return kmeans_by(df, by, vector, order, num_centroids, **options)
     if method == "kmeans":
-        return kmeans(df, vector, num_centroids, **options)[0].select(*([by] if by else []), order, F.col("cluster").cast("long").alias("cluster_id"))
+        return kmeans(df, vector, num_centroids, **options)[0].select(order, F.col("cluster").cast("long").alias("cluster_id"))
     if method == "normal":
         return affinity(df, by, vector, order, **options).select(by, order, F.col("cluster_id").cast("long").alias("cluster_id"))
     raise ValueError(f"unknown method {method}; there are segment, kmeans, normal")

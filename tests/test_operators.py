@@ -277,6 +277,18 @@ def test_cluster_rules():
 # vectors, boxes
 
 
+def test_kmeans_finds_the_slides_of_each_lecture(spark):
+    """30 lectures far from each other, with 4 slides of 5 frames each: every lecture has 4 clusters, one for each slide."""
+    rng = random.Random(6)
+    frames = [(f"l{k}", i, [1000.0 * k + rng.random() * 0.01, 5.0 * (i // 5), 1.0]) for k in range(30) for i in range(20)]
+    df = spark.createDataFrame([*frames, *(("same", i, [1.0, 1.0, 1.0]) for i in range(5))], "k string, n int, v array<double>")
+    found = {}
+    for k, n, c in got(vectors.cluster_slides(df, "kmeans", "n", "v", "k", num_centroids=4), "k", "n", "cluster_id"):
+        found.setdefault(k, {}).setdefault(c, []).append(n // 5)
+    assert list(found.pop("same").values()) == [[0] * 5] and len(found) == 30
+    assert all(sorted(map(sorted, f.values())) == [[s] * 5 for s in range(4)] for f in found.values())
+
+
 def test_affinity_finds_two_groups():
     x = np.concatenate([np.random.default_rng(0).normal(0, 0.1, (8, 2)), np.random.default_rng(1).normal(5, 0.1, (9, 2))])
     label = vectors.affinity_labels(x, preference=-8)
