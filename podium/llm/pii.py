@@ -29,6 +29,8 @@ ROUNDS = 8
 KEY = "podium-default-key"
 #: Dates from FIRST_DAY, so many days: 365 x 200.
 FIRST_DAY, YEAR_PART, YEARS = "1900-01-01", 365, 200
+#: All other dates from EARLIEST to 9999-12-31 are a domain of their own: 3,579,059 days = 1331 x 2689; so many are before FIRST_DAY.
+EARLIEST, OTHER_A, OTHER_B, BEFORE = "0001-01-01", 1331, 2689, 693_595
 
 
 def _digest(key: str, kind: str, value: Column, tweak: Column, most: Column) -> Column:
@@ -126,11 +128,18 @@ def _ssn(key: str, m: Column) -> Column:
 
 
 def _date(key: str, m: Column) -> Column:
+    """Dates of the 200 years stay in them, the others outside."""
     day = F.date_diff(F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date"), F.to_date(F.lit(FIRST_DAY)))
+    inside = YEARS * YEAR_PART
+
+    def permuted(kind: str, d: Column, most_a: int, most_b: int, first: str, skip) -> Column:
+        s = feistel(key, kind, F.floor(d / most_b), F.pmod(d, F.lit(most_b)), F.lit(most_a).cast("long"), F.lit(most_b).cast("long"))
+        return _let(s, lambda x: F.date_add(F.to_date(F.lit(first)), skip(x["a"] * most_b + x["b"]).cast("int")).cast("string"))
 
     def new(d: Column) -> Column:
-        s = feistel(key, "date", F.floor(d / YEAR_PART), F.pmod(d, F.lit(YEAR_PART)), F.lit(YEARS).cast("long"), F.lit(YEAR_PART).cast("long"))
-        return F.when((d >= 0) & (d < YEARS * YEAR_PART), _let(s, lambda x: F.date_add(F.to_date(F.lit(FIRST_DAY)), (x["a"] * YEAR_PART + x["b"]).cast("int")).cast("string")))
+        near = permuted("date", d, YEARS, YEAR_PART, FIRST_DAY, lambda i: i)
+        far = permuted("far date", F.when(d < 0, d + BEFORE).otherwise(d + BEFORE - inside), OTHER_A, OTHER_B, EARLIEST, lambda i: F.when(i < BEFORE, i).otherwise(i + inside))
+        return F.when((d >= 0) & (d < inside), near).when(d >= -BEFORE, far)  # Spark knows a year 0000
 
     return _let(day, new)
 

@@ -414,6 +414,20 @@ def test_query_finds_near_copies_at_the_line(spark, sf_dir):
 # pseudonyms
 
 
+def test_all_dates_are_replaced(spark):
+    import datetime
+
+    edges = ["0001-01-01", "1899-12-31", "2099-11-13", "2100-01-01", "9999-12-31", "1900-01-01", "2099-11-12"]
+    olds = [*edges, *(str(datetime.date(1600, 1, 1) + datetime.timedelta(days=97 * i)) for i in range(2000))]
+    df = spark.createDataFrame([(i, f"on {d} it was") for i, d in enumerate(olds)] + [(-1, "not 0000-01-01 or 2100-02-29")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["text"], r["n_date"]) for r in pii.report(df).collect()}
+    assert found.pop(-1) == ("not 0000-01-01 or 2100-02-29", 0)
+    news = [found[i][0][3:-7] for i in range(len(olds))]
+    assert {n for _, n in found.values()} == {1} and len(set(news)) == len(set(olds)) and sum(a == b for a, b in zip(olds, news, strict=True)) < 3
+    inside = lambda d: "1900-01-01" <= d <= "2099-11-12"
+    assert all(str(datetime.date.fromisoformat(b)) == b and inside(a) == inside(b) for a, b in zip(olds, news, strict=True))
+
+
 def test_pseudonyms(spark):
     text = 'call +1 (743) 555-3824 or 743-555-3824, cards 4111111111111111 4111-1111-1111-1111 4111111111111112; ip 227.5.221.1. and 300.1.1.1 mail bob@mail5.example.com. ssn 123-45-6789 000-12-3456 on 2024-02-29, not 2023-02-29; token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end'
     df = spark.createDataFrame([(1, text), (2, "again 4111111111111111, bob@mail5.example.com"), (3, None), (4, "clean 12 text 1234567890123456")], "doc_id long, text string")
