@@ -135,7 +135,7 @@ def punctuated_words(spark, sf_dir):
 
 def _summary(method: str):
     def query(spark, sf_dir):
-        return summarise.extractive(table(spark, sf_dir, "benchmark"), "text", "item_id", method)
+        return summarise.extractive(table(spark, sf_dir, "documents"), "text", "doc_id", method)
 
     return query
 
@@ -151,7 +151,7 @@ def text_rank_keywords(spark, sf_dir):
 
 @_R.add("cluster_summary")
 def cluster_summary(spark, sf_dir):
-    return text.cluster_summary(table(spark, sf_dir, "benchmark"), "text", "item_id", k=10).select("cluster", "sentence", "rating")
+    return text.cluster_summary(table(spark, sf_dir, "documents"), "text", "doc_id", k=10).select("cluster", "sentence", "rating")
 
 
 QUERIES, ORACLE_SQL = _R.queries, _R.sql

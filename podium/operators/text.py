@@ -187,7 +187,7 @@ def cluster_summary(df: DataFrame, text: str, key: str, coverage: float = 0.70,
     bag_of_words_rules(feature_extraction, "abstractive" if summarise else "extractive", final_sort_by, titles is not None)
     rows = sentences(df, text, [key]).withColumn("sent_order", F.struct(F.col(key), F.col("sent_idx")))
     rows = rows.withColumn("_key", F.xxhash64(key, "sent_idx"))
-    featured = hashed_features(rows, "sentence", 1024)
+    featured = hashed_features(rows, "sentence", 10_000)
     model = KMeans(k=k, maxIter=100, seed=seed, featuresCol="features", predictionCol="cluster").fit(featured)
     rating = tfidf(rows, "sentence", "_key").groupBy("_key").agg(F.sum("weight").alias("rating"))
     rated = model.transform(featured).drop("features").join(rating, "_key", "left").withColumn("rating", F.coalesce("rating", F.lit(0.0)))
