@@ -2,36 +2,63 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a batch that goes to a Python worker.
-ROWS_PER_BATCH = 2500
+#: Rows and bytes of a batch that goes to a Python worker: it ends with whichever is reached first.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 2500, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where it is set.
 
-    Only where it is unset (a local session, as in tests) a folder of this machine is made and kept in the setting.
+    Only where it is unset in a local session, as in tests, a folder of this machine is made and kept in the setting. On a cluster each
+    executor would write to its own disk, so there it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("podium.local.shared.dir", None)
         if not found:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="podium-shared-")
+            atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
             spark.conf.set("podium.local.shared.dir", found)
     return found
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/podium-{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/podium-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes what `materialise` wrote for these frames: nothing that is still to run may rest on them."""
+    for df in written:
+        delete(df.sparkSession, _WRITTEN.pop(df))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +66,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets whole texts go to Python workers in batches of at most 2500: each is held by the JVM and by the worker at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ROWS_PER_BATCH:
-        spark.conf.set(key, str(ROWS_PER_BATCH))
+    """Bounds, for the session, the batches in which whole texts go to Python workers: each is held by the JVM and by the worker at once.
+
+    Plans read the setting when they run, after this returns, so it stays; lower ones of the caller are left as they are.
+    """
+    for key, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}").removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def texts(df: DataFrame, *more: str) -> DataFrame:

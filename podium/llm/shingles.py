@@ -9,18 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-from podium.llm.tokens import slices
+from podium.llm.tokens import _P, mixed, slices
 
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 4_000_000
-_M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A permutation of 64-bit values that spreads all bits."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

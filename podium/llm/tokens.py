@@ -1,33 +1,56 @@
-"""Token ids of whole texts, by the tokenizers library, word by word where that is exact."""
+"""Token ids of whole texts, by the tokenizers library, word by word where the tokenizer's own steps make that exact."""
 
 from __future__ import annotations
 
+import codecs
 import contextlib
 import ctypes
+import json
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Words that a worker keeps (some 40 bytes each); beyond that it starts anew.
-KEPT_WORDS = 2_000_000
-#: Signs that are cut off a word's end where the tokenizer splits there anyway.
+_M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+#: Stems and other parts of words that a worker keeps (some 45 bytes each); beyond that it starts anew.
+KEPT_PARTS = 1_000_000
+#: Signs that are cut off a word of letters.
 SIGNS = ".,;:!?%&#*$|"
 #: Words in one call of the library.
 CALL_WORDS = 20_000
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
+#: Fixed value: the pattern of a pre-tokenizer that keeps runs of letters, single digits and runs of signs, and drops white space.
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Small letters whose case, composition and class are beyond doubt: ASCII and Latin-1.
+LETTERS = "[a-zß-öø-ÿ]+"
 
-_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
+def whole_words(scheme: dict) -> bool:
+    """Whether, by a tokenizer's own description, a text's ids are those of its words in a row, and a word of letters (LETTERS, whatever
+    the case of its ASCII letters) and signs has those of its letters and those of its signs.
 
-def _gather(pool: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    That is so if normalisation is by sign, but for composition, which never reaches across white space or a sign; if every run of
+    letters and of signs is a pre-token of its own and white space none; and if no added token has white space in it or takes it in.
+    """
+
+    def steps(x, inner):
+        return [] if x is None else [y for z in x[inner] for y in steps(z, inner)] if x["type"] == "Sequence" else [x]
+
+    normal, cut, model = steps(scheme["normalizer"], "normalizers"), steps(scheme["pre_tokenizer"], "pretokenizers"), scheme["model"]
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    plain_text = all(x["type"] in ("NFC", "Lowercase") or x == blanks for x in normal) and any(x["type"] == "Lowercase" for x in normal)
+    runs = len(cut) == 2 and cut[0] == {"type": "Split", "pattern": {"Regex": RUNS}, "behavior": "Removed", "invert": True}
+    by_byte = runs and cut[1]["type"] == "ByteLevel" and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"]
+    added = all(x["content"].startswith("<|") and len(x["content"].split()) == 1 and not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in scheme["added_tokens"])
+    return bool(plain_text and by_byte and added and model["type"] == "BPE" and not model["dropout"] and scheme["truncation"] is None and scheme["padding"] is None)
+
+
+def _gather(pool: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of pool in a row, and where each begins (one more entry than runs)."""
-    sizes = end - begin
     ends = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=ends[1:])
     at = np.repeat((begin - ends[:-1]).astype(np.int32), sizes)  # pools have less than 2^31 ids
@@ -35,103 +58,138 @@ def _gather(pool: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return pool[at], ends
 
 
-class Words:
-    """Ids of words, found by 128-bit hashes: sorted arrays, for a dictionary of strings would need five times the memory."""
+def _string_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers that tell strings apart: up to 15 bytes by themselves and their length, longer ones by a 128-bit hash."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+    sizes = np.diff(offsets)
+    flat = np.concatenate([data[offsets[0] : offsets[-1]], np.zeros(16, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(flat, 16)[offsets[:-1] - offsets[0]]
+    rows[np.arange(16) >= sizes[:, None]] = 0
+    rows[:, 15] = np.minimum(sizes, 255)
+    if len(long := np.flatnonzero(sizes > 15)):
+        rows[long] = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.as_buffer()) for x in column.take(pa.array(long)).cast(pa.binary())), np.uint8).reshape(-1, 16)
+    both = rows.view(np.uint64)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit values that spreads all bits."""
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+class Parts:
+    """Ids of stems and other parts of words, in arrays sorted by key: a dictionary of strings would need five times the memory."""
 
     def __init__(self):
         self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each word (a row of two hashes); -1 of those that aren't there."""
-        if not len(self.key):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.key, hashes[:, 0]), len(self.key) - 1)
-        return np.where((self.key[at] == hashes[:, 0]) & (self.check[at] == hashes[:, 1]), at, -1)
+    @staticmethod
+    def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A key that, with `a`, leaves no doubt about b."""
+        with np.errstate(over="ignore"):
+            return mixed(a * _P + b)
 
-    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Words that aren't there, with all their ids in a row. Numbers of words change."""
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Number of each part; -1 of those that aren't there."""
+        if not len(self.key):
+            return np.full(len(a), -1)
+        key = self._key(a, b)
+        order = np.argsort(key)  # sorted questions are answered from the processor's cache
+        at = np.empty(len(a), np.int64)
+        at[order] = np.searchsorted(self.key, key[order])
+        np.minimum(at, len(self.key) - 1, out=at)
+        at[(self.key[at] != key) | (self.check[at] != a)] = -1
+        return at
+
+    def add(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Parts that aren't there, with all their ids in a row. Numbers of parts change."""
         while len(self.ids) < self.used + len(ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
         begin = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
-        key = np.concatenate([self.key, hashes[:, 0]])
-        order = np.argsort(key, kind="stable")
-        self.key, self.check = key[order], np.concatenate([self.check, hashes[:, 1]])[order]
-        self.begin, self.size = np.concatenate([self.begin, begin])[order], np.concatenate([self.size, sizes.astype(np.int32)])[order]
-
-    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words by number, and where each word's begin (one more entry than words)."""
-        return _gather(self.ids, self.begin[at], self.begin[at] + self.size[at])
-
-
-def _hashes(words: list[str]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+        key = self._key(a, b)
+        order = np.argsort(key)
+        at = np.searchsorted(self.key, key[order])
+        put = lambda old, new: np.insert(old, at, new[order])
+        self.key, self.check, self.begin, self.size = put(self.key, key), put(self.check, a), put(self.begin, begin), put(self.size, sizes.astype(np.int32))
 
 
 class Encoder:
     """Encodes columns of texts.
 
-    Where the tokenizer drops ASCII white space and never joins across it, a text's ids are those of its
-    white-space-separated words in a row. Then each distinct word of a batch is encoded once and kept; words that differ in case or in
-    the signs at their end share their stems' ids where these, too, are found to make no difference. That all this holds is
-    tried on the first texts against the plain call; where it doesn't, every text goes through the plain call.
+    Where the tokenizer's description shows that words are independent (`whole_words`), each distinct stem of a batch is encoded once and
+    kept, and a text's ids are put together from them. For any other tokenizer every text goes through the plain call.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word: bool | None = None
-        one = lambda x: self.plain([x])[0]
-        self.lowers = one("ABCXYZ") == one("abcxyz") and one("A1b") == one("a1b")
-        self.cuts = all(one("a" + x) == one("a") + one(x) and one("7" + x + x) == one("7") + one(x + x) for x in SIGNS)
-        self.known = Words()
+        with open(path, encoding="utf-8") as f:
+            self.by_word = whole_words(json.load(f))
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        table = list(map(chr, range(256)))  # the model spells bytes as signs: those of U+00C0 to U+00FF
+        for c in range(0xC0, 0x100):
+            table[0xC3], table[0x80 + c - 0xC0] = spell(chr(c))[0][0]
+        self.spelling = "".join(table)
+        self.known = Parts()
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _numbers(self, words: list[str], split: bool) -> np.ndarray:
-        """Numbers of the words, new ones encoded and added; split: by their stems and what follows."""
-        hashes = _hashes(words)
-        at = self.known.find(hashes)
-        new = np.flatnonzero(at < 0)
-        if not len(new):
-            return at
-        fresh = [words[i] for i in new.tolist()]
-        if split:
-            low = [w.lower() if w.isascii() and "<|" not in w else w for w in fresh] if self.lowers else fresh  # a special token's name is as it is
-            stems = [s if (s := w.rstrip(SIGNS)) and s[-1] in _PLAIN and "<|" not in w else w for w in low] if self.cuts else low
-            tails = [w[len(s) :] for w, s in zip(low, stems, strict=True)]
-            parts = list(dict.fromkeys(chain(stems, tails)))
-            place = dict(zip(parts, self._numbers(parts, False).tolist(), strict=True))
-            both = np.empty(2 * len(fresh), np.int64)
-            both[::2], both[1::2] = [place[s] for s in stems], [place[t] for t in tails]
-            ids, ends = self.known.of(both)
-            missing = self.known.find(hashes[new]) < 0  # a word may be its own stem
-            sizes = ends[2::2] - ends[:-2:2]
-            self.known.add(hashes[new][missing], ids[np.repeat(missing, sizes)], sizes[missing])
-        else:
-            for k in range(0, len(fresh), CALL_WORDS):
-                part = fresh[k : k + CALL_WORDS]
-                done = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-                sizes = np.bincount(np.array(done.word_ids, np.int64), minlength=len(part))
-                self.known.add(hashes[new[k : k + CALL_WORDS]], np.array(done.ids, np.uint32), sizes)
-        return self.known.find(hashes)
+    def _encoded(self, parts: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts in a row, and their numbers of ids."""
+        stems, others = parts.filter(pa.array(letters)).to_pylist(), parts.filter(pa.array(~letters)).to_pylist()
+        tokens = list(map(self.tokenizer.model.tokenize, codecs.charmap_decode("\n".join(stems).encode(), "strict", self.spelling)[0].split("\n") if stems else []))
+        sizes = np.empty(len(parts), np.int64)
+        sizes[letters] = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ids = [np.fromiter((t.id for x in tokens for t in x), np.uint32)]
+        counts = []
+        for k in range(0, len(others), CALL_WORDS):
+            part = others[k : k + CALL_WORDS]
+            done = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            counts.append(np.bincount(np.array(done.word_ids, np.int64), minlength=len(part)))
+            ids.append(np.array(done.ids, np.uint32))
+        if counts:
+            sizes[~letters] = np.concatenate(counts)
+        begin = np.empty(len(parts), np.int64)
+        order = np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return _gather(np.concatenate(ids), begin, sizes)[0], sizes
 
     def _by_word(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        parts = pc.ascii_split_whitespace(column)
-        bounds = np.asarray(parts.offsets, dtype=np.int64)
-        coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known.key) + 2 * len(words) > KEPT_WORDS:
-            self.known = Words()
-        at = self._numbers(words, True) if words else np.zeros(0, np.int64)
-        if (at < 0).any():  # two words with the same first 64 bits of their hashes
-            return self._whole(column)
-        ids, ends = self.known.of(at[np.asarray(coded.indices, dtype=np.int64)])
+        split = pc.ascii_split_whitespace(column)
+        bounds = np.asarray(split.offsets, dtype=np.int64)
+        coded = split.flatten().dictionary_encode()
+        del split
+        words = coded.dictionary
+        low = pc.ascii_lower(words)
+        stem = pc.ascii_rtrim(low, characters=SIGNS)
+        is_stem = pc.match_substring_regex(stem, f"^{LETTERS}$")
+        ends = pc.if_else(is_stem, pc.replace_substring_regex(low, f"^{LETTERS}", ""), "")
+        parts = pa.concat_arrays([pc.if_else(is_stem, stem, words), ends]).dictionary_encode()  # a word with other signs is one part as it is
+        if len(self.known.key) + len(parts.dictionary) > KEPT_PARTS:
+            self.known = Parts()
+        a, b = _string_keys(parts.dictionary)
+        at = self.known.find(a, b)
+        if len(new := np.flatnonzero(at < 0)):
+            fresh = parts.dictionary.take(pa.array(new))
+            ids, sizes = self._encoded(fresh, np.asarray(pc.match_substring_regex(fresh, f"^{LETTERS}$")))
+            self.known.add(a[new], b[new], ids, sizes)
+            at = self.known.find(a, b)
+            if (at < 0).any():  # two parts with the same key
+                return self._whole(column)
+        place = at[np.asarray(parts.indices, dtype=np.int64)].reshape(2, -1).T.reshape(-1)  # a word's stem, then its end
+        pool, starts = _gather(self.known.ids, self.known.begin[place], self.known.size[place])
+        starts = starts[::2]
+        word = np.asarray(coded.indices, dtype=np.int64)
+        ids, ends = _gather(pool, starts[word], np.diff(starts)[word])
         return ids, ends[bounds - bounds[0]]
 
     def _whole(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -140,11 +198,7 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin (one more entry than texts)."""
-        if self.by_word is None:
-            head = column.slice(0, 8)
-            ids, ends = self._by_word(head)
-            self.by_word = [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == self.plain(head.to_pylist())
-        return self._by_word(column) if self.by_word else self._whole(column)
+        return self._by_word(column) if self.by_word and len(column) else self._whole(column)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -179,15 +233,18 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def encoded(path: str, batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Each batch with its texts' ids, the end id appended. A null text is empty."""
+def encoded(path: str, batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Each batch with its texts' ids in a row, the end id behind each text's, and where each text's begin (one more entry than texts).
+
+    A null text is empty.
+    """
     enc = encoder(path)
     for batch in slices(batches):
         ids, ends = enc.encode(pc.fill_null(batch.column("text"), ""))
         n = batch.num_rows
-        whole = np.full(len(ids) + n, end_id, np.uint32)
+        whole = np.full(len(ids) + n, end_id, "<u4")
         own = np.ones(len(whole), bool)
         own[ends[1:] + np.arange(n)] = False
         whole[own] = ids
-        ends = ends + np.arange(n + 1)
-        yield batch, [whole[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        del ids, own
+        yield batch, whole, ends + np.arange(n + 1)

@@ -4,11 +4,14 @@ columns with clashing names."""
 import binascii
 import collections
 import hashlib
+import io
+import json
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from podium.llm import bwt, graph, licenses, mixing, ngram_join, packing, pii, quality, rules, simhash, substring_dedup, token_files
 from podium.llm.common import read_table, texts
 from podium.llm.queries import QUERIES, tokenizer_path
+from podium.llm.tokens import Encoder, whole_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 997}" for i in range(30_000))
@@ -131,6 +135,48 @@ def test_packing(odd, docs, plain):
     assert n <= -(-total // 4096) + 2
 
 
+def test_equal_rows_are_packed_each_for_itself(spark):
+    many = spark.createDataFrame([(None, "the same row, again and again")] * 500 + [(3, LONG)] * 3, "doc_id long, text string").repartition(3)
+    check_packed(rows(packing.pack(many, tokenizer_path())), [(r[0], r[1]) for r in many.collect()], 4096)
+
+
+def test_words_are_independent(plain):
+    """The word by word encoding against the plain call, on signs of all kinds."""
+    enc = Encoder(tokenizer_path())
+    assert enc.by_word
+    signs = list("abcXYZ  \n\t\r.,;:!?%&#*$|'<>-_0129éÉßẞÿŸµªºİıſKǺ\u0308 \u0085 日本😀ÀÞ×÷øØñ\x00\x1c\u200bΣς") + ["<|startoftext|>", "<|endoftext|>", "'s", "'LL", "don't", "word", "The"]
+    rng = random.Random(5)
+    some = ["".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(5000)] + ["", "  ", "\x00", "ab\x00 ab", LONG[:50_000]] + [t for _, t in plain[:200]]
+    ids, ends = enc.encode(pa.array(some))
+    for i, want in enumerate(enc.plain(some)):
+        assert ids[ends[i] : ends[i + 1]].tolist() == want
+
+
+def test_other_tokenizers_are_asked_for_whole_texts():
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        scheme = json.load(f) | {"model": {"type": "BPE", "dropout": None}}
+    assert whole_words(scheme)
+    assert not whole_words(scheme | {"normalizer": None}) and not whole_words(scheme | {"truncation": {"max_length": 5}})
+    assert not whole_words(scheme | {"normalizer": {"type": "Sequence", "normalizers": [{"type": "Lowercase"}, {"type": "Prepend", "prepend": "_"}]}})
+    assert not whole_words(scheme | {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}})
+    assert not whole_words(scheme | {"added_tokens": [{"content": "a b", "lstrip": False, "rstrip": False, "single_word": False}]})
+
+
+def test_indexes_are_not_gone_through_again():
+    left = np.zeros(4097, np.int64)
+    left[1:2000] = 50
+    sums = packing.Sums(left)
+    n = sum(map(len, sums.pairs().values()))
+    for gap in range(2, 4096):
+        a, b = sums.pair(gap, 1) or (None, None)
+        assert a is None or (a + b == gap and left[a] and left[b])
+    assert sums.looked <= 4096 * 2
+    left[:] = 0
+    for gap in range(2, 4096):
+        assert sums.pair(gap, 1) is None and sums.triple(gap, 1) is None
+    assert sums.looked <= 4096 * 3 + n + sum(map(len, sums.triples().values()))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_hold_every_piece_once(seed):
     rng = np.random.default_rng(seed)
@@ -150,24 +196,39 @@ def test_exact_complements_are_used():
 
 
 @pytest.mark.parametrize("kind", ["byte", "bit"])
-def test_files_round_trip(kind, tmp_path, odd):
+def test_files_round_trip(kind, tmp_path, odd, monkeypatch):
     rng = np.random.default_rng(1)
     own = [(None if i == 0 else i, rng.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32)) for i, n in enumerate((1, 5, 70_000, 0, 200_000))]
-    data = token_files.write_file(own, kind)
-    token_files.to_path(data, str(tmp_path / "ids"))
-    reader = token_files.from_path(str(tmp_path / "ids"))
+    with open(tmp_path / "ids", "wb") as f:
+        out = token_files.Writer(f, kind)
+        for d, x in own:
+            out.add(d, x)
+        out.close()
+    reader = token_files.Reader(open(tmp_path / "ids", "rb"))
     assert [d for d, *_ in reader.documents()] == [d for d, _ in own]
     assert all((got == want).all() for (_, _, got), (_, want) in zip(reader.documents(), own, strict=True))
     every = np.concatenate([x for _, x in own])
     assert (reader.ids(65_000, 140_000) == every[65_000:140_000]).all()
+    read = reader.chunk
+    asked = []
+    reader.chunk = lambda k: asked.append(k) or read(k)
+    reader.ids(70_000, 80_000)
+    assert asked == [1]  # only the chunk that holds them
     with pytest.raises(ValueError):
-        token_files.Reader(data[:-1])
-    found = sorted(rows(token_files.read(token_files.write(odd, tokenizer_path(), kind=kind))), key=lambda r: r[1])
+        token_files.Reader(io.BytesIO((tmp_path / "ids").read_bytes()[:-1]))
+    monkeypatch.setattr(token_files, "FILE_IDS", 20)
+    files = token_files.write(odd, tokenizer_path(), kind=kind, folder=str(tmp_path / "out"))
+    found = sorted(rows(token_files.read(files)), key=lambda r: r[1])
     want = sorted(zip([r[0] for r in ODD], ids_of([r[1] for r in ODD]), strict=True), key=lambda x: (x[0] is not None, x[0] or 0))
     at = 0
     for (d, start, n, crc), (e, x) in zip(found, want, strict=True):
         assert (d, start, n, crc) == (e, at, len(x), zlib.crc32(x.tobytes()))
         at += n
+    # the files are there by name, in order, and nothing but Python opens them
+    names = sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith("."))
+    assert names == sorted(r["path"].rsplit("/", 1)[1] for r in files.collect()) and len(names) > 1
+    outside = [x for p in names for x in token_files.Reader(open(tmp_path / "out" / p, "rb")).documents()]
+    assert [d for d, *_ in outside] == [e for e, _ in want] and all((a == b).all() for (*_, a), (_, b) in zip(outside, want, strict=True))
 
 
 # repeated bytes
