@@ -2,7 +2,8 @@
 
 A notice of m characters with at most e edits, cut into e + 1 pieces, keeps one piece unchanged (pigeonhole). All notices' pieces are
 found at once by an Aho-Corasick automaton; around each hit the regex library matches the notice with at most e errors and reports its
-span. Both work on whole texts with ASCII letters in lower case.
+span. The words and numbers that tell a license from its neighbours (in braces below) admit no edit, and end where they end. Both searches
+work on whole texts with ASCII letters in lower case.
 """
 
 from __future__ import annotations
@@ -21,21 +22,46 @@ from podium.llm.tokens import slices
 
 #: Phrases of words and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Short notices and their labels.
+#: Short notices, with what decides between them in braces, and their labels.
 NOTICES = {
-    "licensed under the gnu general public license, version 3": "gpl-3",
-    "licensed under the apache license, version 2.0": "apache-2.0",
-    "released under the mit license": "mit",
-    "licensed under cc by-nc 4.0": "cc-by-nc",
-    "licensed under cc by-sa 4.0": "cc-by-sa",
-    "licensed under the creative commons attribution": "cc-by",
+    "licensed under the {gnu general public} license, {version 2}": "gpl-2",
+    "licensed under the {gnu general public} license, {version 3}": "gpl-3",
+    "licensed under the {gnu lesser general public} license": "lgpl",
+    "licensed under the {gnu affero general public} license": "agpl",
+    "licensed under the {apache} license, {version 1.1}": "apache-1.1",
+    "licensed under the {apache} license, {version 2.0}": "apache-2.0",
+    "released under the {mit} license": "mit",
+    "released under the {bsd} license": "bsd",
+    "released under the {isc} license": "isc",
+    "licensed under {cc by} 4.0": "cc-by",
+    "licensed under {cc by-nc} 4.0": "cc-by-nc",
+    "licensed under {cc by-nd} 4.0": "cc-by-nd",
+    "licensed under {cc by-sa} 4.0": "cc-by-sa",
+    "licensed under {cc by-nc-nd} 4.0": "cc-by-nc-nd",
+    "licensed under {cc by-nc-sa} 4.0": "cc-by-nc-sa",
+    "licensed under the creative commons {attribution}": "cc-by",
+    "licensed under the creative commons {attribution-noncommercial}": "cc-by-nc",
+    "licensed under the creative commons {attribution-noderivatives}": "cc-by-nd",
+    "licensed under the creative commons {attribution-sharealike}": "cc-by-sa",
     "permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
+    "permission to use, copy, modify, and/or distribute this software for any purpose": "isc",
     "redistribution and use in source and binary forms, with or without modification": "bsd",
-    "subject to the terms of the mozilla public license": "mpl",
+    "subject to the terms of the {mozilla} public license": "mpl",
     "spdx-license-identifier:": "spdx",
 }
-#: Edits allowed: one for so many characters.
-PER_EDIT = 10
+#: How a deciding part may be written, where not only as it stands; and what may not stand around one.
+WRITTEN = {
+    "version 2": "version 2(?:[.]0)?",
+    "version 3": "version 3(?:[.]0)?",
+    "version 2.0": "version 2(?:[.]0)?",
+    "attribution": "attribution(?! ?non| ?no| ?share)",
+    "attribution-noncommercial": "attribution[- ]non-?commercial",
+    "attribution-noderivatives": "attribution[- ]no-?deriv(?:ative)?s",
+    "attribution-sharealike": "attribution[- ]share-?alike",
+}
+BEFORE, BEHIND = r"(?<![\w.])", r"(?!\w|-[a-z]|[.]\d)"
+#: Edits allowed: one for so many characters; characters that a deciding part may be longer by than it stands, or that are looked at behind it.
+PER_EDIT, REACH = 10, 8
 
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[0x30:0x3A] = _IS_WORD[0x61:0x7B] = _IS_WORD[0x80:] = True
@@ -53,39 +79,56 @@ def seeds(notice: str) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+class Notice:
+    """A notice: its characters, the errors that it may have, and a pattern of its parts, the deciding ones exact."""
+
+    def __init__(self, marked: str, label: str):
+        parts = re.split(r"[{}]", marked)  # every other one decides
+        self.label, self.text = label, "".join(parts)
+        self.edits = edits(self.text)
+        exact = lambda x: BEFORE + "(?:" + WRITTEN.get(x, regex.escape(x)) + ")" + BEHIND
+        fuzzy = lambda x: f"(?:{regex.escape(x)}){{e<={self.edits}}}" if x else ""
+        self.pattern = regex.compile("".join(exact(x) if i % 2 else fuzzy(x) for i, x in enumerate(parts)), regex.BESTMATCH)
+
+    def match(self, low: str, start: int, stop: int) -> tuple[int, int, int] | None:
+        """Start, end and errors of the best match there."""
+        hit = self.pattern.search(low, max(0, start), stop)
+        return (*hit.span(), sum(hit.fuzzy_counts)) if hit and sum(hit.fuzzy_counts) <= self.edits else None
+
+
 class Searcher:
     """Finds the notices in a text."""
 
     def __init__(self, notices: dict[str, str] = NOTICES):
-        self.notices = list(notices.items())
-        self.patterns = [regex.compile(f"(?:{regex.escape(t)}){{e<={edits(t)}}}", regex.BESTMATCH) for t, _ in self.notices]
+        self.notices = [Notice(*x) for x in notices.items()]
         places: dict[str, list[tuple[int, int]]] = {}
-        for k, (t, _) in enumerate(self.notices):
-            for at, piece in seeds(t):
+        for k, x in enumerate(self.notices):
+            for at, piece in seeds(x.text):
                 places.setdefault(piece, []).append((k, at))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
 
-    def find(self, low: str) -> list[tuple[str, int, int, int]]:
-        """label, start, end, errors of each notice found in a text in lower case, by start; a stretch of text is one notice's once."""
+    def find(self, low: str) -> list[tuple[str, int, int, int, float]]:
+        """label, start, end, errors and score (1 less the share of the notice's characters that are edited) of each notice found in a text in
+        lower case, by start; a stretch of text is one notice's once, the nearest one's."""
         spans: dict[int, list[tuple[int, int, int]]] = {}
         for end, (size, where) in self.automaton.iter(low):
             for k, at in where:
-                text, e = self.notices[k][0], edits(self.notices[k][0])
-                begin = end + 1 - size - at
+                notice = self.notices[k]
+                begin, seed = end + 1 - size - at, end + 1 - size
                 seen = spans.setdefault(k, [])
-                if any(a <= end + 1 - size and end < b for a, b, _ in seen[-2:]):
+                if any(a <= seed and end < b for a, b, _ in seen[-2:]):
                     continue
-                if hit := self.patterns[k].search(low, max(0, begin - e), begin + len(text) + e):
-                    if not any(a < hit.end() and hit.start() < b for a, b, _ in seen[-2:]):
-                        seen.append((hit.start(), hit.end(), sum(hit.fuzzy_counts)))
-        best: list[tuple[int, int, int, str]] = []
-        for n, a, b, k in sorted((n, a, b, k) for k, found in spans.items() for a, b, n in found):
-            if all(b <= c or d <= a for c, d, _, _ in best):  # of notices at the same place the nearest
-                best.append((a, b, n, self.notices[k][1]))
-        return [(label, a, b, n) for a, b, n, label in sorted(best)]
+                if hit := notice.match(low, begin - notice.edits, begin + len(notice.text) + notice.edits + REACH):
+                    if not any(a < hit[1] and hit[0] < b for a, b, _ in seen[-2:]):
+                        seen.append(hit)
+        best: list[tuple[int, int, int, int]] = []
+        for _, _, a, b, n, k in sorted((n, -len(self.notices[k].text), a, b, n, k) for k, found in spans.items() for a, b, n in found):
+            if all(b <= c or d <= a for c, d, _, _ in best):  # of notices at the same place the nearest, the longer of equally near ones
+                best.append((a, b, n, k))
+        return [(self.notices[k].label, a, b, n, 1 - n / len(self.notices[k].text)) for a, b, n, k in sorted(best)]
 
 
 _SEARCHER: list[Searcher] = []
@@ -121,14 +164,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of every document.
 
     labels holds the phrases' and the notices' labels; score is 1 less the share of a notice's characters that are edited, of the best
-    one (1 for a phrase, 0 without any); spans is a JSON list of [label, start, end, errors] in code points. A null or empty text has no
+    span (1 for a phrase, 0 without any); spans is a JSON list of [label, start, end, errors] in code points. A null or empty text has no
     words and empty labels. Equal rows get equal results; an empty table gives no rows; other columns are ignored.
     """
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
     types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.string()]
-    size = {}
-    for text, label in NOTICES.items():
-        size[label] = max(size.get(label, 0), len(text))
 
     def run(batches):
         searcher = _searcher()
@@ -139,8 +179,8 @@ def scan(docs: DataFrame) -> DataFrame:
             for doc, text, n, base in zip(batch.column("doc_id").to_pylist(), raw, counts.tolist(), found, strict=True):
                 spans = searcher.find(text.decode("utf-8", "replace"))
                 own, at = {x for _, x in base}, [k for k, _ in base]
-                score = 1.0 if base else max((1 - e / size[x] for x, _, _, e in spans), default=0.0)
-                rows.append((doc, n, len(base), min(at, default=None), max(at, default=None), ",".join(sorted(own)), ",".join(sorted(own | {x for x, *_ in spans})), score, json.dumps(spans)))
+                score = 1.0 if base else max((x[4] for x in spans), default=0.0)
+                rows.append((doc, n, len(base), min(at, default=None), max(at, default=None), ",".join(sorted(own)), ",".join(sorted(own | {x for x, *_ in spans})), score, json.dumps([x[:4] for x in spans])))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
     return texts(docs).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string")

@@ -296,12 +296,63 @@ def test_licenses(spark, plain, docs):
 def test_notices_with_edits():
     notice = "permission is hereby granted, free of charge, to any person obtaining a copy"
     find = licenses.Searcher().find
-    assert find("x " + notice + " y") == [("mit", 2, 2 + len(notice), 0)]
+    assert find("x " + notice + " y") == [("mit", 2, 2 + len(notice), 0, 1.0)]
     spoilt = "x " + notice.replace("hereby", "herby").replace("charge", "chaarge").replace("person", "p3rson")
-    assert [(a, n) for a, *_, n in find(spoilt)] == [("mit", 3)]
+    assert [(a, n) for a, _, _, n, _ in find(spoilt)] == [("mit", 3)]
     assert find("permission to copy is not given") == []
-    for t in licenses.NOTICES:  # each piece alone leads to the notice
+    for marked, label in licenses.NOTICES.items():  # each piece alone leads to the notice
+        t = licenses.Notice(marked, label).text
         assert len(licenses.seeds(t)) == licenses.edits(t) + 1 and "".join(p for _, p in licenses.seeds(t)) == t
+        assert [(x, n) for x, *_, n, _ in find(f"a {t} b")] == [(label, 0)]
+
+
+NEAR_MISSES = {
+    "released under the mit license": {"mit"}, "released under the mit lixxxse": {"mit"}, "relesed under the mit licence": {"mit"},
+    "released under the bsd license": {"bsd"}, "released under the isc license": {"isc"}, "released under the gpl license": set(),
+    "released under the permit license": set(), "released under the mitt license": set(), "released under the mix license": set(),
+    "licensed under the gnu general public license, version 2": {"gpl-2"}, "licensed under the gnu general public license version 2.0": {"gpl-2"},
+    "licensed under the gnu general public license, version 3": {"gpl-3"}, "licenced under the gnu general public licence, version 3 or later": {"gpl-3"},
+    "licensed under the gnu general public license, version 4": set(), "licensed under the gnu general public license, version 30": set(),
+    "licensed under the gnu lesser general public license": {"lgpl"}, "licensed under the gnu affero general public license, version 3": {"agpl"},
+    "licensed under the apache license, version 1.1": {"apache-1.1"}, "licensed under the apache license, version 2.0": {"apache-2.0"},
+    "licensed under the apache license version 2": {"apache-2.0"}, "licensed under the apache license, version 2.1": set(),
+    "licensed under cc by 4.0": {"cc-by"}, "licensed under cc by-nc 4.0": {"cc-by-nc"}, "licensed under cc by-nd 4.0": {"cc-by-nd"}, "licensed under cc by-sa 4.0": {"cc-by-sa"},
+    "licensed under cc by-nc-nd 4.0": {"cc-by-nc-nd"}, "licensed under cc by-nc-sa 4.0": {"cc-by-nc-sa"}, "lisensed under cc by-nc 4.0": {"cc-by-nc"},
+    "licensed under the creative commons attribution 4.0 international license": {"cc-by"}, "licensed under the creative commons attribution": {"cc-by"},
+    "licensed under the creative commons attribution-sharealike 4.0": {"cc-by-sa"}, "licensed under the creative commons attribution sharealike": {"cc-by-sa"},
+    "licensed under the creative commons attribution-noncommercial 4.0": {"cc-by-nc"}, "licensed under the creative commons attribution noncommercial": {"cc-by-nc"},
+    "licensed under the creative commons attribution-noderivs 4.0": {"cc-by-nd"}, "licensed under the creative commons zero": set(),
+}
+
+
+@pytest.mark.parametrize("text", NEAR_MISSES)
+def test_neighbours_are_told_apart(text):
+    assert {x for x, *_ in licenses.Searcher().find(f"this is {text}. and more")} == NEAR_MISSES[text]
+
+
+def test_score_is_the_span_s(spark):
+    texts_ = ["released under the mit lixxxse", "nothing", "the MIT License", "Released under the MITlicense; licensed under the apache licence, version 2.0"]
+    found = {r["doc_id"]: r["score"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).collect()}
+    assert found == {0: pytest.approx(0.9), 1: 0.0, 2: 1.0, 3: pytest.approx(1 - 1 / 46)}
+
+
+def test_notices_against_the_plain_fuzzy_search():
+    """Planted notices with edits outside their deciding parts, and random text: what each pattern finds by itself in the whole text."""
+    searcher, rng = licenses.Searcher(), random.Random(8)
+    for _ in range(300):
+        parts = []
+        for x in rng.choices(searcher.notices, k=2):
+            t = list(x.text)
+            for _ in range(rng.randrange(0, x.edits + 2)):
+                t[rng.randrange(len(t))] = rng.choice("abcdefghijklmnop -")
+            parts += ["".join(rng.choices("abcdefgh licensed under the ", k=rng.randrange(40))), "".join(t)]
+        text = " ".join(parts)
+        alone = {x.label: x for x in searcher.notices if x.match(text, 0, len(text))}
+        found = searcher.find(text)
+        assert {x for x, *_ in found} <= set(alone)
+        for label, x in alone.items():  # found, or there is a nearer one at its place
+            a, b, n = x.match(text, 0, len(text))
+            assert any(lab == label or (c < b and a < d and m <= max(n, x.edits)) for lab, c, d, m, _ in found)
 
 
 # mixing
