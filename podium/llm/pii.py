@@ -1,38 +1,56 @@
 """Format-preserving Feistel pseudonyms for personal data, in DataFrame functions alone.
 
-Found: card numbers (13 to 19 digits, bare or in groups of four, with a valid check digit), phone numbers, IPv4 addresses
-(parts up to 255), social security numbers in a valid range, ISO dates that exist, e-mail addresses, and secrets in quotes
-after a word such as token. What does not validate is left as it is. Numbers and dates are permuted by a keyed Feistel network over
-exactly the set of valid values of their format, so the result is valid again, has the same layout, and equal values stay
-equal in all documents. E-mail addresses and secrets, which have no such set, get a keyed digest of the same shape.
+Found: card numbers (13 to 19 digits, bare or in groups of four, with a valid check digit), account numbers (IBAN, with valid check
+digits), phone numbers, IPv4 addresses (parts up to 255), IPv6 addresses, social security numbers in a valid range, dates that exist
+(2020-12-31, 31/12/2020, 31.12.2020), e-mail addresses, access keys (AKIA or ASIA and 16 signs) and secrets of 20 to 128 signs in quotes
+after a word such as token. Left as they are: what does not validate, dates whose month comes first, and secrets without quotes or such a word.
+
+Numbers, dates and addresses are permuted by a keyed Feistel network over exactly the set of valid values of their format, so the result
+is valid again, has the same layout, and equal values stay equal in all documents. E-mail addresses and secrets, which have no
+such set, get a keyed digest of the same shape. There is no key in the code: who has the key can take the pseudonyms back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Patterns by kind, in the order in which they are tried at a place.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*(?<=\.[A-Za-z]{2,24})",
-    "secret": r"(?i:token|secret|passw(?:or)?d|api[_-]?key) ?[=:] ?[\"'][0-9a-f]{32,64}[\"']",
+    "secret": r"(?i:token|secret|passw(?:or)?d|api[_-]?key) ?[=:] ?[\"'][0-9A-Za-z_/+=\-]{20,128}[\"']",
+    "key": r"(?<![0-9A-Za-z])A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?|[0-9A-Z]{11,30})(?![0-9A-Za-z])",
     "ssn": r"(?<![\w.\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-    "date": r"(?<![\w.\-])\d{4}-\d{2}-\d{2}(?![\w\-])",
+    "date": r"(?<![\w.\-])\d{4}-\d{2}-\d{2}(?![\w\-])|(?<![\w./\-])(?:\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/\-]|\.\d)",
+    "ip6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f]{0,3}\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]|\.\d)",
     "phone": r"(?:(?<![\w+(])\+\d{1,3} ?)?(?<![\w(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|(?<![\w.\-+(])(?:\+\d{1,3}[ .\-])?\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\w)",
     "card": r"(?<![\w.\-])(?:\d{13,19}|\d{4}(?:-\d{4}){3}(?:-\d{1,3})?|\d{4}(?: \d{4}){3})(?![\w\-])",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without any of these has nothing to find.
-HINT = r"[0-9@]"
+HINT = r"[0-9@]|A[KS]IA|(?i:token|secret|passw|api[_-]?key)"
 ROUNDS = 8
-KEY = "podium-default-key"
+#: The session's setting that holds the key.
+KEY_SETTING = "podium.pii.key"
 #: Dates from FIRST_DAY, so many days: 365 x 200.
 FIRST_DAY, YEAR_PART, YEARS = "1900-01-01", 365, 200
 #: All other dates from EARLIEST to 9999-12-31 are a domain of their own: 3,579,059 days = 1331 x 2689; so many are before FIRST_DAY.
 EARLIEST, OTHER_A, OTHER_B, BEFORE = "0001-01-01", 1331, 2689, 693_595
 
 
+def key_of(spark: SparkSession) -> str:
+    """The session's key; a session that has none gets one at random, and its pseudonyms cannot be linked with another's."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, found)
+    return found
+
+
 def _digest(key: str, kind: str, value: Column, tweak: Column, most: Column) -> Column:
     """A keyed whole number below `most`."""
     whole = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), tweak.cast("string"), value.cast("string")), 256)
@@ -114,6 +132,65 @@ def _ip(key: str, m: Column) -> Column:
     return _let(F.transform(F.split(m, r"\."), lambda x: x.cast("int")), new)
 
 
+def _ip6(key: str, m: Column) -> Column:
+    """The groups that are written are permuted, halves by turns; where groups are left out stays as it is."""
+
+    def words(i: Column, other: Column) -> Column:
+        whole = F.sha2(F.concat_ws("|", F.lit(key), F.lit("ip6"), i.cast("string"), F.array_join(other.cast("array<string>"), ":")), 256)
+        return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.conv(F.substring(whole, k * 4 + 1, F.lit(4)), 16, 10).cast("int"))
+
+    def half(own: Column, other: Column, i: Column) -> Column:
+        return F.zip_with(own, F.slice(words(i, other), F.lit(1), F.size(own)), lambda x, y: x.bitwiseXOR(y))
+
+    def turn(s: Column, i: Column) -> Column:
+        even = i % 2 == 0
+        return F.struct(F.when(even, half(s["a"], s["b"], i)).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(half(s["b"], s["a"], i)).alias("b"))
+
+    def new(parts: Column) -> Column:
+        there = F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("int"))
+        n = F.floor(F.size(there) / 2).cast("int")
+        start = F.struct(F.slice(there, F.lit(1), n).alias("a"), F.slice(there, n + 1, F.size(there) - n).alias("b"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.transform(F.concat(s["a"], s["b"]), lambda x: F.lower(F.hex(x))))
+
+    def show(parts: Column, groups: Column) -> Column:
+        behind = F.transform(parts, lambda x, i: F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda y: y != "")))
+        return F.array_join(F.zip_with(parts, behind, lambda x, k: F.when(x == "", F.lit("")).otherwise(F.get(groups, k - 1))), ":")
+
+    return _let(F.split(m, ":", -1), lambda p: _let(new(p), lambda g: F.when(m.rlike("[A-F]"), F.upper(show(p, g))).otherwise(show(p, g))))
+
+
+def _mod97(signs: Column) -> Column:
+    """The remainder by 97 of a number written with digits and capitals (10 to 35)."""
+    value = lambda c: F.when(c.rlike("^[0-9]$"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(signs, ""), F.lit(0), lambda r, c: F.pmod(r * F.when(c.rlike("^[0-9]$"), 10).otherwise(100) + F.when(c == "", 0).otherwise(value(c)), F.lit(97)).cast("int"))
+
+
+def _iban(key: str, m: Column) -> Column:
+    """The digits behind the check digits are permuted, letters stay, and the check digits are made anew."""
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+
+    def new(p: Column) -> Column:
+        country, rest = F.substring(p, 1, 2), F.substring(p, F.lit(5), F.length(p))
+        number = _only_digits(rest)
+        body = F.when(F.length(number) >= 2, _laid_out(rest, _digits(key, "iban", number))).otherwise(rest)
+        check = lambda x: F.lpad((98 - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0")
+        signs = lambda x: F.concat(country, check(x), x)
+        fine = _mod97(F.concat(rest, F.substring(p, 1, 4))) == 1
+        return F.when(fine, _let(body, lambda x: _let(signs(x), lambda y: _spaced(m, y))))
+
+    return _let(plain, new)
+
+
+def _spaced(m: Column, signs: Column) -> Column:
+    """signs with the spaces of m."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("k"))
+
+    def put(s: Column, c: Column) -> Column:
+        return F.struct(F.concat(s["out"], F.when(c == " ", c).otherwise(F.substring(signs, s["k"] + 1, F.lit(1)))).alias("out"), (s["k"] + (c != " ").cast("int")).alias("k"))
+
+    return F.aggregate(F.split(m, ""), start, put, lambda s: s["out"])
+
+
 def _ssn(key: str, m: Column) -> Column:
     """Areas 001 to 899 but 666, groups from 01, serials from 0001."""
     area, group, serial = (F.substring(m, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
@@ -128,8 +205,11 @@ def _ssn(key: str, m: Column) -> Column:
 
 
 def _date(key: str, m: Column) -> Column:
-    """Dates of the 200 years stay in them, the others outside."""
-    day = F.date_diff(F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date"), F.to_date(F.lit(FIRST_DAY)))
+    """Dates of the 200 years stay in them, the others outside. A date has the same pseudonym in every layout."""
+    year_last = ~m.contains("-")
+    iso = F.when(year_last, F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))).otherwise(m)
+    day = F.date_diff(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"), F.to_date(F.lit(FIRST_DAY)))
+    laid_out = lambda x: F.when(year_last, F.concat(F.substring(x, 9, 2), F.substring(m, 3, 1), F.substring(x, 6, 2), F.substring(m, 3, 1), F.substring(x, 1, 4))).otherwise(x)
     inside = YEARS * YEAR_PART
 
     def permuted(kind: str, d: Column, most_a: int, most_b: int, first: str, skip) -> Column:
@@ -141,32 +221,50 @@ def _date(key: str, m: Column) -> Column:
         far = permuted("far date", F.when(d < 0, d + BEFORE).otherwise(d + BEFORE - inside), OTHER_A, OTHER_B, EARLIEST, lambda i: F.when(i < BEFORE, i).otherwise(i + inside))
         return F.when((d >= 0) & (d < inside), near).when(d >= -BEFORE, far)  # Spark knows a year 0000
 
-    return _let(day, new)
+    return _let(_let(day, new), laid_out)
 
 
 def _email(key: str, m: Column) -> Column:
     return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 12), F.lit("@example.invalid"))
 
 
+def _shaped(key: str, value: Column) -> Column:
+    """A keyed digest of the same length: hexadecimal digits where all are, else a digit for a digit, a letter for a letter of its case."""
+    digest = lambda k: F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lit(k), value), 256)
+
+    def new(signs: Column) -> Column:
+        number = lambda i: F.conv(F.substring(signs, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        letter = lambda i, first: F.chr(F.pmod(number(i), F.lit(26)) + first)
+        sign = lambda c, i: F.when(c.rlike("^[0-9]$"), F.pmod(number(i), F.lit(10)).cast("string")).when(c.rlike("^[a-z]$"), letter(i, 97)).when(c.rlike("^[A-Z]$"), letter(i, 65)).otherwise(c)
+        hexed = F.substring(signs, F.lit(1), F.length(value))
+        return F.when(value.rlike("^[0-9a-f]+$"), hexed).when(value.rlike("^[0-9A-F]+$"), F.upper(hexed)).otherwise(F.array_join(F.transform(F.split(value, ""), sign), ""))
+
+    return _let(F.concat(*map(digest, "abcd")), new)  # 256 signs, two for each of 128
+
+
 def _secret(key: str, m: Column) -> Column:
-    value = F.regexp_extract(m, "[0-9a-f]{32,64}", 0)
-    new = F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), value), 256), F.lit(1), F.length(value))
-    return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value) - 1), new, F.substring(m, -1, 1))
+    value = F.regexp_extract(m, "[\"']([^\"']+)[\"']$", 1)
+    return _let(value, lambda v: F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(v) - 1), _shaped(key, v), F.substring(m, -1, 1)))
 
 
-_NEW = {"email": _email, "secret": _secret, "ssn": _ssn, "date": _date, "phone": _phone, "ip": _ip, "card": _card}
+def _access_key(key: str, m: Column) -> Column:
+    return F.concat(F.substring(m, 1, 4), _let(F.substring(m, 5, 16), lambda v: _shaped(key, v)))
+
+
+_NEW = {"email": _email, "secret": _secret, "key": _access_key, "iban": _iban, "ssn": _ssn, "date": _date, "ip6": _ip6, "phone": _phone, "ip": _ip, "card": _card}
 
 
 def _kind(m: Column) -> Column:
     """Which pattern a match is of: the patterns' looks are told apart by their signs."""
     digits = F.length(_only_digits(m))
     return (
-        F.when(m.contains("@"), "email").when(m.rlike("[\"']"), "secret").when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date")
+        F.when(m.contains("@"), "email").when(m.rlike("[\"']"), "secret").when(m.contains(":"), "ip6").when(m.rlike("^A[KS]IA[0-9A-Z]{16}$"), "key").when(m.rlike("^[A-Z]"), "iban")
+        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(m.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4})$"), "date")
         .when(m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), "ip").when((digits >= 13) & ~m.rlike(r"[+(.]"), "card").otherwise("phone")
     )
 
 
-def with_pseudonyms(df: DataFrame, text: str, key: str = KEY) -> DataFrame:
+def with_pseudonyms(df: DataFrame, text: str, key: str) -> DataFrame:
     """df with `text` rewritten (null stays null) and _found, an array of the kinds replaced, in order (null where nothing is searched)."""
     t = F.col(text)
     df = df.withColumn("_hits", F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
@@ -184,8 +282,11 @@ def with_pseudonyms(df: DataFrame, text: str, key: str = KEY) -> DataFrame:
     return df.withColumn("_found", F.transform(F.filter("_hits", lambda h: h["new"].isNotNull()), lambda h: h["kind"])).withColumn(text, F.when(F.size("_hits") > 0, glued).otherwise(t)).drop("_hits")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """The documents with their texts rewritten, all columns as they are, whatever further ones there are. A null text stays null."""
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """The documents with their texts rewritten, all columns as they are, whatever further ones there are.
+
+    A null text stays null, an empty one empty; equal rows get equal texts; an empty table stays empty.
+    """
     row = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
     return with_pseudonyms(row, "_text", key).select(*(F.col("_text").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
@@ -194,7 +295,10 @@ def _is(kind: str):
     return lambda x: x == kind
 
 
-def report(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, text (rewritten), n_found and the number of each kind, of every document. A null text stays null and has none."""
+def report(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, text (rewritten), n_found and the number of each kind, of every document.
+
+    A null text stays null and has none, as an empty one; equal rows get equal results; an empty table gives no rows; other columns are ignored.
+    """
     out = with_pseudonyms(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", key)
     return out.select("doc_id", "text", F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("n_found"), *(F.coalesce(F.size(F.filter("_found", _is(k))), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS))

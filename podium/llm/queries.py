@@ -59,9 +59,9 @@ def op7_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_private_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from podium.llm.pii import report
+    from podium.llm.pii import key_of, report
 
-    return report(read_table(spark, sf_dir, "documents"))
+    return report(read_table(spark, sf_dir, "documents"), key_of(spark))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
