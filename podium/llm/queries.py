@@ -88,4 +88,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": rules.sql(rounded=False)}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": rules.sql()}

@@ -1,8 +1,9 @@
 """Quality rules by distribution divergence, in DataFrame functions alone.
 
-A document's histograms of character classes and of its language's common words are compared with those of all documents of that
-language by the Jensen-Shannon distance (base 2, so 0 to 1). Short documents, whose histograms say little, are spared by
-minimum-length guards; a language column that is null forms a language of its own, judged by character classes only.
+A document's histograms of character classes and of its language's common words are compared with fixed references of that language by the
+Jensen-Shannon distance (base 2, so 0 to 1). Short documents, whose histograms say little, are spared by minimum-length guards. A language
+without a reference of its own, null too, is judged by character classes only, against the mean of all references. As references are
+fixed, a document's verdict rests on that document alone: nothing is shuffled, and a language of few documents is judged like any other.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: Character classes, by name; then come white space, bytes beyond one a character, and all other characters.
 CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "stop": "[.,;:]", "symbol": SYMBOLS, "mark": "[!?]"}
-N_CLASSES = len(CLASSES) + 3
 #: What the classes leave out, in runs.
 PLAIN = r"[a-z\x{80}-\x{10FFFF}\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -33,7 +33,15 @@ COMMON = {
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par"),
     "es": ("de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "para", "con", "no"),
 }
-BINS = 16
+#: How many per cent of a language's words are each of these, in their order, as word counts of running text have it.
+COMMON_SHARES = {
+    "en": (6.0, 3.2, 2.9, 2.7, 2.2, 2.2, 1.1, 1.1, 0.9, 0.9, 0.7, 0.7, 0.7, 0.7, 0.5, 0.6),
+    "de": (2.9, 3.0, 2.6, 1.7, 1.1, 0.9, 0.9, 0.9, 0.8, 0.7, 0.7, 0.7, 0.7, 0.7, 0.6, 0.6),
+    "fr": (5.0, 2.8, 2.0, 2.1, 1.9, 1.6, 1.4, 1.1, 1.1, 0.9, 0.9, 0.9, 0.7, 0.7, 0.8, 0.6),
+    "es": (6.0, 3.7, 2.9, 2.8, 2.5, 2.4, 1.9, 1.6, 1.2, 1.1, 1.0, 0.9, 1.0, 0.7, 0.9, 0.8),
+}
+#: The same of characters: the classes, white space, bytes beyond one a character (per 100 characters).
+CLASS_SHARES = {"en": (2.5, 0.8, 2.0, 0.1, 0.1, 17.0, 0.05), "de": (5.5, 0.8, 2.0, 0.1, 0.1, 14.3, 1.6), "fr": (2.5, 0.8, 2.0, 0.1, 0.1, 16.3, 3.5), "es": (2.5, 0.8, 2.0, 0.1, 0.1, 16.5, 2.2)}
 #: Distances beyond which a document is rejected, and the sizes from which the distances count.
 MOST_CLASS, MOST_WORD, LEAST_CHARS, LEAST_WORDS = 0.24, 0.29, 200, 100
 
@@ -85,12 +93,17 @@ def with_histograms(df: DataFrame, text: str = "_text", lang: str = "_lang") ->
     return df.withColumn("_common", F.concat("_common", F.array(F.col("n_words") - F.aggregate("_common", F.lit(0).cast("long"), lambda a, b: a + b)))).drop("_signs")
 
 
-def references(features: DataFrame, lang: str = "_lang") -> DataFrame:
-    """_lang and the sums of both histograms over all documents of the language: a row a language."""
-    n = {"_classes": N_CLASSES, "_common": BINS + 1}
-    sums = {f"{c}{i}": F.sum(F.get(c, F.lit(i))) for c, m in n.items() for i in range(m)}
-    rows = features.groupBy(lang).agg(*(v.alias(k) for k, v in sums.items()))
-    return rows.select(F.col(lang).alias("_ref"), *(F.array(*(F.col(f"{c}{i}") for i in range(m))).alias(f"_ref{c}") for c, m in n.items()))
+def references() -> tuple[dict[str, list[float]], list[float], dict[str, list[float]]]:
+    """Shares of characters and of words by language, each with what is left as its last, and the mean of the former."""
+    whole = lambda x: [round(v / 100, 6) for v in (*x, 100 - sum(x))]
+    classes, common = ({k: whole(v) for k, v in x.items()} for x in (CLASS_SHARES, COMMON_SHARES))
+    return classes, [round(sum(x) / len(x), 6) for x in zip(*classes.values(), strict=True)], common
+
+
+def of_language(lang: Column, values: dict[str, list[float]], other: list[float] | None) -> Column:
+    """The language's array of numbers."""
+    array = lambda x: F.array(*map(F.lit, x))
+    return F.coalesce(*(F.when(lang == k, array(v)) for k, v in values.items()), array(other) if other else F.lit(None).cast("array<double>"))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -99,14 +112,14 @@ def distance(p: Column, q: Column) -> Column:
     share = lambda x: F.when(total(x) > 0, F.transform(x, lambda v: F.coalesce(v, F.lit(0)) / total(x)))
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
     sums = F.aggregate(F.zip_with(share(p), share(q), lambda a, b: part(a, b) + part(b, a)), F.lit(0.0), lambda a, b: a + b)
-    return F.sqrt(F.greatest(F.lit(0.0), sums / 2))
+    return F.sqrt(F.when(sums < 0, 0.0).otherwise(sums / 2))
 
 
-def judged(features: DataFrame, refs: DataFrame) -> DataFrame:
-    """Adds class_distance, word_distance, base_failed and kept; the reference of a language is one row, joined by its own size check."""
-    df = features.join(refs, F.col("_lang").eqNullSafe(F.col("_ref")), "left")
-    df = df.withColumn("class_distance", distance(F.col("_classes"), F.col("_ref_classes")))
-    df = df.withColumn("word_distance", F.when(F.size("_common") > 1, distance(F.col("_common"), F.slice("_ref_common", 1, BINS + 1))))
+def judged(features: DataFrame) -> DataFrame:
+    """Adds class_distance, word_distance (null without a reference), base_failed and kept."""
+    classes, mean, common = references()
+    df = features.withColumn("class_distance", distance(F.col("_classes"), of_language(F.col("_lang"), classes, mean)))
+    df = df.withColumn("word_distance", F.when(F.size("_common") > 1, distance(F.col("_common"), of_language(F.col("_lang"), common, None))))
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     far = ((F.col("_chars") >= LEAST_CHARS) & (F.col("class_distance") > MOST_CLASS)) | ((F.col("n_words") >= LEAST_WORDS) & (F.col("word_distance") > MOST_WORD))
     return df.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
@@ -123,17 +136,20 @@ def judge(docs: DataFrame) -> DataFrame:
     A null or empty text has no words and fails. Equal rows are judged alike. An empty table gives no rows; other columns are ignored.
     """
     features = with_histograms(with_base(with_words(_prepared(docs, F.col("doc_id").cast("long").alias("doc_id"))))).drop("_text", "_words")
-    features = materialise(features, "rules")
-    out = judged(features, references(features))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    # written once: a filter on the result would else be pushed below the columns that it rests on, and each be computed wherever it is used
+    out = judged(materialise(features, "rules"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(F.round(k, 9).alias(k) for k in ("class_distance", "word_distance")))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns, whatever their names."""
-    refs = materialise(references(with_histograms(with_words(_prepared(docs)))), "references")
-    whole = with_histograms(with_base(with_words(_prepared(docs, F.struct("*").alias("_row")))))
-    # the verdict is computed once: a column that isn't deterministic keeps the filter from being folded into all that it rests on
-    return judged(whole, refs).withColumn("_at", F.monotonically_increasing_id()).filter(F.col("kept") & (F.col("_at") >= 0)).select("_row.*")
+    """The documents that are kept, with all their columns, whatever their names.
+
+    A null or empty text has no words and goes; equal rows stay or go together; an empty table stays empty.
+    """
+    out = judged(with_histograms(with_base(with_words(_prepared(docs, F.struct("*").alias("_row"))))))
+    # a column that is not deterministic keeps the filter above it, so that what it rests on is computed once; the rows that are kept do not
+    # depend on it
+    return out.withColumn("_at", F.monotonically_increasing_id()).filter(F.col("kept") & (F.col("_at") >= 0)).select("_row.*")
 
 
 def _sql_distance(p: str, q: str) -> str:
@@ -142,14 +158,13 @@ def _sql_distance(p: str, q: str) -> str:
     return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(0.0, list_sum(list_transform(list_zip({share(p)}, {share(q)}), lambda z: {part('z[1]', 'z[2]')} + {part('z[2]', 'z[1]')})) / 2)) END"
 
 
-def sql(documents: str = "documents", rounded: bool = True) -> str:
+def sql(documents: str = "documents") -> str:
     """The same in DuckDB's SQL."""
     counts = ", ".join(f"len(regexp_extract_all(t, '{p}'))" for p in CLASSES.values())
     names = " ".join(f"WHEN '{k}' THEN {list(v)!r}" for k, v in COMMON.items())
-    n = {"classes": N_CLASSES, "common": BINS + 1}
-    sums = ", ".join(f"[{', '.join(f'sum({c}[{i + 1}])' for i in range(m))}] AS r{c}" for c, m in n.items())
+    classes, mean, common = references()
+    case = lambda x, other: f"(CASE lang {' '.join(f"WHEN '{k}' THEN {v!r}" for k, v in x.items())} ELSE {other} END)::DOUBLE[]"
     far = f"((n_chars >= {LEAST_CHARS} AND class_distance > {MOST_CLASS}) OR (n_words >= {LEAST_WORDS} AND word_distance > {MOST_WORD}))"
-    show = "round({0}, 6) AS {0}" if rounded else "{0}"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM {documents}),
 w AS (SELECT rid, doc_id, lang, t, length(t) AS n_chars, regexp_extract_all(t, '{WORD}') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM d),
@@ -159,8 +174,8 @@ r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([
 c AS (SELECT *, len(words) AS n_words, length(regexp_replace(t, '{SPACE}', '', 'g')) AS word_chars, len(regexp_extract_all(t, '{SYMBOLS}')) AS n_symbols, n_chars - length(regexp_replace(t, '{SPACE}', '', 'g')) AS n_space, len(lines) - len(list_distinct(lines)) AS n_dup_lines, [{counts}, n_space] AS cl, CASE lang {names} ELSE [] END AS names FROM w),
 f AS (SELECT * EXCLUDE (cl), list_concat(cl, [strlen(t) - n_chars, n_chars - list_sum(cl)::BIGINT]) AS classes, list_transform(names, lambda n: len(list_filter(words, lambda x: x = n))) AS cm FROM c),
 h AS (SELECT * EXCLUDE (cm), list_append(cm, n_words - coalesce(list_sum(cm), 0)::BIGINT) AS common FROM f),
-refs AS (SELECT lang AS rlang, {sums} FROM h GROUP BY lang),
-j AS (SELECT h.*, coalesce(r.n_repeat_words, 0) AS n_repeat_words, {_sql_distance("classes", "rclasses")} AS class_distance, CASE WHEN len(common) > 1 THEN {_sql_distance("common", "rcommon")} END AS word_distance
-FROM h LEFT JOIN r USING (rid) JOIN refs ON h.lang IS NOT DISTINCT FROM refs.rlang),
+l AS (SELECT h.*, {case(classes, mean)} AS rclasses, {case(common, 'NULL')} AS rcommon FROM h),
+j AS (SELECT l.*, coalesce(r.n_repeat_words, 0) AS n_repeat_words, {_sql_distance("classes", "rclasses")} AS class_distance, CASE WHEN len(common) > 1 THEN {_sql_distance("common", "rcommon")} END AS word_distance
+FROM l LEFT JOIN r USING (rid)),
 k AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({far}, false) AS kept, {show.format("class_distance")}, {show.format("word_distance")} FROM k"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({far}, false) AS kept, round(class_distance, 9) AS class_distance, round(word_distance, 9) AS word_distance FROM k"""

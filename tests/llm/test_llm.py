@@ -432,6 +432,17 @@ def test_rules_on_odd_rows(spark, odd):
         assert not (found[d]["base_failed"] and found[d]["kept"])
 
 
+def test_a_document_alone_in_its_language_is_judged(spark):
+    rng = random.Random(9)
+    plain_words = lambda n: " ".join(rng.choice(("the of and to in a is that for it on with as was by be".split() + ["word", "other", "house", "garden", "letter", "people"] * 10)) + str("." * (i % 9 == 8)) for i in range(n))
+    noise = lambda n: " ".join("".join(rng.choices("#$%&0123456789ABCXYZ", k=6)) for _ in range(n))
+    own = [(1, plain_words(150), "en"), (2, noise(150), "de"), (3, noise(150), "tlh"), (4, noise(150), None), (5, noise(30), "fr"), (6, "", "fr"), (7, None, None)]
+    found = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(own, "doc_id long, text string, lang string")).collect()}
+    assert {d: r["kept"] for d, r in found.items()} == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False, 7: False}
+    assert not any(found[d]["base_failed"] for d in (2, 3, 4)) and min(found[d]["class_distance"] for d in (2, 3, 4)) > 0.5
+    assert found[3]["word_distance"] is None and found[2]["word_distance"] is not None and found[6]["class_distance"] is None
+
+
 def test_many_and_few_repeats_agree(spark, monkeypatch, docs):
     few = sorted(rows(rules.judge(docs)))
     monkeypatch.setattr(rules, "FEW_REPEATS", 0)
