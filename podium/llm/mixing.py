@@ -20,10 +20,14 @@ BITS, LEVELS = 12, 3
 MOST_SENT = 100_000
 
 
+def place(docs: DataFrame) -> Column:
+    """A document's place on the line of hashes, of 36 bits: by its text too, so that rows with equal doc_id do not stand at one place."""
+    return F.shiftrightunsigned(F.xxhash64(docs["doc_id"].cast("long"), docs["text"]), 64 - BITS * LEVELS)
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words; a null text has none), and the document's place on the line of hashes, of 36 bits."""
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BITS * LEVELS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn("place", place)
+    """doc_id, source, size (words; a null text has none) and place of every document."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), place(docs).alias("place"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0) -> DataFrame:
@@ -82,8 +86,8 @@ def _sent(limits: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document.
 
-    Documents with equal doc_id are taken alike. A null or empty text has size 0 and takes nothing; null sources form one source; an
-    empty table gives no rows. The choice depends on doc_id alone, so reruns agree.
+    Equal rows (doc_id and text) are taken alike. A null or empty text has size 0 and takes nothing; null sources form one source; an
+    empty table gives no rows; other columns are ignored. The choice depends on doc_id and text alone, so reruns agree.
     """
     sized = materialise(sizes(docs), "sizes")
     limits = _sent(thresholds(sized, targets(sized, weights, most, share)))
@@ -93,11 +97,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, sh
 
 
 def repeat(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0) -> DataFrame:
-    """The documents, all columns as they are, each as often as the mix takes it. Those without words come once: they cost nothing."""
+    """The documents, all columns as they are, each as often as the mix takes it. Those without words, null texts too, come once: they cost
+    nothing. Equal rows are taken alike; an empty table stays empty."""
     sized = materialise(sizes(docs), "sizes")
     limits = thresholds(sized, targets(sized, weights, most, share))
     limits = _sent(limits.select(F.col("source").alias("_source"), F.col("copies").alias("_copies"), F.col("threshold").alias("_threshold")))
-    placed = docs.select(F.struct("*").alias("_row"), F.col("source").cast("string").alias("_own"), F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 64 - BITS * LEVELS).alias("_place"), (F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == 0).alias("_empty"))
+    placed = docs.select(F.struct("*").alias("_row"), F.col("source").cast("string").alias("_own"), place(docs).alias("_place"), (F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == 0).alias("_empty"))
     both = placed.join(limits, F.col("_own").eqNullSafe(F.col("_source")))
     times = F.when(F.col("_empty"), 1).otherwise(F.col("_copies") + (F.col("_place") < F.col("_threshold")).cast("long"))
     return both.filter(times > 0).select("_row.*", F.explode(F.sequence(F.lit(1), times.cast("int"))).alias("_time")).drop("_time")
