@@ -13,56 +13,85 @@ import numpy as np
 
 
 def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
-    """Places of text (values from 0 to 256) in the order of the suffixes there, by their first `length` values at least."""
-    n, wide = len(text), 7
-    ahead = np.concatenate([text, np.zeros(wide, text.dtype)]).astype(np.int64)
-    key = np.zeros(n, np.int64)
-    for k in range(wide):
-        key = key << 9 | ahead[k : k + n]
+    """Places of text (values from 0 to 256) in the order of the suffixes there, by their first `length` values at least.
+
+    Ranks of three neighbouring pieces make a number of 63 bits while there are at most 2^21 places, else those of two.
+    """
+    n = len(text)
+    values = np.zeros(257, np.int64)
+    values[np.unique(text)] = 1
+    values = np.cumsum(values)  # from 1, in the same order
+    bits = int(values[-1]).bit_length()
+    wide, many = 63 // bits, 3 if n < 1 << 21 else 2
+    step = 63 // many
+    ahead = np.concatenate([values[text], np.zeros(wide, np.int64)])
+    key = ahead[:n].copy()
+    for k in range(1, wide):
+        key <<= bits
+        key |= ahead[k : k + n]
+    del ahead
+    rank = np.empty(n, np.int64)
     while True:
         order = np.argsort(key, kind="stable" if n < 1000 else None)
         ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])) + 1
+        rank[order[0]] = 1
+        rank[order[1:]] = np.cumsum(ranked[1:] != ranked[:-1]) + 1
         if wide >= length or rank[order[-1]] == n:
             return order
-        after = np.zeros(n, np.int64)
-        after[: n - wide] = rank[wide:] if n > wide else 0
-        key = rank << 32 | after
-        wide *= 2
+        key = rank.copy()
+        for k in range(1, many):
+            key <<= step
+            if k * wide < n:
+                key[: n - k * wide] |= rank[k * wide :]
+        wide *= many
 
 
 def short_of(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """For each place of the order but the first: whether it has less than `length` characters in common with the one before."""
     n = len(text)
-    last = text[order - 1]  # the Burrows-Wheeler transform; the text begins with a separator
+    last = text[order - 1].astype(np.int32)  # the Burrows-Wheeler transform; the text begins with a separator
     by_char = np.argsort(last, kind="stable")
-    rank_key = last[by_char].astype(np.int64) * (n + 1) + by_char
-    step = np.empty(n, np.int64)  # where a single suffix goes when its character is put before
-    step[by_char] = np.arange(n)
+    first = np.concatenate([[0], np.cumsum(np.bincount(last, minlength=257))])
+    step = np.empty(n, np.int32)  # where a single suffix goes when its character is put before
+    step[by_char] = np.arange(n, dtype=np.int32)
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
     known[np.count_nonzero(text == 0)] = True  # behind the separators
-    low, high = np.zeros(1, np.int64), np.full(1, n, np.int64)
+    low, high = np.zeros(1, np.int32), np.full(1, n, np.int32)
+
+    leads = np.zeros(n + 1, bool)
+    leads[first] = True
+    owner = np.zeros(n, np.int32)
+
+    def several(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of three or more, extended: suffixes with the same character go to neighbouring places, in order."""
+        sizes = j - i
+        ends = np.cumsum(sizes, dtype=np.int32)
+        own = np.repeat(np.arange(len(i), dtype=np.int32), sizes)
+        to = step[np.arange(ends[-1], dtype=np.int32) + np.repeat(i - (ends - sizes), sizes)]
+        owner[to] = own
+        to.sort()
+        own = owner[to]
+        new = leads[to]
+        new[0] = True
+        new[1:] |= (to[1:] != to[:-1] + 1) | (own[1:] != own[:-1])
+        begin = np.flatnonzero(new)
+        lead = to[begin]
+        return lead, lead + np.diff(np.append(begin, len(to))).astype(np.int32)
+
     for _ in range(length):
         if not len(low):
             break
-        one = high - low == 1
-        alone = low[one]
-        alone = step[alone[last[alone] != 0]]
-        i, j = low[~one], high[~one]
-        if len(i):
-            sizes = j - i
-            ends = np.cumsum(sizes)
-            own = np.repeat(np.arange(len(i)), sizes)
-            at = np.arange(ends[-1]) + np.repeat(i - (ends - sizes), sizes)
-            pair = np.unique(own * 257 + last[at])
-            own, char = pair // 257, pair % 257
-            own, char = own[char != 0], char[char != 0]
-            base = char * (n + 1)
-            i, j = np.searchsorted(rank_key, base + i[own]), np.searchsorted(rank_key, base + j[own])
-        low, high = np.concatenate([alone, i]), np.concatenate([alone + 1, j])
-        new = ~known[high]
+        sizes = high - low
+        one, two = low[sizes == 1], low[sizes == 2]
+        a, b = step[two], step[two + 1]
+        same = last[two] == last[two + 1]
+        one = np.concatenate([step[one], a[~same], b[~same]])
+        parts = [(one, one + 1), (a[same], a[same] + 2)]
+        if len(more := np.flatnonzero(sizes > 2)):
+            parts.append(several(low[more], high[more]))
+        low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+        new = (low >= first[1]) & ~known[high]
         low, high = low[new], high[new]
         known[high] = True
     return known[1:n]

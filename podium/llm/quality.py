@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm.common import texts
-from podium.llm.shingles import mixed
+from podium.llm.hashes import mixed
 from podium.llm.tokens import SIGNS, slices
 
 BITS = 20

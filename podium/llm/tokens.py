@@ -13,7 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-_M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+from podium.llm.hashes import BASE, mixed
+
 #: Stems and other parts of words that a worker keeps (some 45 bytes each); beyond that it starts anew.
 KEPT_PARTS = 1_000_000
 #: Signs that are cut off a word of letters.
@@ -21,7 +22,7 @@ SIGNS = ".,;:!?%&#*$|"
 #: Words in one call of the library.
 CALL_WORDS = 20_000
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 #: Fixed value: the pattern of a pre-tokenizer that keeps runs of letters, single digits and runs of signs, and drops white space.
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -49,6 +50,15 @@ def whole_words(scheme: dict) -> bool:
     return bool(plain_text and by_byte and added and model["type"] == "BPE" and not model["dropout"] and scheme["truncation"] is None and scheme["padding"] is None)
 
 
+def scheme_of(tokenizer) -> dict:
+    """A tokenizer's description, as its file has it, but for the vocabulary."""
+    part = lambda x: None if x is None else json.loads(x.__getstate__())
+    names = ("content", "single_word", "lstrip", "rstrip")
+    added = [{k: getattr(x, k) for k in names} for x in tokenizer.get_added_tokens_decoder().values()]
+    model = {"type": type(tokenizer.model).__name__, "dropout": getattr(tokenizer.model, "dropout", None)}
+    return {"normalizer": part(tokenizer.normalizer), "pre_tokenizer": part(tokenizer.pre_tokenizer), "added_tokens": added, "model": model, "truncation": tokenizer.truncation, "padding": tokenizer.padding}
+
+
 def _gather(pool: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of pool in a row, and where each begins (one more entry than runs)."""
     ends = np.zeros(len(sizes) + 1, np.int64)
@@ -73,13 +83,6 @@ def _string_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].copy(), both[:, 1].copy()
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A permutation of 64-bit values that spreads all bits."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
 class Parts:
     """Ids of stems and other parts of words, in arrays sorted by key: a dictionary of strings would need five times the memory."""
 
@@ -92,7 +95,7 @@ class Parts:
     def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """A key that, with `a`, leaves no doubt about b."""
         with np.errstate(over="ignore"):
-            return mixed(a * _P + b)
+            return mixed(a * np.uint64(BASE) + b)
 
     def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Number of each part; -1 of those that aren't there."""
@@ -131,8 +134,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            self.by_word = whole_words(json.load(f))
+        self.by_word = whole_words(scheme_of(self.tokenizer))
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         table = list(map(chr, range(256)))  # the model spells bytes as signs: those of U+00C0 to U+00FF
         for c in range(0xC0, 0x100):
