@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import materialise
+from podium.llm.common import discard, materialise
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(now, "links")
     was = print_of(now)
     while True:
-        now = materialise(_small(_large(now)), "links")
+        was_links, now = now, materialise(_small(_large(now)), "links")
+        discard(was_links)
         if (found := print_of(now)) == was:
             break
         was = found

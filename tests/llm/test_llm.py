@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from podium.llm import bwt, graph, licenses, mixing, ngram_join, packing, pii, quality, rules, simhash, substring_dedup, token_files
-from podium.llm.common import read_table, texts
+from podium.llm.common import discard, materialise, read_table, shared_dir, texts
 from podium.llm.queries import QUERIES, tokenizer_path
 from podium.llm.tokens import Encoder, whole_words
 
@@ -84,6 +84,12 @@ def test_empty_tables(name, empty):
     assert RUNS[name](empty).count() == 0
 
 
+def test_clashing_columns_change_nothing(spark, odd, clashing):
+    labels = spark.createDataFrame([(4, 1), (5, 0), (7, None)], "doc_id long, quality int")
+    assert sorted_rows(quality.score(clashing, labels), "*") == sorted_rows(quality.score(odd, labels), "*")
+    assert sorted_rows(packing.pack(clashing, tokenizer_path()).drop("sequence_id", "offset"), "*") == sorted_rows(packing.pack(odd, tokenizer_path()).drop("sequence_id", "offset"), "*")
+
+
 @pytest.mark.parametrize("name", sorted(set(RUNS) - {"keep_good", "keep_first", "repeat", "pack"}))
 def test_a_row_for_each_row(name, odd, clashing):
     assert sorted(map(repr, (r[0] for r in rows(RUNS[name](odd).select("doc_id"))))) == sorted(repr(r[0]) for r in ODD)
@@ -397,6 +403,13 @@ def test_mix_of_odd_rows(odd):
 # classifier
 
 
+def test_rows_with_one_id_are_taken_one_by_one(spark):
+    own = [(None, f"a b c {i}", "x") for i in range(200)] + [(1, "d e f g", "y")] * 2
+    found = rows(mixing.mix(spark.createDataFrame(own, "doc_id long, text string, source string"), share=0.5).filter("source_size = 800"))
+    target = found[0][3]
+    assert len(found) == 200 and abs(sum(r[4] for r in found) - target) <= 4
+
+
 def test_classifier(spark, sf_dir, odd, empty):
     docs, labels = read_table(spark, "/root/testdata/sf0.1", "documents"), read_table(spark, "/root/testdata/sf0.1", "labels")
     found = quality.score(docs, labels).join(labels, "doc_id").toPandas()
@@ -409,6 +422,72 @@ def test_classifier(spark, sf_dir, odd, empty):
     assert set(quality.score(odd, labels.filter("doc_id < 0")).toPandas()["score"]) == {0.5}
 
 
+def features_by_hand(text):
+    """place: value of a text's features, with whole numbers alone up to the last step."""
+    wide, mask = (1 << 64) - 1, (1 << quality.BITS) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & wide
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & wide
+        return x ^ (x >> 31)
+
+    digest = xxhash.xxh3_64_intdigest
+    found, last = collections.Counter(), 0
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text):
+        s = w.rstrip(".,;:!?%&#*$|")
+        stem = digest(s.lower()) if s else 0
+        if s:
+            found[mix(stem) & mask] += 1
+        if len(s) < len(w):
+            found[mix((digest(w[len(s) :]) + digest("signs")) & wide) & mask] += 1
+        if len(s) > 1 and s.isupper():
+            found[digest("capitals") & mask] += 1
+        if s and last:
+            found[(digest("same word again") if stem == last else mix((last * 0x9E3779B97F4A7C15 + stem + digest("pair")) & wide)) & mask] += 1
+        last = stem
+    size = sum(found.values()) ** 0.5
+    return {k: n**0.5 / size for k, n in found.items()}
+
+
+def test_classifier_step_by_step(spark, sf_dir, plain):
+    """The registered query against updates of one coordinate at a time, over the whole table."""
+    import math
+
+    labels = collections.defaultdict(set)
+    for d, x in rows(read_table(spark, sf_dir, "labels").select("doc_id", "quality")):
+        labels[d].add(x)
+    texts_ = dict(plain)
+    own = [(d, x) for d, (x, *more) in ((d, sorted(v, key=str)) for d, v in labels.items()) if not more and x in (0, 1) and d in texts_ and binascii.crc32(str(d).encode()) % 5]
+    assert 50 < len(own) <= quality.MOST
+    own.sort(key=lambda r: xxhash.xxh3_64_intdigest(str(r[0])))
+    made = {d: features_by_hand(t) for d, t in plain}
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(k):
+        if abs(z[k]) <= quality.L1:
+            return 0.0
+        return (math.copysign(quality.L1, z[k]) - z[k]) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+
+    def chance(x):
+        return 1 / (1 + math.exp(-max(-30, min(30, sum(weight(k) * v for k, v in x.items())))))
+
+    for _ in range(quality.EPOCHS):
+        for d, label in own:
+            x = made[d] | {"constant": 1.0}
+            w = {k: weight(k) for k in x}
+            miss = chance(x) - label
+            for k, v in x.items():
+                g = miss * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / quality.ALPHA * w[k]
+                n[k] += g * g
+    found = {r["doc_id"]: r for r in QUERIES["op5_quality_classifier"](spark, sf_dir).collect()}
+    assert set(found) == set(texts_)
+    for d, _ in plain:
+        want = chance(made[d] | {"constant": 1.0})
+        assert found[d]["score"] == pytest.approx(want, abs=1e-4)
+        assert found[d]["held_out"] == (binascii.crc32(str(d).encode()) % 5 == 0) and found[d]["predicted"] == (found[d]["score"] >= 0.3)
+
+
 def test_held_out_rows_teach_nothing(spark):
     docs = spark.createDataFrame([(i, "good words here" if i % 2 else "bad signs %%% there") for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
@@ -795,6 +874,57 @@ def test_join_of_many_near_copies(spark, monkeypatch, row):
     assert {r[0]: r[1:] for r in rows(ngram_join.join(df))} == linked_by_force(own, 4, 85)
 
 
+def test_pairs_are_verified_once(spark, monkeypatch):
+    """Pairs that went through verification, of both passes: each once, and every link of the components among them or implied."""
+    rng = random.Random(4)
+    base = [[f"v{rng.randrange(4000)}" for _ in range(120)] for _ in range(6)]
+    own = [(i, " ".join(w if rng.random() > 0.012 else f"x{rng.randrange(10**6)}" for w in base[i % 6])) for i in range(300)]
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    asked, linked = [], ngram_join.linked
+    monkeypatch.setattr(ngram_join, "linked", lambda pairs, *x: asked.append([tuple(r) for r in pairs.collect()]) or linked(pairs, *x))
+    assert {r[0]: r[1:] for r in rows(ngram_join.join(df))} == linked_by_force(own, 4, 85)
+    one, two = asked
+    assert len(one + two) == len(set(one + two)) and all(a < b for a, b in one + two)
+
+
+def test_suffix_filter_never_loses_a_pair():
+    rng = np.random.default_rng(2)
+    lost = kept = 0
+    for _ in range(300):
+        a = rng.integers(0, 1 << 63, int(rng.integers(2, 400)), dtype=np.uint64) * np.uint64(2)
+        a = np.unique(a)
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 1 << 63, int(rng.integers(1, 200)), dtype=np.uint64)]))
+        common = np.intersect1d(a, b)
+        if not len(common):
+            continue
+        order = {int(x): i for i, x in enumerate(rng.permutation(np.union1d(a, b)))}
+        x, y = (np.array(sorted(s.tolist(), key=order.get), np.uint64) for s in (a, b))
+        i, j = next((i, j) for i, v in enumerate(x.tolist()) for j in [np.flatnonzero(y == v)] if len(j) for j in j.tolist())
+        parts = [np.bincount(ngram_join.part_of(s, ngram_join.PARTS), minlength=ngram_join.PARTS)[None, :] for s in (a, b)]
+        most = ngram_join.most_common(*parts, np.zeros(1, np.int64), ngram_join.upto(x)[[i]], ngram_join.upto(y)[[j]])[0]
+        assert most >= len(common)
+        fits = most >= ngram_join.overlap(len(a), len(b), 80)
+        kept += fits
+        lost += not fits
+    assert lost > 50 and kept > 5
+
+
+def test_join_of_many_exact_copies(spark):
+    """A group of copies that holds nearly all rows, as well as one of near copies."""
+    words = [f"w{i}" for i in range(60)]
+    own = spark.range(100_000).selectExpr("id AS doc_id", f"CASE WHEN id % 50 = 0 THEN concat('{' '.join(words)} ', id % 3) WHEN id % 1000 = 7 THEN concat('other ', id) ELSE '{' '.join(words)}' END AS text")
+    found = ngram_join.join(own).groupBy("component_id").count().collect()
+    assert sorted((r[0], r[1]) for r in found if r[1] > 1) == [(0, 99_900)] and len(found) == 101
+
+
+def test_rows_with_equal_ids_and_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    own = [(1, a), (9, a), (9, b), (9, b), (12, b + " more"), (13, c), (None, a)]
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    assert collections.Counter((r[0], r[2]) for r in rows(ngram_join.join(df))) == {(1, 1): 1, (9, 1): 1, (9, 9): 2, (12, 9): 1, (13, 13): 1, (None, None): 1}
+    assert collections.Counter(map(tuple, rows(ngram_join.keep_first(df)))) == {(1, a): 1, (9, b): 2, (13, c): 1, (None, a): 1}
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)]
@@ -831,6 +961,43 @@ def test_pipeline(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
 
 
+def test_pipeline_stages_on_odd_rows(spark, sf_dir, odd, empty, clashing):
+    """Each stage by itself: nulls, empty and long texts, repeated rows, no rows, further columns."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, sf_dir).count() == 0
+        assert stage(spark, clashing, sf_dir).columns == clashing.columns and stage(spark, odd, sf_dir).columns == odd.columns, name
+    assert stages["best_fit_packing"](spark, empty, sf_dir).count() == 0
+    key = pii.key_of(spark)
+    hidden = collections.Counter(tuple(r) for r in rows(stages["pseudonyms"](spark, odd, sf_dir)))
+    want = collections.Counter()
+    for d, t, lang, source, _ in ODD:
+        new = None if t is None else pseudonyms_by_hand(key, t)[0]
+        want[d, new, lang, source, None if t is None else len(new)] += 1
+    assert hidden == want and any("4111111111111111" in (t or "") for _, t, *_ in ODD) and not any("4111111111111111" in (r[1] or "") for r in hidden)
+    taken = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.mix(odd).collect()}
+    copies = collections.Counter(map(tuple, rows(stages["source_mix"](spark, odd, sf_dir))))
+    for r, n in collections.Counter(ODD).items():
+        size = len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+        assert copies[r] == (n if size == 0 else n * (taken[r[0], size] // size)), r[0]
+    assert set(copies) <= set(ODD)
+    check_packed(rows(stages["best_fit_packing"](spark, odd, sf_dir)), [(r[0], r[1]) for r in ODD], 4096)
+    kept = rows(stages["quality_rules"](spark, odd, sf_dir).select("doc_id"))
+    assert sorted(map(repr, (r[0] for r in kept))) == sorted(repr(r["doc_id"]) for r in rules.judge(odd).filter("kept").collect())
+
+
+def test_written_tables_go_when_they_are_discarded(spark, tmp_path):
+    import glob
+
+    df = materialise(spark.range(10), "some")
+    folder = shared_dir(spark).removeprefix("file://")
+    assert len(glob.glob(f"{folder}/podium-some-*")) == 1 and df.count() == 10
+    discard(df)
+    assert not glob.glob(f"{folder}/podium-some-*")
+
+
 def test_queries_are_there():
     assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)]
 
