@@ -346,6 +346,8 @@ def joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
     classes = of_sets.join(small(copies), ["h", "doc_id"], "left_anti").join(renamed, "h", "left").select(F.coalesce("c", "doc_id").alias("c"), "n", "prefix", "parts")
     rows = materialise(index(classes), "index")
     sizes = materialise(classes.select("c", "parts").dropDuplicates(["c"]), "sizes")
+    thin = materialise(made.select("doc_id", "tk", F.col("n").alias("n_shingles"), "h"), "documents")
+    discard(made, least)
     one = materialise(suffix_filtered(first_pairs(rows, percent), sizes, percent), "pairs")
     links = linked(one, docs, reps, size, percent)
     new = other_pairs(rows, components(links), percent).join(one, ["a", "b"], "left_anti")
@@ -356,9 +358,8 @@ def joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
     rooted = reps.join(found.withColumnRenamed("node", "c"), "c", "left").select("h", "doc_id", F.coalesce("root", "c").alias("root"))
     first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_class = materialise(rooted.select("h", "root").join(materialise(first, "components"), "root").select("h", "component_id"), "components")
-    out = made.select("doc_id", "tk", F.col("n").alias("n_shingles"), "h")
-    own = out.filter("h IS NOT NULL AND doc_id IS NOT NULL").join(by_class, "h").select("doc_id", "tk", "n_shingles", "component_id")
-    return own.unionByName(out.filter("h IS NULL OR doc_id IS NULL").select("doc_id", "tk", "n_shingles", F.col("doc_id").alias("component_id")))
+    own = thin.filter("h IS NOT NULL AND doc_id IS NOT NULL").join(by_class, "h").select("doc_id", "tk", "n_shingles", "component_id")
+    return own.unionByName(thin.filter("h IS NULL OR doc_id IS NULL").select("doc_id", "tk", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:

@@ -22,7 +22,7 @@ from podium.llm.common import materialise
 SPACE = r"[\x20\x09-\x0D]+"
 BITS = 64
 #: Documents in a run of neighbouring ids, at most so many runs, and quantiles between which ids are cut evenly.
-RUN, MOST_RUNS, QUANTILES = 1_000, 20_000, 128
+RUN, MOST_RUNS, QUANTILES = 1_000, 1_000_000, 128
 #: Bits within which near copies are searched: 97 % of edited copies with a five-word Jaccard similarity of 0.8 or more (README).
 RADIUS = 11
 #: Keys of a block are asked for within so many bits at most.
@@ -148,7 +148,12 @@ def near(queries: DataFrame, fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def report(docs: DataFrame, radius: int = 3, every: int = 50) -> DataFrame:
     """Every document's fingerprints and likenesses; n_near, for documents whose id is divisible by `every` (else null), counts the
-    other documents whose fingerprints are within the radius."""
+    other documents whose fingerprints are within the radius.
+
+    A null text is empty; a text without words has the fingerprint of the edges' one term. Equal texts have equal fingerprints and count each
+    other; equal rows follow each other in an order of their own; a null doc_id comes first and asks nothing. An only document is its own
+    next one. An empty table gives no rows; other columns are ignored.
+    """
     rows = materialise(edited(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "fingerprints")
     asked = rows.filter(F.col("doc_id") % every == 0)
     counts = rows.groupBy("fp").agg(F.count("*").alias("n"))

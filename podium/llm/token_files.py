@@ -199,7 +199,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, kind: str = "byte",
 
 
 def read(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, read from the files that `write` lists; a file is read by one task, in chunks."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, read from the files that `write` lists; a file is read by one task, in chunks.
+
+    A null doc_id comes first; equal rows have a row each, one after the other; no files give no rows.
+    """
     spark = files.sparkSession
     sizes = {r[0]: r[1] for r in files.groupBy("part").agg({"n_ids": "sum"}).collect()}  # one row for each partition of the write
     starts, at = {}, 0
