@@ -54,15 +54,9 @@ def _stream(spark, sf_dir):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(stream, name, mode="append"):
-    import uuid
-
-    return windows.to_memory(stream, f"{name}_{uuid.uuid4().hex}", mode)
-
-
 @_R.add("tumbling_counts_stream", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling_counts_stream(spark, sf_dir):
-    rows = _run(windows.tumbling(_stream(spark, sf_dir), ["event_type"], "1 hour"), "tumbling", "complete")
+    rows = windows.run_to_end(windows.tumbling(_stream(spark, sf_dir), ["event_type"], "1 hour"), "tumbling", "complete")
     return rounded(rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total"), "total", digits=4)
 
 
@@ -83,14 +77,14 @@ def sliding_counts(spark, sf_dir):
 
 @_R.add("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
-    return _run(windows.without_duplicates(_stream(spark, sf_dir), ["user_id", "event_type"], "60 days").select("user_id", "event_type"), "dedup")
+    return windows.run_to_end(windows.without_duplicates(_stream(spark, sf_dir), ["user_id", "event_type"], "60 days").select("user_id", "event_type"), "dedup")
 
 
 @_R.add("vad_stream")
 def vad_stream(spark, sf_dir):
     """Segments that end inside the stream; the batch query also gives those open at its end."""
     rows = _stream(spark, sf_dir).select("user_id", F.col("event_id").alias("frame_idx"), (F.floor(F.col("event_id") / 2000) % 2 == 0).alias("is_speech"))
-    return _run(windows.vad_stream(rows, "user_id"), "vad")
+    return windows.run_to_end(windows.vad_stream(rows, "user_id"), "vad")
 
 
 QUERIES, ORACLE_SQL = _R.queries, _R.sql

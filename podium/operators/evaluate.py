@@ -174,18 +174,28 @@ def by_hash(name: Column, seed: int) -> Column:
     return F.sha1(F.concat(name.cast("string"), F.lit(f"-{seed}")).cast("binary"))
 
 
+def _ranked(df: DataFrame, group: str, seed: int) -> DataFrame:
+    """group, _r (its rank from 1 in the order of hashes), _n (all groups): ranks are made in 256 parts by the hash's first signs."""
+    groups = df.select(group).distinct().withColumn("_h", by_hash(F.col(group), seed)).withColumn("_part", F.substring("_h", 1, 2))
+    parts = groups.groupBy("_part").agg(F.count("*").alias("_k"))  # 256 rows at most
+    every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", F.coalesce(F.sum("_k").over(every), F.lit(0)).alias("_base"), F.sum("_k").over(Window.partitionBy()).alias("_n"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_h", group))
+    return groups.withColumn("_r", rank).join(F.broadcast(parts), "_part").select(group, (F.col("_r") + F.col("_base")).alias("_r"), "_n")
+
+
 def group_split(df: DataFrame, group: str, share: float, seed: int = 0) -> DataFrame:
     """group, split: floor(share * groups) whole groups are 'test', the others 'train'."""
-    groups = df.select(group).distinct().withColumn("_h", by_hash(F.col(group), seed))
-    n = groups.agg(F.floor(F.count("*") * F.lit(share)).alias("_k"))
-    ranked = groups.withColumn("_r", F.row_number().over(Window.orderBy("_h", group)))  # groups, not rows
-    return ranked.join(F.broadcast(n), how="cross").select(group, F.when(F.col("_r") <= F.col("_k"), "test").otherwise("train").alias("split"))
+    test = F.col("_r") <= F.floor(F.col("_n") * F.lit(share))
+    return _ranked(df, group, seed).select(group, F.when(test, "test").otherwise("train").alias("split"))
 
 
 def folds(df: DataFrame, group: str, k: int = 3, seed: int = 0) -> DataFrame:
     """group, fold (from 1): shuffled groups in k stretches, the first ones longer by one where they don't divide."""
-    groups = df.select(group).distinct()
-    return groups.select(group, F.ntile(k).over(Window.orderBy(by_hash(F.col(group), seed), group)).alias("fold"))
+    each, longer = F.floor(F.col("_n") / k), F.col("_n") % k
+    first = longer * (each + 1)  # groups in the longer stretches
+    fold = F.when(F.col("_r") <= first, F.ceil(F.col("_r") / (each + 1))).otherwise(longer + F.ceil((F.col("_r") - first) / F.greatest(each, F.lit(1))))
+    return _ranked(df, group, seed).select(group, fold.cast("int").alias("fold"))
 
 
 def split_statistics(df: DataFrame, split: DataFrame, group: str, category: str) -> DataFrame:

@@ -114,12 +114,24 @@ def hash_groups(df: DataFrame, hash_col: str, name: str) -> DataFrame:
     return df.groupBy(hash_col).agg(F.count("*").alias("n_files"), F.array_join(F.sort_array(F.collect_list(F.col(name).cast("string"))), ",").alias("files"))
 
 
-def default_titles(df: DataFrame, title: str, order: str, by: list[str] | None = None) -> DataFrame:
-    """Empty titles become 'Slide <order>' (order counts from 1); the n-th repetition of a title gets ' (n)'."""
+def default_titles(df: DataFrame, title: str, order: str, by: list[str] | None = None, **cut: int) -> DataFrame:
+    """Empty titles become 'Slide <order>' (order counts from 1); the n-th repetition of a title gets ' (n)'.
+
+    Without `by` a title may be any number of rows': they are counted in buckets of the order, and a row a title and bucket says how many
+    come before.
+    """
     named = F.coalesce(F.nullif(F.trim(F.col(title)), F.lit("")), F.concat(F.lit("Slide "), F.col(order).cast("string")))
     df = df.withColumn("_t", named)
-    n = F.row_number().over(Window.partitionBy(*(by or []), "_t").orderBy(order)) - 1
-    return df.withColumn("unique_title", F.when(n > 0, F.concat("_t", F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(F.col("_t"))).drop("_t")
+    if by:
+        df = df.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_t").orderBy(order)) - 1)
+    else:
+        df = with_bucket(df, order, **cut)
+        every = Window.partitionBy("_t").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        before = df.groupBy("_t", "_bucket").agg(F.count("*").alias("_k")).select("_t", "_bucket", F.coalesce(F.sum("_k").over(every), F.lit(0)).alias("_base"))
+        inside = F.row_number().over(Window.partitionBy("_t", "_bucket").orderBy(order)) - 1
+        df = df.withColumn("_n", inside).join(before, ["_t", "_bucket"]).withColumn("_n", F.col("_n") + F.col("_base")).drop("_bucket", "_base")
+    n = F.col("_n")
+    return df.withColumn("unique_title", F.when(n > 0, F.concat("_t", F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(F.col("_t"))).drop("_t", "_n")
 
 
 # islands

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -24,10 +26,27 @@ def nearest_to_centroid(df: DataFrame, label: str, vector: str, name: str) -> Da
     return both.groupBy(label).agg(F.min(F.struct("distance", name)).alias("b")).select(label, F.col(f"b.{name}").alias("best"), "b.distance")
 
 
-def assigned(df: DataFrame, centers: DataFrame, vector: str, name: str) -> DataFrame:
-    """name, cluster, distance: the nearest of the given centers (cluster, centroid), of which there are few: k rows, by parameter."""
-    both = df.crossJoin(F.broadcast(centers)).withColumn("distance", F.round(squared_distance(vector, "centroid"), 9))
-    return both.groupBy(name).agg(F.min(F.struct("distance", "cluster")).alias("b")).select(name, "b.cluster", "b.distance")
+#: Rows of a side that is sent to all tasks at once.
+BLOCK = 10_000
+
+
+def in_blocks(side: DataFrame, key: str, most: int = BLOCK) -> list[DataFrame]:
+    """side, counted, in as many parts by a hash of its key as keep one at about `most` rows; each is marked to be sent to all tasks."""
+    n = -(-side.count() // most) or 1
+    return [F.broadcast(side.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) if n > 1 else side) for i in range(n)]
+
+
+def assigned(df: DataFrame, centers: DataFrame, vector: str, name: str, block: int = BLOCK) -> DataFrame:
+    """name, cluster, distance: the nearest of the given centers (cluster, centroid). Many centers are sent to the rows block by block; a block
+    leaves one center a row."""
+
+    def nearest(part: DataFrame) -> DataFrame:
+        both = df.select(name, vector).crossJoin(part).withColumn("distance", F.round(squared_distance(vector, "centroid"), 9))
+        return both.groupBy(name).agg(F.min(F.struct("distance", "cluster")).alias("b"))
+
+    parts = [nearest(x) for x in in_blocks(centers.select("cluster", "centroid"), "cluster", block)]
+    best = parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).groupBy(name).agg(F.min("b").alias("b"))
+    return best.select(name, "b.cluster", "b.distance")
 
 
 def kmeans(df: DataFrame, vector: str, k: int = 20, seed: int = 0, max_iter: int = 20):
@@ -90,7 +109,8 @@ def affinity_labels(x: np.ndarray, preference: float = -8.0, damping: float = 0.
     n = len(x)
     if n <= 1:
         return np.arange(n)
-    s = -((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    size = (x**2).sum(axis=1)
+    s = np.minimum(2 * x @ x.T - size[:, None] - size[None, :], 0)
     np.fill_diagonal(s, preference)
     s = s + 1e-12 * np.random.default_rng(0).standard_normal((n, n)) * np.abs(s)  # ties would oscillate
     r, a, rows = np.zeros((n, n)), np.zeros((n, n)), np.arange(n)
@@ -153,12 +173,16 @@ def cluster_slides(df: DataFrame, method: str, order: str, vector: str, by: str
     raise ValueError(f"unknown method {method}; there are segment, kmeans, normal")
 
 
-def ratio_matches(queries: DataFrame, items: DataFrame, query: str, item: str, vector: str, ratio: float = 0.7) -> DataFrame:
-    """query, item, d1, d2: the nearest item where it is nearer than `ratio` times the second; queries are a stated set, sent to the items in blocks."""
-    both = items.select(F.col(item).alias("_i"), F.col(vector).alias("_v")).crossJoin(queries.select(F.col(query).alias("_q"), F.col(vector).alias("_w"))).filter("_i <> _q")
-    both = both.withColumn("d", F.sqrt(squared_distance("_v", "_w")))
-    two = _two_nearest(both)
-    return two.filter(F.col("d1") < ratio * F.col("d2")).select(F.col("_q").alias("query"), F.col("item"), "d1", "d2")
+def ratio_matches(queries: DataFrame, items: DataFrame, query: str, item: str, vector: str, ratio: float = 0.7, block: int = BLOCK) -> DataFrame:
+    """query, item, d1, d2: the nearest item where it is nearer than `ratio` times the second. Queries are a stated set; it is counted and
+    sent to the items block by block, and each task leaves two items a query."""
+    there = items.select(F.col(item).alias("_i"), F.col(vector).alias("_v"))
+
+    def nearest(part: DataFrame) -> DataFrame:
+        return _two_nearest(there.crossJoin(part).filter("_i <> _q").withColumn("d", F.sqrt(squared_distance("_v", "_w"))))
+
+    parts = in_blocks(queries.select(F.col(query).alias("_q"), F.col(vector).alias("_w")), "_q", block)
+    return reduce(DataFrame.unionByName, map(nearest, parts)).filter(F.col("d1") < ratio * F.col("d2")).select(F.col("_q").alias("query"), "item", "d1", "d2")
 
 
 def _two_nearest(pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -25,3 +30,18 @@ def build_session(name: str = "podium", master: str | None = None, partitions: i
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir. Only a local session may do without that setting: it
+    gets a folder of this machine, which goes with it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("podium.local.folder", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="podium-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        shared = f"file://{folder}"
+        spark.conf.set("podium.local.folder", shared)
+    return f"{shared}/podium-{name}-{uuid.uuid4().hex}"

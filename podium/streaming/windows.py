@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.operators.speech import VoiceState
+from podium.session import new_folder
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -69,14 +70,20 @@ def vad_stream(frames: DataFrame, key: str, order: str = "frame_idx", voiced: st
     return frames.select(key, order, voiced).groupBy(key).applyInPandasWithState(work, f"`{key}` {kind}, {VAD_OUT}", _STATE, "append", "NoTimeout")
 
 
-def to_memory(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there and gives its result; the checkpoint folder is the shared one where it is set."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there and gives its result, from Parquet in the shared folder, where its state is kept too.
+
+    In complete mode each batch's result takes the place of the one before; in append mode rows are added, each once.
+    """
+    spark = stream.sparkSession
+    path, state = new_folder(spark, name), new_folder(spark, f"{name}-state")
+    if mode == "append":
+        to_parquet(stream, path, state)
+    else:
+        spark.createDataFrame([], stream.schema).write.parquet(path)
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
