@@ -575,3 +575,16 @@ def measured(df: DataFrame, key: str) -> DataFrame:
             yield pd.DataFrame({key: part[key], **{n: [HASHES[n](x) for x in images] for n in names}, "solid": [is_solid(x) for x in images], "border": [has_black_border(x) for x in images], "entropy": [round(entropy(x), 6) for x in images]})
 
     return df.mapInPandas(work, f"`{key}` {dict(df.dtypes)[key]}, " + ", ".join(f"{n} string" for n in names) + ", solid boolean, border boolean, entropy double")
+
+
+def applied(df: DataFrame, key: str, work: Callable[..., tuple], out: str, *pixels: str) -> DataFrame:
+    """key and the columns `out` that work gives of each row's grey images: columns of pixels (row by row) of height x width."""
+    names = [c.split()[0] for c in out.split(", ")]
+    images = pixels or ("pixels",)
+
+    def rows(parts):
+        for part in parts:
+            shaped = [[np.array(p, np.uint8).reshape(h, w) for p, h, w in zip(part[c], part["height"], part["width"], strict=True)] for c in images]
+            yield pd.DataFrame([(k, *work(*x)) for k, *x in zip(part[key], *shaped, strict=True)], columns=[key, *names])
+
+    return df.select(key, "height", "width", *images).mapInPandas(rows, f"`{key}` {dict(df.dtypes)[key]}, {out}")
