@@ -236,9 +236,28 @@ def corrected(words: DataFrame, word: str, dictionary: DataFrame) -> DataFrame:
     return asked.join(best, "word", "left").select("word", F.coalesce("b.term", "word").alias("suggestion"), F.col("b.distance").alias("distance"))
 
 
+def merged(words: DataFrame, by: list[str], dictionary: DataFrame) -> DataFrame:
+    """words (by, pos, word) with neighbours put together where that is nearer to an entry: the edits of both together, and one for the
+    blank, are fewer than those of each by itself (3 for a word without an entry). Of a row of such neighbours every other pair is taken."""
+    w = Window.partitionBy(*by).orderBy("pos")
+    rows = words.withColumn("_next", F.lead("word").over(w)).withColumn("_both", F.concat("word", "_next"))
+    asked = rows.select("word").unionByName(rows.filter("_both IS NOT NULL").select(F.col("_both").alias("word")))
+    edits = corrected(asked, "word", dictionary).select("word", F.coalesce("distance", F.lit(3)).alias("n"))
+    for column, name in (("word", "_a"), ("_next", "_b"), ("_both", "_ab")):
+        rows = rows.join(edits.select(F.col("word").alias(f"{name}w"), F.col("n").alias(name)), F.col(column) == F.col(f"{name}w"), "left").drop(f"{name}w")
+    rows = rows.withColumn("_can", F.coalesce((F.col("_ab") < 3) & (F.col("_ab") + 1 < F.col("_a") + F.col("_b")), F.lit(False)))
+    new = F.col("_can") & ~F.coalesce(F.lag("_can").over(w), F.lit(False))
+    rows = rows.withColumn("_run", F.sum(new.cast("int")).over(w))
+    at = F.row_number().over(Window.partitionBy(*by, "_run", "_can").orderBy("pos"))
+    rows = rows.withColumn("_take", F.col("_can") & (at % 2 == 1))
+    rows = rows.withColumn("_gone", F.coalesce(F.lag("_take").over(w), F.lit(False))).filter("NOT _gone")
+    return rows.select(*by, "pos", F.when(F.col("_take"), F.col("_both")).otherwise(F.col("word")).alias("word"))
+
+
 def corrected_text(df: DataFrame, text: str, by: list[str], dictionary: DataFrame) -> DataFrame:
-    """by, corrected: whole texts in lower case, word by word; a word that is no entry but splits into two entries is split."""
-    words = df.select(*by, F.posexplode(token_array(text)).alias("pos", "word"))
+    """by, corrected: whole texts in lower case, word by word; neighbours that are one entry are put together, a word that is no entry but
+    splits into two entries is split."""
+    words = merged(df.select(*by, F.posexplode(token_array(text)).alias("pos", "word")), by, dictionary)
     fixed = corrected(words, "word", dictionary)
     halves = words.select("word").distinct().select("word", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), lambda i: F.struct(F.substring(F.col("word"), F.lit(1), i).alias("a"), F.substring(F.col("word"), i + 1, F.length("word")).alias("b")))).alias("h")).select("word", "h.a", "h.b")
     entry = lambda x: dictionary.select(F.col("term").alias(x), F.col("freq").alias(f"f{x}"))

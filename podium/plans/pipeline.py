@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 from podium.operators import align, ordered, structure, text, vectors
 
 
+#: What settings with few values may be.
+CHOICES = {
+    "cluster_method": ("segment", "kmeans", "normal"),
+    "combination_algorithm": ("only_asr", "only_slides", "concat", "full_sents", "keyword_based"),
+    "summarization_ext": ("none", "text_rank", "lex_rank", "lsa", "luhn", "edmundson", "random"),
+    "structured_method": ("none", "extractive", "abstractive"),
+}
+
+
 @dataclasses.dataclass
 class Config:
     """What a run may be told. Unknown keys raise."""
@@ -46,15 +55,13 @@ class Config:
         return out
 
     def check(self) -> None:
-        allowed = {
-            "cluster_method": ("segment", "kmeans", "normal"),
-            "combination_algorithm": ("only_asr", "only_slides", "concat", "full_sents", "keyword_based"),
-            "summarization_ext": ("none", "text_rank", "lex_rank", "lsa", "luhn", "edmundson", "random"),
-            "structured_method": ("none", "extractive", "abstractive"),
-        }
-        for name, values in allowed.items():
+        for name, values in CHOICES.items():
             if getattr(self, name) not in values:
                 raise ValueError(f"{name} must be one of {', '.join(values)}")
+        if unknown := set(self.summarization_mods) - {"none", "full_sents"}:
+            raise ValueError(f"unknown summarization_mods: {', '.join(sorted(unknown))}")
+        if not 0 < self.coverage <= 1 or self.num_centroids < 1 or self.frame_every <= 0 or self.skip_to < 0:
+            raise ValueError("coverage lies above 0 up to 1; num_centroids and frame_every are positive; skip_to is not negative")
 
 
 def timed(f: Callable):

@@ -203,6 +203,8 @@ def test_spelling(spark):
     assert dict(got(text.corrected(words, "w", known), "word", "suggestion"))["zzzzzz"] == "zzzzzz"
     line = spark.createDataFrame([(1, "wrld goodday")], "k int, t string")
     assert got(text.corrected_text(line, "t", ["k"], known), "corrected") == [("world good day",)]
+    lines = spark.createDataFrame([(1, "hel lo wor ld good day"), (2, "he llo"), (3, "qqqqq zzzzz hello"), (4, "hello world")], "k int, t string")
+    assert dict(got(text.corrected_text(lines, "t", ["k"], known), "k", "corrected")) == {1: "hello world good day", 2: "hello", 3: "qqqqq zzzzz hello", 4: "hello world"}
 
 
 def test_full_stops(spark):
@@ -389,7 +391,7 @@ def test_voice_stream_as_batch(spark, tmp_path):
         __import__("time").sleep(1.1)
     batch = got(speech.vad_segments(df, "k"), "k", "segment", "first", "last", "n_frames")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    found = got(windows.to_memory(windows.vad_stream(stream, "k"), "vad_test"))
+    found = got(windows.run_to_end(windows.vad_stream(stream, "k"), "vad_test"))
     open_ones = {(k, last) for k, _, _, last, _ in batch if last == 299}
     assert sorted(found) == sorted(r for r in batch if (r[0], r[3]) not in open_ones) or sorted(found) == sorted(batch)
 
@@ -507,3 +509,17 @@ def test_lecture_pipeline(spark, tmp_path):
     assert got(again.run_all()["notes"]) == first and set(again.seconds) == {"notes"}
     with pytest.raises(ValueError):
         Config.of({"cluster_method": "other"})
+    # the same from a shell: settings from a file and from options, and from a stored stage on
+    from podium.plans.__main__ import main, parser
+
+    for name, df in (("frames", frames), ("words", words), ("ocr", ocr)):
+        df.write.parquet(str(tmp_path / "tables" / f"{name}.parquet"))
+    (tmp_path / "c.json").write_text('{"combination_algorithm": "only_asr", "gamma": 1.0}')
+    given = [str(tmp_path / "tables"), str(tmp_path / "store"), "--config", str(tmp_path / "c.json")]
+    assert list(main([*given, "--combination_algorithm", "concat"], spark)) == [n for n, _ in run.stages]
+    assert got(spark.read.parquet(str(tmp_path / "store" / "notes"))) == first
+    assert list(main([*given, "--combination_algorithm", "concat", "--skip_to", "8"], spark)) == ["notes"]
+    for wrong in (["--cluster_method", "other"], ["--summarization_abs", "some-model"], ["--no_such_setting", "1"]):
+        with pytest.raises(SystemExit):
+            main([*given, *wrong], spark)
+    assert parser().parse_args([*given, "--coverage", "0.5"]).coverage == 0.5
