@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, n-gram Jaccard join, pseudonyms, mixing of sources, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs. All
-but the last return the columns of documents.
+but the last return the columns of documents, further ones too, whatever their names. An empty table gives an empty one. Null and empty
+texts have no words: quality_rules drops them; the later stages, each by itself, keep them (near_duplicates links them with nothing,
+pseudonyms leaves them as they are, source_mix takes them once, best_fit_packing packs their end id). Equal rows are treated alike.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: the smallest doc_id's."""
+    """One document of each group of linked ones: the smallest doc_id's. Rows with equal doc_id and text stay or go together."""
     return ngram_join.keep_first(docs, size=5, percent=80)
 
 
