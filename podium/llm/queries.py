@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from podium.llm import rules
+from podium.llm import divergence, hard_negatives, line_dedup, rules
 from podium.llm.common import read_table
 
 
@@ -76,6 +76,18 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(read_table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read_table(spark, sf_dir, "documents"), least=40, copies=5)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"), least=3, top=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_repeated_bytes": op2_repeated_bytes,
@@ -87,5 +99,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_private_pseudonyms": op8_private_pseudonyms,
     "op9_token_files": op9_token_files,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_source_divergence": op13_source_divergence,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_quality_rules": rules.sql(),
+    "op11_hard_negatives": hard_negatives.sql(),
+    "op12_line_dedup": line_dedup.sql(),
+    "op13_source_divergence": divergence.sql(),
 }
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": rules.sql()}

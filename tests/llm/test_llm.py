@@ -999,7 +999,7 @@ def test_written_tables_go_when_they_are_discarded(spark, tmp_path):
 
 
 def test_queries_are_there():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_whole_texts(spark):
