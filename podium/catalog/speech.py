@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from podium.catalog.registry import Registry, rounded, table
+from podium.functions import tables
 from podium.operators import speech
-from podium.streaming import windows
+from podium.streaming import voice, windows
 
 _R = Registry()
 
@@ -15,11 +16,34 @@ def _frames(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("frame_idx"), (F.floor(F.col("event_id") / 2000) % 2 == 0).alias("is_speech"))
 
 
-@_R.add("vad_segments")
+def _vad_sql(ring: int = 10, ratio: float = 0.9) -> str:
+    """The hysteresis as a recursion over each recording's frames: h is the ring with the new frame, k the segments so far, a the place where the last began."""
+    return f"""WITH RECURSIVE f AS (SELECT user_id, event_id AS frame, (event_id // 2000) % 2 = 0 AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, []::BOOLEAN[] AS ring, false AS active, 0::BIGINT AS k, 0::BIGINT AS a, false AS inside FROM f
+ UNION ALL SELECT user_id, i, CASE WHEN turns THEN [] ELSE h END, active <> turns, k + (turns AND NOT active)::BIGINT, CASE WHEN turns AND NOT active THEN i - len(h) + 1 ELSE a END, active OR turns
+ FROM (SELECT *, len(list_filter(h, lambda x: x <> active)) > {ratio} * {ring} AS turns FROM (SELECT s.user_id, f.i, list_append(s.ring, f.v)[-{ring}:] AS h, s.active, s.k, s.a FROM s JOIN f ON f.user_id = s.user_id AND f.i = s.i + 1))),
+g AS (SELECT user_id, k AS segment, any_value(a) AS a, max(i) AS b FROM s WHERE inside GROUP BY ALL)
+SELECT g.user_id, segment, x.frame AS first, y.frame AS last, b - a + 1 AS n_frames FROM g JOIN f x ON x.user_id = g.user_id AND x.i = a JOIN f y ON y.user_id = g.user_id AND y.i = b"""
+
+
+@_R.add("vad_segments", _vad_sql())
 def vad_segments(spark, sf_dir):
     return speech.vad_segments(_frames(spark, sf_dir), "user_id")
 
 
+@_R.add("vad_microphone", _vad_sql(**voice.MICROPHONE))
+def vad_microphone(spark, sf_dir):
+    """The same with a microphone's ring and ratio."""
+    return speech.vad_segments(_frames(spark, sf_dir), "user_id", **voice.MICROPHONE)
+
+
+@_R.add("voice_segments_function", _vad_sql(**voice.MICROPHONE))
+def voice_segments_function(spark, sf_dir):
+    """The same by a table function, through which frames pass one by one."""
+    tables.register(spark)
+    return spark.sql("SELECT * FROM voice_segments(TABLE({frames}), key => 'user_id', `order` => 'frame_idx', voiced => 'is_speech', ring => 15, ratio => 0.75D)", frames=_frames(spark, sf_dir))
+
+
 @_R.add("audio_frames", "SELECT vec_id, i AS frame_idx, round(i * 0.03, 6)::DOUBLE AS ts FROM (SELECT vec_id, unnest(range(0, greatest(0, ceil((100 + vec_id * 7 % 900) * 2 / 480.0)::BIGINT - 1))) AS i FROM embeddings)")
 def audio_frames(spark, sf_dir):
     """30 ms frames of recordings of 100 to 999 samples at 8 kHz."""
@@ -80,11 +104,14 @@ def stream_dedup(spark, sf_dir):
     return windows.run_to_end(windows.without_duplicates(_stream(spark, sf_dir), ["user_id", "event_type"], "60 days").select("user_id", "event_type"), "dedup")
 
 
-@_R.add("vad_stream")
+@_R.add("vad_stream", _vad_sql())
 def vad_stream(spark, sf_dir):
-    """Segments that end inside the stream; the batch query also gives those open at its end."""
-    rows = _stream(spark, sf_dir).select("user_id", F.col("event_id").alias("frame_idx"), (F.floor(F.col("event_id") / 2000) % 2 == 0).alias("is_speech"))
-    return windows.run_to_end(windows.vad_stream(rows, "user_id"), "vad")
+    """The batch's segments from a stream, the last ones by timers: frames are 20 ms apart, and a sign of life of no recording comes two days behind them all."""
+    last = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+    rows = _stream(spark, sf_dir).select("user_id", F.col("event_id").alias("frame_idx"), F.timestamp_millis(F.col("event_id") * 20 + 1_700_000_000_000).alias("ts"), (F.floor(F.col("event_id") / 2000) % 2 == 0).alias("is_speech"))
+    alive = F.when(F.col("frame_idx") == F.lit(last), F.struct(F.lit(-1).cast("long").alias("user_id"), "frame_idx", (F.col("ts") + F.expr("interval 2 days")).alias("ts"), F.lit(False).alias("is_speech")))
+    both = rows.select(F.explode(F.array_compact(F.array(F.struct("user_id", "frame_idx", "ts", "is_speech"), alive))).alias("r")).select("r.*")
+    return windows.run_to_end(voice.utterances(both, "user_id", idle_ms=24 * 3600 * 1000), "vad")
 
 
 QUERIES, ORACLE_SQL = _R.queries, _R.sql

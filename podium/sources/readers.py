@@ -76,21 +76,24 @@ def _seconds(stamp: Column) -> Column:
     return part(1) * 3600 + part(2) * 60 + part(3) + part(4) / F.pow(F.lit(10.0), F.length(F.regexp_extract(stamp, _TIME, 4)))
 
 
-def cues(files: DataFrame, key: str, body: str = "body", suffix: str = "suffix", remove_speakers: bool = False) -> DataFrame:
-    """key, pos, start, end, word (a whole cue, line feeds as spaces) of SubRip, WebVTT and SBV captions; other suffixes give none."""
+def cues(files: DataFrame, key: str, body: str = "body", suffix: str = "suffix", remove_speakers: bool = False, place: str | None = None) -> DataFrame:
+    """key, pos, start, end, word (a whole cue, line feeds as spaces) of SubRip, WebVTT and SBV captions; other suffixes give none.
+
+    Rows are whole files or, with `place`, the blocks of files that format captions gives.
+    """
     text = F.regexp_replace(F.col(body), "\r\n?", "\n")
     blocks = F.split(text, r"\n[ \t]*\n+")
-    rows = files.filter(F.col(suffix).isin(".srt", ".vtt", ".sbv")).select(key, F.posexplode(blocks).alias("_n", "_b"))
+    rows = files.filter(F.col(suffix).isin(".srt", ".vtt", ".sbv")).select(key, F.lit(0).alias("_p") if place is None else F.col(place).alias("_p"), F.posexplode(blocks).alias("_n", "_b"))
     line = rf"(?:{_TIME})[ \t]*(?:-->|,)[ \t]*(?:{_TIME})[^\n]*"
     rows = rows.filter(F.col("_b").rlike(line))
     stamp = F.regexp_extract("_b", line, 0)
     parts = F.split(stamp, r"[ \t]*-->[ \t]*|(?<=[.,]\d{1,3}),(?=\d)")
     said = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("_b", rf"(?s)^.*?{line}\n?", ""), "<[^>]*>", ""), "\n", " "))
     said = without_speaker(said) if remove_speakers else said
-    rows = rows.select(key, "_n", _seconds(F.get(parts, F.lit(0))).alias("start"), _seconds(F.get(parts, F.lit(1))).alias("end"), said.alias("word"))
+    rows = rows.select(key, "_p", "_n", _seconds(F.get(parts, F.lit(0))).alias("start"), _seconds(F.get(parts, F.lit(1))).alias("end"), said.alias("word"))
     from pyspark.sql import Window
 
-    return rows.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("_n")) - 1).alias("pos"), "start", "end", "word")
+    return rows.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("_p", "_n")) - 1).alias("pos"), "start", "end", "word")
 
 
 def transcript(cue_rows: DataFrame, key: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from podium.operators.speech import write_wave
+
 
 def derived_name(path: str, suffix: str):
     """A column: the path with the suffix before its extension, as in frame_5_noborder.jpg."""
@@ -37,6 +40,17 @@ def write_transcript(words: DataFrame, out: str, by: list[str], text: str = "tra
     words.write.mode("overwrite").json(f"{out}/words")
 
 
+def write_recordings(df: DataFrame, out: str, name: str, samples: str, rate: int) -> None:
+    """A WAV file, name.wav, of each row's samples (16-bit integers, one channel)."""
+
+    def work(parts):
+        for part in parts:
+            yield pd.DataFrame({"name": part["name"], "content": [write_wave(x, rate) for x in part["samples"]]})
+
+    rows = df.select(F.concat(F.col(name).cast("string"), F.lit(".wav")).alias("name"), F.col(samples).cast("array<int>").alias("samples"))
+    rows.mapInPandas(work, "name string, content binary").write.format("whole_files").mode("append").save(out)
+
+
 def upserted(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """The table with changed rows in place of those of the same key, and new rows."""
     return table.join(changes.select(*key), key, "left_anti").unionByName(changes, allowMissingColumns=True)

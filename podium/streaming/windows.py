@@ -1,14 +1,12 @@
-"""Structured Streaming: event streams, windows with watermarks, sessions, duplicates, and voice activity with state."""
+"""Structured Streaming: event streams, windows with watermarks, sessions, duplicates; `voice` has voice activity."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.operators.speech import VoiceState
 from podium.session import new_folder
 
 
@@ -39,53 +37,43 @@ def without_duplicates(df: DataFrame, keys: list[str], late: str = "1 hour") ->
     return df.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-VAD_OUT = "segment long, first long, last long, n_frames long"
-_STATE = "frames array<long>, flags array<boolean>, active boolean, segment long, first long, last long, n long"
-
-
-def vad_stream(frames: DataFrame, key: str, order: str = "frame_idx", voiced: str = "is_speech", ring: int = 10, ratio: float = 0.9) -> DataFrame:
-    """key, segment, first, last, n_frames of each segment as it ends; what is open stays in the state.
-
-    Frames of a recording must come in order across batches (inside a batch they are sorted). The state is the ring and five numbers.
-    """
-
-    def work(k, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held, flags, active, segment, first, last, n = state.get if state.exists else ([], [], False, 0, None, None, 0)
-        vad = VoiceState(ring, ratio, list(zip(held, flags, strict=True)), active)
-        rows = []
-        for part in (pd.concat(list(parts)).sort_values(order),):
-            for frame, v in zip(part[order].tolist(), part[voiced].fillna(False).tolist(), strict=True):
-                got, ended = vad.feed(int(frame), bool(v))
-                if got:
-                    first = got[0] if first is None else first
-                    last, n = got[-1], n + len(got)
-                if ended:
-                    segment += 1
-                    rows.append((k[0], segment, first, last, n))
-                    first, last, n = None, None, 0
-        state.update(([f for f, _ in vad.held], [v for _, v in vad.held], vad.active, segment, first, last, n))
-        yield pd.DataFrame(rows, columns=[key, "segment", "first", "last", "n_frames"])
-
-    kind = dict(frames.dtypes)[key]
-    return frames.select(key, order, voiced).groupBy(key).applyInPandasWithState(work, f"`{key}` {kind}, {VAD_OUT}", _STATE, "append", "NoTimeout")
-
-
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and gives its result, from Parquet in the shared folder, where its state is kept too.
 
-    In complete mode each batch's result takes the place of the one before; in append mode rows are added, each once.
+    In complete mode the last batch's result counts; in append mode rows are added, each once.
     """
     spark = stream.sparkSession
     path, state = new_folder(spark, name), new_folder(spark, f"{name}-state")
     if mode == "append":
         to_parquet(stream, path, state)
-    else:
-        spark.createDataFrame([], stream.schema).write.parquet(path)
-        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
-        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+        return spark.read.schema(stream.schema).parquet(path)
+    last = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        """A batch's result stands in a folder of its own; a batch that is tried again overwrites only what it wrote itself."""
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        last[:] = [number]
+
+    with on_rocksdb(spark):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch-{last[0]}") if last else spark.createDataFrame([], stream.schema)
+
+
+@contextlib.contextmanager
+def on_rocksdb(spark: SparkSession):
+    """Streams that start inside keep their state in RocksDB, as list states and timers need; the caller's setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
 
 
 def to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Appends a stream to Parquet, each row once, over all that is there."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    with on_rocksdb(stream.sparkSession):
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()

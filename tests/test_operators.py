@@ -377,25 +377,6 @@ def test_voice_activity():
     assert speech.segments_of(v("")) == []
 
 
-def test_voice_stream_as_batch(spark, tmp_path):
-    rng, rows = random.Random(3), []
-    for k in range(3):
-        state = True
-        for i in range(300):
-            if rng.random() < 0.03:
-                state = not state
-            rows.append((k, i, state))
-    df = spark.createDataFrame(rows, "k int, frame_idx int, is_speech boolean")
-    for lo, hi in ((0, 120), (120, 300)):  # two files, in order
-        df.filter(F.col("frame_idx").between(lo, hi - 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        __import__("time").sleep(1.1)
-    batch = got(speech.vad_segments(df, "k"), "k", "segment", "first", "last", "n_frames")
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    found = got(windows.run_to_end(windows.vad_stream(stream, "k"), "vad_test"))
-    open_ones = {(k, last) for k, _, _, last, _ in batch if last == 299}
-    assert sorted(found) == sorted(r for r in batch if (r[0], r[3]) not in open_ones) or sorted(found) == sorted(batch)
-
-
 def test_char_words(spark):
     rows = spark.createDataFrame([(1, 0, "h", 0.0), (1, 1, "i", 0.1), (1, 2, ".", 0.2), (2, 0, "h", 0.0), (2, 1, "i", 0.1), (2, 2, " ", 0.2), (2, 3, ".", 0.3)], "k int, pos int, text string, start_time double")
     out = got(speech.chars_to_words(rows, ["k"]).orderBy("k", "word_idx"), "k", "word", "start", "end")
