@@ -20,9 +20,28 @@ BITS, LEVELS = 12, 3
 MOST_SENT = 100_000
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _number, from 0 without gaps, among the rows of equal doc_id and text, so that each has a place of its own.
+
+    Where none are equal, which a count of their hashes tells, nothing is shuffled. Else a hot group is numbered in the parts in which its rows were
+    read, and parts are told how many rows stand before them; which of equal rows gets which number is the same to the result.
+    """
+    group = [F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_t")]
+    if not docs.select(*group).groupBy("_d", "_t").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").limit(1).count():
+        return docs.withColumn("_number", F.lit(0).cast("long"))
+    rows = docs.select(F.struct("*").alias("_whole"), *group, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_t", "_part").orderBy("_at")))
+    before = Window.partitionBy("_d", "_t").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = docs.select(*group, F.spark_partition_id().alias("_part")).groupBy("_d", "_t", "_part").agg(F.count(F.lit(1)).alias("_k"))
+    parts = parts.withColumn("_base", F.coalesce(F.sum("_k").over(before), F.lit(0))).filter("_base > 0").drop("_k")
+    same = F.expr("r._d <=> p._d AND r._t = p._t AND r._part = p._part")
+    both = rows.alias("r").join(parts.alias("p"), same, "left")
+    return both.select("_whole.*", (F.col("_n") - 1 + F.coalesce("_base", F.lit(0))).cast("long").alias("_number"))
+
+
 def place(docs: DataFrame) -> Column:
-    """A document's place on the line of hashes, of 36 bits: by its text too, so that rows with equal doc_id do not stand at one place."""
-    return F.shiftrightunsigned(F.xxhash64(docs["doc_id"].cast("long"), docs["text"]), 64 - BITS * LEVELS)
+    """A row's place on the line of hashes, of 36 bits: by its text and its number among equal rows too."""
+    return F.shiftrightunsigned(F.xxhash64(docs["doc_id"].cast("long"), docs["text"], docs["_number"]), 64 - BITS * LEVELS)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -86,10 +105,10 @@ def _sent(limits: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document.
 
-    Equal rows (doc_id and text) are taken alike. A null or empty text has size 0 and takes nothing; null sources form one source; an
+    Equal rows (doc_id and text) are taken one by one. A null or empty text has size 0 and takes nothing; null sources form one source; an
     empty table gives no rows; other columns are ignored. The choice depends on doc_id and text alone, so reruns agree.
     """
-    sized = materialise(sizes(docs), "sizes")
+    sized = materialise(sizes(numbered(docs.select("doc_id", "text", "source"))), "sizes")
     limits = _sent(thresholds(sized, targets(sized, weights, most, share)))
     more: Column = (F.col("place") < F.col("threshold")).cast("long")
     both = sized.alias("d").join(limits.alias("s"), F.expr("d.source <=> s.source"))
@@ -98,11 +117,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, sh
 
 def repeat(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0) -> DataFrame:
     """The documents, all columns as they are, each as often as the mix takes it. Those without words, null texts too, come once: they cost
-    nothing. Equal rows are taken alike; an empty table stays empty."""
+    nothing. Equal rows are taken one by one; an empty table stays empty."""
+    docs = numbered(docs.select(F.struct("*").alias("_row"), "doc_id", "text", "source"))
     sized = materialise(sizes(docs), "sizes")
     limits = thresholds(sized, targets(sized, weights, most, share))
     limits = _sent(limits.select(F.col("source").alias("_source"), F.col("copies").alias("_copies"), F.col("threshold").alias("_threshold")))
-    placed = docs.select(F.struct("*").alias("_row"), F.col("source").cast("string").alias("_own"), place(docs).alias("_place"), (F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == 0).alias("_empty"))
+    placed = docs.select("_row", F.col("source").cast("string").alias("_own"), place(docs).alias("_place"), (F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == 0).alias("_empty"))
     both = placed.join(limits, F.col("_own").eqNullSafe(F.col("_source")))
     times = F.when(F.col("_empty"), 1).otherwise(F.col("_copies") + (F.col("_place") < F.col("_threshold")).cast("long"))
     return both.filter(times > 0).select("_row.*", F.explode(F.sequence(F.lit(1), times.cast("int"))).alias("_time")).drop("_time")

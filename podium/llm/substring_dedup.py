@@ -81,19 +81,20 @@ def runs_of(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarr
 
 
 def _key(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) >> 33
+    """64 bits, signed: rows with one doc_id, or with none, are told apart by them."""
+    return int.from_bytes(xxhash.xxh3_64_digest(text), "big", signed=True)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, tk (31 bits of a hash of the text), z (the text, compressed)."""
+    """doc_id, tk (a hash of the text), z (the text, compressed)."""
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, most=SLICE):
             raw = [x.as_buffer().to_pybytes() for x in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_key, raw), pa.int32()), pa.array([press.compress(x) for x in raw], pa.binary())], ["doc_id", "tk", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_key, raw), pa.int64()), pa.array([press.compress(x) for x in raw], pa.binary())], ["doc_id", "tk", "z"])
 
-    return docs.mapInArrow(run, "doc_id long, tk int, z binary")
+    return docs.mapInArrow(run, "doc_id long, tk long, z binary")
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
@@ -129,11 +130,11 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
             begin = bounds[text] + first
             raw = memoryview(np.ascontiguousarray(data))
             sk = np.fromiter((xxhash.xxh3_64_intdigest(raw[b:e]) for b, e in zip(begin.tolist(), (begin + windows + length - 1).tolist(), strict=True)), np.uint64, len(text))
-            tk = np.fromiter((_key(raw[b:e]) for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), np.int32, len(bounds) - 1)
+            tk = np.fromiter((_key(raw[b:e]) for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), np.int64, len(bounds) - 1)
             doc = batch.column("doc_id").take(pa.array(text))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sk.view(np.int64)), doc, pa.array(tk[text]), pa.array(first, pa.int32()), pa.array(windows, pa.int32()), pa.array(place, pa.int32())], ["h", "sk", "doc_id", "tk", "a", "w", "o"])
 
-    return docs.mapInArrow(run, "h long, sk long, doc_id long, tk int, a int, w int, o int")
+    return docs.mapInArrow(run, "h long, sk long, doc_id long, tk long, a int, w int, o int")
 
 
 def _same(a: DataFrame, b: DataFrame) -> DataFrame:
