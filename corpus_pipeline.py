@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs. All
 but the last return the columns of documents, further ones too, whatever their names. An empty table gives an empty one. Null and empty
 texts have no words: quality_rules drops them; the later stages, each by itself, keep them (near_duplicates links them with nothing,
-pseudonyms leaves them as they are, source_mix takes them once, best_fit_packing packs their end id). Equal rows are treated alike.
+pseudonyms leaves them as they are, source_mix takes them once, best_fit_packing packs their end id). Equal rows are treated alike, but source_mix takes them one by one.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.llm import mixing, ngram_join, packing, pii, rules
-from podium.llm.common import materialise, read_table
+from podium.llm.common import discard, materialise, read_table
 from podium.llm.queries import tokenizer_path
 
 
@@ -53,7 +53,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, written = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        if written is not None:
+            discard(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
