@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.functions.scalars import cosine_distance, squared_distance
+from podium.session import written
 
 
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -31,7 +32,8 @@ BLOCK = 10_000
 
 
 def in_blocks(side: DataFrame, key: str, most: int = BLOCK) -> list[DataFrame]:
-    """side, counted, in as many parts by a hash of its key as keep one at about `most` rows; each is marked to be sent to all tasks."""
+    """side, written once and counted, in as many parts by a hash of its key as keep one at about `most` rows; each is marked to be sent to all tasks."""
+    side = written(side, "blocks")
     n = -(-side.count() // most) or 1
     return [F.broadcast(side.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) if n > 1 else side) for i in range(n)]
 
@@ -173,23 +175,14 @@ def cluster_slides(df: DataFrame, method: str, order: str, vector: str, by: str
     raise ValueError(f"unknown method {method}; there are segment, kmeans, normal")
 
 
-def ratio_matches(queries: DataFrame, items: DataFrame, query: str, item: str, vector: str, ratio: float = 0.7, block: int = BLOCK) -> DataFrame:
-    """query, item, d1, d2: the nearest item where it is nearer than `ratio` times the second. Queries are a stated set; it is counted and
-    sent to the items block by block, and each task leaves two items a query."""
-    there = items.select(F.col(item).alias("_i"), F.col(vector).alias("_v"))
+def ratio_matches(queries: DataFrame, items: DataFrame, query: str, item: str, vector: str, ratio: float = 0.7) -> DataFrame:
+    """query, item, d1, d2: the nearest item where it is nearer than `ratio` times the second; an item of the query's own name is none."""
+    from podium.operators.neighbours import nearest
 
-    def nearest(part: DataFrame) -> DataFrame:
-        return _two_nearest(there.crossJoin(part).filter("_i <> _q").withColumn("d", F.sqrt(squared_distance("_v", "_w"))))
-
-    parts = in_blocks(queries.select(F.col(query).alias("_q"), F.col(vector).alias("_w")), "_q", block)
-    return reduce(DataFrame.unionByName, map(nearest, parts)).filter(F.col("d1") < ratio * F.col("d2")).select(F.col("_q").alias("query"), "item", "d1", "d2")
-
-
-def _two_nearest(pairs: DataFrame) -> DataFrame:
-    """_q, item, d1, d2, by two partial minima: no list of all items of a query is made."""
-    first = pairs.groupBy("_q").agg(F.min(F.struct("d", "_i")).alias("a"))
-    rest = pairs.join(first, "_q").filter("_i <> a._i").groupBy("_q").agg(F.min("d").alias("d2"))
-    return first.join(rest, "_q").select("_q", F.col("a._i").alias("item"), F.col("a.d").alias("d1"), "d2")
+    two = nearest(queries, items, query, item, vector, k=2, skip_same=True)
+    first = F.col("rank") == 1
+    both = two.groupBy("query").agg(F.max(F.when(first, F.col("item"))).alias("item"), F.max(F.when(first, F.col("distance"))).alias("d1"), F.max(F.when(~first, F.col("distance"))).alias("d2"))
+    return both.filter(F.col("d1") < ratio * F.col("d2"))
 
 
 def near_pairs(df: DataFrame, vector: str, name: str, distance: float, bucket: float = 0.5, tables: int = 4, seed: int = 0) -> DataFrame:

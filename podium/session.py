@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "podium", master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
@@ -45,3 +45,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
         shared = f"file://{folder}"
         spark.conf.set("podium.local.folder", shared)
     return f"{shared}/podium-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder: what several plans read is computed once, and its lineage ends there."""
+    path = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

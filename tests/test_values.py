@@ -83,8 +83,6 @@ def test_learnt_numbers(spark, sf_dir):
 def test_blocks_change_nothing(spark, sf_dir, block):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     some = rows.filter("vec_id % 20 = 0")
-    one, many = (sorted(map(repr, vectors.ratio_matches(some, rows, "vec_id", "vec_id", "embedding", 0.99, block=b).collect())) for b in (10**6, block))
-    assert one == many and one
     centers = some.select(F.col("vec_id").alias("cluster"), F.col("embedding").alias("centroid"))
     one, many = (sorted(map(repr, vectors.assigned(rows, centers, "embedding", "vec_id", block=b).collect())) for b in (10**6, block))
     assert one == many and len(one) == rows.count()
