@@ -48,6 +48,13 @@ def tfidf_weights(spark, sf_dir):
     return rounded(text.tfidf(table(spark, sf_dir, "documents"), "text", "doc_id", n_features=2000), "weight")
 
 
+@_R.add("latent_features")
+def latent_features(spark, sf_dir):
+    """The documents' first 20 latent features, largest singular values first."""
+    _, rows, _ = text.latent_features(table(spark, sf_dir, "documents"), "text", "doc_id", k=20)
+    return rounded(rows.select("doc_id", F.posexplode("features").alias("dim", "value")), "value")
+
+
 _KEYWORDS = f"k AS (SELECT term FROM (SELECT term, count(DISTINCT item_id) AS df FROM (SELECT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark) WHERE term NOT IN {_STOP} GROUP BY term) ORDER BY df DESC, term LIMIT 40)"
 
 

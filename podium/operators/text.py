@@ -79,6 +79,15 @@ def hashed_features(df: DataFrame, text: str, n_features: int = 10_000, use_idf:
     return Pipeline(stages=stages).fit(rows).transform(rows).drop("_tokens", "_tf", "_w")
 
 
+def latent_features(df: DataFrame, text: str, key: str, k: int = 100, n_features: int = 10_000, seed: int = 0, **options):
+    """(k singular values, key and features of each row, directions of the hashed terms): TF-IDF rows hashed to n_features places, cut down to k of them by a
+    truncated singular value decomposition. options are those of `tfidf`. A row without a term within its limits has no features."""
+    from podium.operators.svd import truncated
+
+    weights = tfidf(df, text, key, n_features=None, **options)
+    return truncated(weights.select(key, F.pmod(F.xxhash64("term"), F.lit(n_features)).cast("int").alias("j"), F.col("weight").alias("x")), key, n_features, k, seed)
+
+
 # ranking and selection
 
 
