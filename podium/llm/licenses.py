@@ -8,6 +8,7 @@ work on whole texts with ASCII letters in lower case.
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 
@@ -96,6 +97,23 @@ class Notice:
         return (*hit.span(), sum(hit.fuzzy_counts)) if hit and sum(hit.fuzzy_counts) <= self.edits else None
 
 
+#: White space and what wraps comments around it, where it is more than one blank or another sign than that.
+WRAP = re.compile(r"[*#/]*\s[\s*#/]+|[*#/]+\s|[^\S ]")
+
+
+def folded(low: str) -> tuple[str, list[int], list[int]]:
+    """The text with each wrap as one blank, so that edits measure edits; where wraps end in it, and by how much places behind them lie further on
+    in the text itself."""
+    out, ends, shifts, last, size = [], [], [0], 0, 0
+    for m in WRAP.finditer(low):
+        out += [low[last : m.start()], " "]
+        size += m.start() - last + 1
+        last = m.end()
+        ends.append(size)
+        shifts.append(last - size)
+    return ("".join([*out, low[last:]]) if ends else low), ends, shifts
+
+
 class Searcher:
     """Finds the notices in a text."""
 
@@ -112,7 +130,9 @@ class Searcher:
 
     def find(self, low: str) -> list[tuple[str, int, int, int, float]]:
         """label, start, end, errors and score (1 less the share of the notice's characters that are edited) of each notice found in a text in
-        lower case, by start; a stretch of text is one notice's once, the nearest one's."""
+        lower case, by start; a stretch of text is one notice's once, the nearest one's. Line breaks and comment signs at them are as one blank."""
+        low, ends, shifts = folded(low)
+        there = lambda p: p + shifts[bisect.bisect_right(ends, p)]
         spans: dict[int, list[tuple[int, int, int]]] = {}
         for end, (size, where) in self.automaton.iter(low):
             for k, at in where:
@@ -128,7 +148,7 @@ class Searcher:
         for _, _, a, b, n, k in sorted((n, -len(self.notices[k].text), a, b, n, k) for k, found in spans.items() for a, b, n in found):
             if all(b <= c or d <= a for c, d, _, _ in best):  # of notices at the same place the nearest, the longer of equally near ones
                 best.append((a, b, n, k))
-        return [(self.notices[k].label, a, b, n, 1 - n / len(self.notices[k].text)) for a, b, n, k in sorted(best)]
+        return [(self.notices[k].label, there(a), there(b - 1) + 1, n, 1 - n / len(self.notices[k].text)) for a, b, n, k in sorted(best)]
 
 
 _SEARCHER: list[Searcher] = []

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import secrets
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without any of these has nothing to find.
 HINT = r"[0-9@]|A[KS]IA|(?i:token|secret|passw|api[_-]?key)"
 ROUNDS = 8
-#: The session's setting that holds the key.
-KEY_SETTING = "podium.pii.key"
+#: The session's setting that holds the key: Spark hides settings whose names hold this word from its log and user interface.
+KEY_SETTING = "podium.pii.secret"
 #: Dates from FIRST_DAY, so many days: 365 x 200.
 FIRST_DAY, YEAR_PART, YEARS = "1900-01-01", 365, 200
 #: All other dates from EARLIEST to 9999-12-31 are a domain of their own: 3,579,059 days = 1331 x 2689; so many are before FIRST_DAY.
@@ -51,13 +52,13 @@ def key_of(spark: SparkSession) -> str:
     return found
 
 
-def _digest(key: str, kind: str, value: Column, tweak: Column, most: Column) -> Column:
+def _digest(key: Column | str, kind: str, value: Column, tweak: Column, most: Column) -> Column:
     """A keyed whole number below `most`."""
     whole = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), tweak.cast("string"), value.cast("string")), 256)
     return F.pmod(F.conv(F.substring(whole, 1, 15), 16, 10).cast("long"), most)
 
 
-def feistel(key: str, kind: str, a: Column, b: Column, most_a: Column, most_b: Column) -> Column:
+def feistel(key: Column | str, kind: str, a: Column, b: Column, most_a: Column, most_b: Column) -> Column:
     """A permutation of the pairs (a, b), a below most_a and b below most_b, both longs: a struct of a and b."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
 
@@ -74,7 +75,7 @@ def _power(n: Column) -> Column:
     return F.element_at(F.array(*(F.lit(10**i).cast("long") for i in range(19))), (n + 1).cast("int"))
 
 
-def _digits(key: str, kind: str, digits: Column) -> Column:
+def _digits(key: Column | str, kind: str, digits: Column) -> Column:
     """Digits of the same number, permuted."""
     n = F.length(digits)
     h = F.floor(n / 2).cast("int")
@@ -108,7 +109,7 @@ def _luhn(digits: Column, odd_from_right: int) -> Column:
     return F.aggregate(rows, F.lit(0), lambda a, b: a + b)
 
 
-def _card(key: str, m: Column) -> Column:
+def _card(key: Column | str, m: Column) -> Column:
     def new(d: Column) -> Column:
         body = _digits(key, "card", F.substring(d, F.lit(1), F.length(d) - 1))
         return _let(body, lambda b: F.concat(b, F.pmod(10 - F.pmod(_luhn(b, 0), F.lit(10)), F.lit(10)).cast("string")))
@@ -116,13 +117,13 @@ def _card(key: str, m: Column) -> Column:
     return _let(_only_digits(m), lambda d: F.when(F.pmod(_luhn(d, 1), F.lit(10)) == 0, _let(new(d), lambda x: _laid_out(m, x))))
 
 
-def _phone(key: str, m: Column) -> Column:
+def _phone(key: Column | str, m: Column) -> Column:
     prefix = F.regexp_extract(m, r"^(\+\d{1,3}[ .\-]?)?", 0)
     rest = F.substring(m, F.length(prefix) + 1, F.length(m))
     return F.concat(prefix, _let(_digits(key, "phone", _only_digits(rest)), lambda x: _laid_out(rest, x)))
 
 
-def _ip(key: str, m: Column) -> Column:
+def _ip(key: Column | str, m: Column) -> Column:
     def new(p: Column) -> Column:
         at = lambda i: F.get(p, F.lit(i))
         s = feistel(key, "ip", at(0) * 256 + at(1), at(2) * 256 + at(3), F.lit(65536).cast("long"), F.lit(65536).cast("long"))
@@ -132,7 +133,7 @@ def _ip(key: str, m: Column) -> Column:
     return _let(F.transform(F.split(m, r"\."), lambda x: x.cast("int")), new)
 
 
-def _ip6(key: str, m: Column) -> Column:
+def _ip6(key: Column | str, m: Column) -> Column:
     """The groups that are written are permuted, halves by turns; where groups are left out stays as it is."""
 
     def words(i: Column, other: Column) -> Column:
@@ -165,7 +166,7 @@ def _mod97(signs: Column) -> Column:
     return F.aggregate(F.split(signs, ""), F.lit(0), lambda r, c: F.pmod(r * F.when(c.rlike("^[0-9]$"), 10).otherwise(100) + F.when(c == "", 0).otherwise(value(c)), F.lit(97)).cast("int"))
 
 
-def _iban(key: str, m: Column) -> Column:
+def _iban(key: Column | str, m: Column) -> Column:
     """The digits behind the check digits are permuted, letters stay, and the check digits are made anew."""
     plain = F.replace(m, F.lit(" "), F.lit(""))
 
@@ -191,7 +192,7 @@ def _spaced(m: Column, signs: Column) -> Column:
     return F.aggregate(F.split(m, ""), start, put, lambda s: s["out"])
 
 
-def _ssn(key: str, m: Column) -> Column:
+def _ssn(key: Column | str, m: Column) -> Column:
     """Areas 001 to 899 but 666, groups from 01, serials from 0001."""
     area, group, serial = (F.substring(m, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
     fine = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
@@ -204,7 +205,7 @@ def _ssn(key: str, m: Column) -> Column:
     return F.when(fine, _let(s, show))
 
 
-def _date(key: str, m: Column) -> Column:
+def _date(key: Column | str, m: Column) -> Column:
     """Dates of the 200 years stay in them, the others outside. A date has the same pseudonym in every layout."""
     year_last = ~m.contains("-")
     iso = F.when(year_last, F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))).otherwise(m)
@@ -224,11 +225,11 @@ def _date(key: str, m: Column) -> Column:
     return _let(_let(day, new), laid_out)
 
 
-def _email(key: str, m: Column) -> Column:
+def _email(key: Column | str, m: Column) -> Column:
     return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 12), F.lit("@example.invalid"))
 
 
-def _shaped(key: str, value: Column) -> Column:
+def _shaped(key: Column | str, value: Column) -> Column:
     """A keyed digest of the same length: hexadecimal digits where all are, else a digit for a digit, a letter for a letter of its case."""
     digest = lambda k: F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lit(k), value), 256)
 
@@ -242,12 +243,12 @@ def _shaped(key: str, value: Column) -> Column:
     return _let(F.concat(*map(digest, "abcd")), new)  # 256 signs, two for each of 128
 
 
-def _secret(key: str, m: Column) -> Column:
+def _secret(key: Column | str, m: Column) -> Column:
     value = F.regexp_extract(m, "[\"']([^\"']+)[\"']$", 1)
     return _let(value, lambda v: F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(v) - 1), _shaped(key, v), F.substring(m, -1, 1)))
 
 
-def _access_key(key: str, m: Column) -> Column:
+def _access_key(key: Column | str, m: Column) -> Column:
     return F.concat(F.substring(m, 1, 4), _let(F.substring(m, 5, 16), lambda v: _shaped(key, v)))
 
 
@@ -264,9 +265,16 @@ def _kind(m: Column) -> Column:
     )
 
 
+def _keyed(df: DataFrame, key: str) -> DataFrame:
+    """df with _key, from a table of one row: a plan's text, which goes to logs, names the column and not the key, as it would a literal."""
+    row = df.sparkSession.createDataFrame(pa.table({"_key": [key]}))
+    return df.crossJoin(F.broadcast(row))
+
+
 def with_pseudonyms(df: DataFrame, text: str, key: str) -> DataFrame:
     """df with `text` rewritten (null stays null) and _found, an array of the kinds replaced, in order (null where nothing is searched)."""
     t = F.col(text)
+    df, key = _keyed(df, key), F.col("_key")
     df = df.withColumn("_hits", F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
 
     def new(m: Column) -> Column:
@@ -279,7 +287,7 @@ def with_pseudonyms(df: DataFrame, text: str, key: str) -> DataFrame:
     df = df.withColumn("_hits", F.when(F.size("_hits") > 0, F.transform("_hits", new)))
     parts = F.split(t, ANY, -1)
     glued = F.array_join(F.zip_with(parts, F.transform("_hits", lambda h: F.coalesce(h["new"], h["old"])), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return df.withColumn("_found", F.transform(F.filter("_hits", lambda h: h["new"].isNotNull()), lambda h: h["kind"])).withColumn(text, F.when(F.size("_hits") > 0, glued).otherwise(t)).drop("_hits")
+    return df.withColumn("_found", F.transform(F.filter("_hits", lambda h: h["new"].isNotNull()), lambda h: h["kind"])).withColumn(text, F.when(F.size("_hits") > 0, glued).otherwise(t)).drop("_hits", "_key")
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
