@@ -158,7 +158,8 @@ def text_rank_keywords(spark, sf_dir):
 
 @_R.add("cluster_summary")
 def cluster_summary(spark, sf_dir):
-    return text.cluster_summary(table(spark, sf_dir, "documents"), "text", "doc_id", k=10).select("cluster", "sentence", "rating")
+    """Each document's own summary of three clusters."""
+    return text.cluster_summary(table(spark, sf_dir, "documents"), "text", "doc_id", k=3).drop("title")
 
 
 QUERIES, ORACLE_SQL = _R.queries, _R.sql

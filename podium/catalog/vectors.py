@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from podium.catalog.registry import Registry, rounded, table
-from podium.operators import vectors
+from podium.operators import minibatch, vectors
 
 _R = Registry()
 
@@ -54,6 +54,12 @@ def cluster_count(spark, sf_dir):
     return vectors.kmeans(table(spark, sf_dir, "embeddings"), "embedding", 20)[0].agg(F.countDistinct("cluster").alias("n_clusters"))
 
 
+@_R.add("minibatch_clusters")
+def minibatch_clusters(spark, sf_dir):
+    """Clusters by one pass of mini-batches."""
+    return minibatch.kmeans(table(spark, sf_dir, "embeddings"), "embedding", 20)[0].select("vec_id", "cluster")
+
+
 @_R.add("cost_by_k")
 def cost_by_k(spark, sf_dir):
     return rounded(vectors.cost_by_k(table(spark, sf_dir, "embeddings"), "embedding", [2, 4, 8]), "cost")

@@ -185,40 +185,82 @@ def bag_of_words_rules(feature_extraction: str, cluster_summarizer: str, final_s
         raise ValueError("sentences under titles stay in their clusters: final_sort_by must be None")
 
 
+def _clustered(said: list[str], coverage: float, k: int, seed: int, width: int | None) -> list[tuple[int, int, float]]:
+    """cluster, sent_idx, rating of the sentences that one text's summary keeps."""
+    import re
+    from collections import Counter
+    from zlib import crc32
+
+    import numpy as np
+
+    from podium.operators.minibatch import Sparse, labels
+
+    n = len(said)
+    each = int(n * coverage) // k
+    if not each:
+        return []
+    counts = [Counter(t for t in re.split(r"\W+", x.lower(), flags=re.ASCII) if t and t not in STOP_WORDS) for x in said]
+    df = Counter(t for c in counts for t in c)
+    place = {t: crc32(t.encode()) % width if width else i for i, t in enumerate(df)}
+    row = np.repeat(np.arange(n), [len(c) for c in counts])
+    terms = [t for c in counts for t in c]
+    tf = np.array([v for c in counts for v in c.values()], float)
+    often = np.array([df[t] for t in terms], float)
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        length = np.sqrt(np.bincount(row, x * x, n))[row]
+        return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+    features = scaled(tf * np.log((n + 1) / (often + 1)))
+    label = labels(Sparse(row, np.array([place[t] for t in terms], int), features, n, width or max(1, len(place))), k, seed)
+    rated = scaled(np.where((often >= 2) & (often <= 0.5 * n), tf * (np.log((1 + n) / (1 + often)) + 1), 0))
+    rating = np.round(np.bincount(row, rated, n), 9)
+    order = np.lexsort((np.arange(n), -rating, label))
+    rank = np.arange(n) - np.searchsorted(label[order], label[order])
+    return [(int(label[i]), int(i), float(rating[i])) for i in order[rank < each]]
+
+
 def cluster_summary(df: DataFrame, text: str, key: str, coverage: float = 0.70, k: int = 10, seed: int = 0, feature_extraction: str = "hash", final_sort_by: str | None = None, titles=None, summarise=None) -> DataFrame:
-    """Sentences grouped by k-means, the best of each cluster: cluster, sent_order, sentence, rating, title, final_order.
+    """key, cluster, sent_idx, sentence, rating, title, final_order: each text's sentences grouped by mini-batch k-means, the best of each cluster.
 
-    int(int(n * coverage) / k) sentences a cluster, rated by the sum of their TF-IDF weights; titles and summarise are functions of a
-    column (a model's place). The order is by cluster, or by sentence order or rating.
+    int(int(n * coverage) / k) sentences a cluster of a text of n, rated by the sum of their TF-IDF weights in the text (ties by order); clusters are compared by hashed (10,000
+    places) or whole term weights. titles and summarise are functions of a column (a model's place); the order in a text is by cluster, or by sentence order
+    or rating. Texts are summarised each by itself, one at a time in a worker; a null or empty one, or one of too few sentences, has no rows.
     """
-    from pyspark.ml.clustering import KMeans
+    import pandas as pd
 
     bag_of_words_rules(feature_extraction, "abstractive" if summarise else "extractive", final_sort_by, titles is not None)
-    rows = sentences(df, text, [key]).withColumn("sent_order", F.struct(F.col(key), F.col("sent_idx")))
-    rows = rows.withColumn("_key", F.xxhash64(key, "sent_idx"))
-    featured = hashed_features(rows, "sentence", 10_000)
-    model = KMeans(k=k, maxIter=100, seed=seed, featuresCol="features", predictionCol="cluster").fit(featured)
-    rating = tfidf(rows, "sentence", "_key").groupBy("_key").agg(F.sum("weight").alias("rating"))
-    rated = model.transform(featured).drop("features").join(rating, "_key", "left").withColumn("rating", F.coalesce("rating", F.lit(0.0)))
-    n = rated.agg(F.floor(F.floor(F.count("*") * F.lit(coverage)) / k).alias("_each"))
-    w = Window.partitionBy("cluster").orderBy(F.col("rating").desc(), "sent_order")
-    kept = rated.join(F.broadcast(n), how="cross").withColumn("_r", F.row_number().over(w)).filter("_r <= _each")
+    width = None if feature_extraction == "bow" else 10_000
+
+    def run(parts):
+        for part in parts:
+            for name, said in zip(part[key], part["_said"], strict=True):
+                kept = _clustered(list(said), coverage, k, seed, width)
+                if kept:
+                    yield pd.DataFrame({key: [name] * len(kept), "cluster": [c for c, *_ in kept], "sent_idx": [i for _, i, _ in kept], "sentence": [said[i] for _, i, _ in kept], "rating": [r for *_, r in kept]})
+
+    rows = df.select(key, sentence_array(text).alias("_said"))
+    kept = rows.mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, cluster int, sent_idx int, sentence string, rating double")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sent_idx", "sentence"))), lambda x: x["sentence"]), " ")
+    same = [F.col(key).eqNullSafe(F.col("_k")), F.col("cluster") == F.col("_c")]
     if summarise is not None:
-        kept = kept.groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sent_order", "sentence"))), lambda x: x["sentence"]), " ").alias("sentence"), F.min("sent_order").alias("sent_order"), F.max("rating").alias("rating")).withColumn("sentence", summarise(F.col("sentence")))
+        kept = kept.groupBy(key, "cluster").agg(joined.alias("sentence"), F.min("sent_idx").alias("sent_idx"), F.max("rating").alias("rating")).withColumn("sentence", summarise(F.col("sentence")))
     if titles is not None:
-        names = kept.groupBy("cluster").agg(titles(F.array_join(F.collect_list("sentence"), " ")).alias("title"))
-        kept = kept.join(names, "cluster", "left")
+        names = kept.groupBy(F.col(key).alias("_k"), F.col("cluster").alias("_c")).agg(titles(joined).alias("title"))
+        kept = kept.join(names, same, "left").drop("_k", "_c")
     else:
         kept = kept.withColumn("title", F.lit(None).cast("string"))
-    order = {None: ["cluster", "sent_order"], "order": ["sent_order"], "rating": ["rating", "sent_order"]}[final_sort_by]
-    return kept.select("cluster", "sent_order", "sentence", "rating", "title").orderBy(*order)
+    order = {None: ["cluster", "sent_idx"], "order": ["sent_idx"], "rating": [F.col("rating").desc(), "sent_idx"]}[final_sort_by]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    return kept.select(key, "cluster", "sent_idx", "sentence", "rating", "title", place.alias("final_order"))
 
 
-def titled(summary: DataFrame) -> DataFrame:
-    """One text: 'Title: ...\\nContent: ...\\n\\n' for each cluster."""
-    parts = summary.groupBy("cluster").agg(F.first("title").alias("title"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sent_order", "sentence"))), lambda x: x["sentence"]), " ").alias("content"))
+def titled(summary: DataFrame, key: str) -> DataFrame:
+    """key, summary: 'Title: ...\\nContent: ...\\n\\n' for each cluster of a text's summary."""
+    content = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sent_idx", "sentence"))), lambda x: x["sentence"]), " ")
+    parts = summary.groupBy(key, "cluster").agg(F.max("title").alias("title"), content.alias("content"))
     text = F.format_string("Title: %s\nContent: %s\n\n", F.coalesce("title", F.lit("")), "content")
-    return parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cluster", text.alias("t")))), lambda x: x["t"]), "").alias("summary"))
+    return parts.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cluster", text.alias("t")))), lambda x: x["t"]), "").alias("summary"))
 
 
 # spelling

@@ -173,16 +173,6 @@ def test_tfidf_selection_by_hand(spark, sf_dir):
         assert not kept or not left or min(rating[d, i] for i in kept) >= max(left) - 1e-6
 
 
-def test_cluster_summary_takes_the_best_of_each(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.monotonically_increasing_id().alias("doc_id"), "text").limit(40)
-    df = spark.createDataFrame([tuple(r) for r in df.collect()], df.schema)
-    n = sum(len(split_sentences(t)) for _, t in df.collect())
-    out = text.cluster_summary(df, "text", "doc_id", k=4).collect()
-    each = int(int(n * 0.7) / 4)
-    sizes = collections.Counter(r["cluster"] for r in out)
-    assert len(sizes) <= 4 and max(sizes.values()) <= each and len({r["sent_order"] for r in out}) == len(out)
-
-
 @pytest.mark.parametrize("method", ["text_rank", "lsa", "luhn", "edmundson", "random", "lex_rank"])
 def test_extractive_keeps_the_best_rated(spark, sf_dir, method):
     texts_ = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(50).collect()
