@@ -27,6 +27,22 @@ def sentence_rows(spark, sf_dir):
     return rows.withColumn("sent_idx", F.col("sent_idx").cast("long"))
 
 
+@_R.add("learned_abbreviations", """WITH w AS (SELECT unnest(regexp_split_to_array(coalesce(text, ''), '\\s+')) AS w FROM documents),
+t AS (SELECT lower(regexp_extract(w, '^["''(\\[]*(.*?)\\.?["'')\\],;:!?]*$', 1)) AS term, regexp_matches(w, '\\.["'')\\],;:!?]*$')::INT AS stop FROM w),
+c AS (SELECT term, count(*)::DOUBLE AS n, sum(stop)::DOUBLE AS k FROM t WHERE term <> '' GROUP BY term), a AS (SELECT sum(k) / sum(n) AS r FROM c),
+s AS (SELECT term, n, k, r, length(regexp_replace(term, '[^.]', '', 'g')) AS i, length(term) AS l FROM c, a WHERE k > 0 AND regexp_matches(term, '^[\\p{L}.]+$') AND regexp_matches(term, '\\p{L}')),
+x AS (SELECT term, round(2 * (k * ln(0.99) + (n - k) * ln(0.01) - k * ln(r) - (n - k) * ln(1 - r)) * exp(-(l - i)) * (i + 1) * pow(l - i, k - n), 9) AS score FROM s)
+SELECT term, round(score, 6) AS score FROM x WHERE score >= 0.3 ORDER BY x.score DESC, term LIMIT 2000""")
+def learned_abbreviations(spark, sf_dir):
+    return rounded(text.abbreviations(table(spark, sf_dir, "documents"), "text"), "score")
+
+
+@_R.add("learned_sentences")
+def learned_sentences(spark, sf_dir):
+    """Sentences by boundaries that the documents teach."""
+    return text.learned_sentences(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
 @_R.add("token_counts", f"SELECT doc_id, len({_TOKENS.format('text')}) AS n_tokens, len(list_distinct({_TOKENS.format('text')})) AS n_terms FROM documents")
 def token_counts(spark, sf_dir):
     return text.token_counts(table(spark, sf_dir, "documents"), "text", ["doc_id"])

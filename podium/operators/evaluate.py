@@ -218,5 +218,102 @@ def split_search(df: DataFrame, group: str, category: str, tries: int, take: int
     return shares.groupBy("try").agg(F.avg(F.abs(F.col("share") - wanted)).alias("deviation")).orderBy("deviation", "try")
 
 
+def best_split(df: DataFrame, group: str, category: str, take: int, wanted: float = 0.2, parts: int | None = None, most: int = 20_000_000) -> DataFrame:
+    """groups (sorted), deviation, proven of the best split: of all ways to take `take` groups, the one with the least mean over categories of
+    |share - wanted| (to nine digits; then the least groups).
+
+    Ways to take all but two groups have ranks, whose ranges are dealt to tasks. A task goes through its range in order and jumps over all ways that begin with
+    groups after which even the best shares that the rest can reach are worse than a split known before; the last two groups are tried at once. A task that
+    evaluated `most` splits stops; then the best one found is given as not proven. Counts by group and category, a small matrix, are what tasks get.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = df.sparkSession
+    counts = df.groupBy(F.col(group).cast("string").alias("g"), F.col(category).cast("string").alias("c")).agg(F.count("*").alias("n")).filter("g IS NOT NULL")
+    found = counts.limit(MOST_CELLS + 1).collect()
+    if len(found) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} pairs of group and category; split_search takes any number")
+    names, kinds = sorted({r["g"] for r in found}), sorted({r["c"] or "" for r in found})
+    n = np.zeros((len(names), len(kinds)))
+    for r in found:
+        n[names.index(r["g"]), kinds.index(r["c"] or "")] += r["n"]
+    schema = "groups array<string>, deviation double, proven boolean"
+    if not 0 < take <= len(names):
+        return spark.createDataFrame([], schema)
+    share = n / n.sum(axis=0)
+    picks = np.random.default_rng(0).random((2000, len(names))).argsort(axis=1)[:, :take]
+    tried = np.round(np.abs(share[picks].sum(axis=1) - wanted).mean(axis=1), 9)
+    known = float(tried.min()), tuple(sorted(picks[tried.argmin()].tolist()))
+    parts = parts or 4 * spark.sparkContext.defaultParallelism
+
+    def run(batches):
+        for batch in batches:
+            for part in batch["id"].tolist():
+                best = _searched(share, take, wanted, part, parts, known, most)
+                yield pd.DataFrame({"groups": [[names[i] for i in best[1]]], "deviation": [best[0]], "proven": [best[2]]})
+
+    every = spark.range(0, parts, 1, parts).mapInPandas(run, schema)
+    least = every.agg(F.min(F.struct("deviation", "groups")).alias("b"), F.min("proven").alias("proven"))
+    return least.select("b.groups", "b.deviation", "proven")
+
+
+#: Pairs of group and category of an exact search.
+MOST_CELLS = 100_000
+
+
+def _searched(share, take: int, wanted: float, part: int, parts: int, known: tuple[float, tuple[int, ...]], most: int) -> tuple[float, tuple[int, ...], bool]:
+    """The least deviation, its groups and whether nothing was left out, of the known split and those whose first groups' ranks are in one of the parts."""
+    from math import comb
+
+    import numpy as np
+
+    n, ahead = len(share), max(0, take - 2)
+    last = take - ahead  # groups that are tried at once: one or two
+    total = comb(n, ahead)
+    rank, end = total * part // parts, total * (part + 1) // parts
+    low, high = {}, {}
+    for i in range(n + 1):  # of the groups from i on: the least and the largest sums of r of them
+        ordered = np.sort(share[i:], axis=0)
+        sums = np.vstack([np.zeros(share.shape[1]), np.cumsum(ordered, axis=0)])
+        for r in range(min(take, n - i) + 1):
+            low[i, r], high[i, r] = sums[r], sums[-1] - sums[-1 - r] if r else sums[0]
+
+    def bound(own, i: int, r: int) -> float:
+        a, b = own + low[i, r] - wanted, own + high[i, r] - wanted
+        return float(np.maximum(np.maximum(a, -b), 0).mean())
+
+    (best, groups), tried = known, 0
+    while rank < end:
+        chosen, left, i, own, skip = [], rank, 0, np.zeros(share.shape[1]), None
+        while len(chosen) < ahead:  # the rank's way, group by group
+            below = comb(n - i - 1, ahead - len(chosen) - 1)
+            if left < below:
+                chosen.append(i)
+                own = own + share[i]
+                if n - i - 1 < take - len(chosen) or bound(own, i + 1, take - len(chosen)) > best + 1e-9:
+                    skip = below - left  # all ways that begin so
+                    break
+            else:
+                left -= below
+            i += 1
+        if skip is not None:
+            rank += skip
+            continue
+        start = chosen[-1] + 1 if chosen else 0
+        a, b = np.triu_indices(n - start, 1) if last == 2 else (np.arange(n - start), None)
+        if len(a):
+            sums = own + share[start + a] + (share[start + b] if last == 2 else 0)
+            d = np.round(np.abs(sums - wanted).mean(axis=1), 9)
+            k = int(d.argmin())
+            if (d[k], (*chosen, start + a[k], *([start + b[k]] if last == 2 else []))) < (best, groups):
+                best, groups = float(d[k]), (*chosen, int(start + a[k]), *([int(start + b[k])] if last == 2 else []))
+            tried += len(a)
+        rank += 1
+        if tried > most and rank < end:
+            return best, groups, False
+    return best, groups, True
+
+
 def named(df: DataFrame, text: str, size: int = 11) -> DataFrame:
     return df.withColumn("catalog_id", catalog_id(text, size))

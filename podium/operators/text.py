@@ -24,6 +24,60 @@ def sentences(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.posexplode(sentence_array(text)).alias("sent_idx", "sentence"))
 
 
+# learned sentence boundaries
+
+#: Abbreviations that count without being learned.
+ABBREVIATIONS = ("e.g", "i.e", "etc", "vs", "cf", "dr", "mr", "mrs", "ms", "prof", "st", "fig", "no", "vol", "approx", "dept", "inc", "jr", "sr", "p", "pp", "bzw", "z.b", "d.h", "sra", "mme")
+#: The least score of a learned abbreviation, and how many are kept, the best first.
+ABBREVIATION_SCORE, MOST_ABBREVIATIONS = 0.3, 2000
+_TYPE = r"^[\"'(\[]*(.*?)\.?[\"')\],;:!?]*$"
+
+
+def abbreviations(df: DataFrame, text: str, least: float = ABBREVIATION_SCORE, most: int = MOST_ABBREVIATIONS) -> DataFrame:
+    """term, score: words that a full stop belongs to, learned from unmarked texts.
+
+    A word (lower case, without the stop) is one if stops follow it more than by chance: by the log-likelihood of its counts with and without a stop
+    against the rate of stops behind all words, scaled down for long words and for each time that it stands without a stop, up for stops inside. Words with
+    digits are none. Counts are partial sums by word; nothing else is shuffled.
+    """
+    word = F.explode(F.split(F.coalesce(as_column(text), F.lit("")), r"\s+")).alias("w")
+    rows = df.select(word).select(F.lower(F.regexp_extract("w", _TYPE, 1)).alias("term"), F.col("w").rlike(r"\.[\"')\],;:!?]*$").cast("long").alias("stop")).filter("term <> ''")
+    counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("stop").alias("k"))
+    total = counts.agg(F.sum("n").alias("_n"), F.sum("k").alias("_k"))  # one row
+    c = counts.crossJoin(F.broadcast(total)).filter(F.col("term").rlike(r"^[\p{L}.]+$") & F.col("term").rlike(r"\p{L}") & (F.col("k") > 0))
+    rate = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("_k") / F.col("_n")))
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+    chance = k * F.log(rate) + (n - k) * F.log(1 - rate)
+    belongs = k * F.log(F.lit(0.99)) + (n - k) * F.log(F.lit(0.01))
+    inside = F.length(F.regexp_replace("term", r"[^.]", ""))
+    letters = F.length("term") - inside
+    score = 2 * (belongs - chance) * F.exp(-letters.cast("double")) * (inside + 1) * F.pow(letters.cast("double"), -(n - k))
+    return c.select("term", F.round(score, 9).alias("score")).filter(F.col("score") >= least).orderBy(F.col("score").desc(), "term").limit(most)
+
+
+def bounded_sentences(text: Column | str, known: list[str] | tuple[str, ...] = ABBREVIATIONS) -> Column:
+    """The sentences of a text, trimmed, by native expressions: they end at . ! ? (and closing quotes or brackets) before white space, but not behind an abbreviation, an
+    initial or a number of a list, nor before a small letter. Stops inside words, numbers and addresses end nothing. A blank line always ends one."""
+    marked = F.regexp_replace(F.coalesce(as_column(text), F.lit("")), r"([.!?][\"')\]\u201d\u00bb]*)(?=\s)|(?=\n[ \t\r]*\n)", "$1\u0001")
+    last = lambda p: F.lower(F.regexp_extract(p, r"(\S+)$", 1))
+    bare = lambda p: F.regexp_extract(last(p), r"^[\"'(\[]*(.*?)\.$", 1)
+
+    def piece(p: Column, after: Column) -> Column:
+        goes_on = (last(p).endswith(".") & (bare(p).isin(*known) | bare(p).rlike(r"^\p{L}$"))) | after.rlike(r"^\s+[\"'(\[]*\p{Ll}") | p.rlike(r"(^|\n)\s*\d{1,3}\.$")
+        return F.concat(p, F.when(after.rlike(r"^\n[ \t\r]*\n") | ~F.coalesce(goes_on, F.lit(False)), F.lit("\u0002")).otherwise(F.lit("")))
+
+    # the pieces are bound to a variable, so that they are made once and not for each of them
+    joined = F.transform(F.array(F.split(marked, "\u0001")), lambda ps: F.array_join(F.zip_with(ps, F.slice(ps, 2, F.size(ps)), piece), ""))
+    whole = F.split(F.get(joined, F.lit(0)), "\u0002")
+    return F.filter(F.transform(whole, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
+def learned_sentences(df: DataFrame, text: str, keep: list[str], known: list[str] | None = None) -> DataFrame:
+    """keep, sent_idx, sentence, with the abbreviations that the texts themselves teach (a bounded list) beside the fixed ones; `known` takes their place."""
+    known = [r["term"] for r in abbreviations(df, text).collect()] if known is None else known
+    return df.select(*keep, F.posexplode(bounded_sentences(text, [*ABBREVIATIONS, *known])).alias("sent_idx", "sentence"))
+
+
 def token_array(text: Column | str) -> Column:
     """Lower-case tokens of letters, digits and underscores."""
     return F.filter(F.split(F.lower(F.coalesce(as_column(text), F.lit(""))), r"\W+"), lambda t: t != "")
