@@ -13,6 +13,7 @@ Equal fingerprints are one row with a count, so groups of copies are never paire
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,23 +117,46 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def _blocks(radius: int) -> list[list[int]]:
-    """The bits of each block: the fewest blocks, two at least, of which one differs in at most FLIPS bits."""
-    n = max(2, radius // (FLIPS + 1) + 1)
+def _long(x: int) -> str:
+    """As SQL writes it: the least one has no literal of its own."""
+    return f"{x}L" if x > -(1 << (BITS - 1)) else f"(-{(1 << (BITS - 1)) - 1}L - 1L)"
+
+
+def _cut(n: int) -> list[list[int]]:
+    """The bits of n blocks."""
     return [list(range(BITS * i // n, BITS * (i + 1) // n)) for i in range(n)]
 
 
-def _pairs(asked: DataFrame, there: DataFrame, radius: int) -> DataFrame:
-    """query, bits and the columns of there: each pair of a query and a fingerprint (column fp) within the radius once, where neither side repeats one."""
-    blocks = _blocks(radius)
+def _flipped(block: list[int], flips: int) -> int:
+    """How many keys a question asks for in a block's table."""
+    return sum(comb(len(block), k) for k in range(flips + 1))
+
+
+def cost(blocks: list[list[int]], radius: int, n: int) -> float:
+    """Keys and candidates of a question among n fingerprints, if their bits are as good as random."""
+    return sum(_flipped(b, radius // len(blocks)) * (1 + n / 2 ** len(b)) for b in blocks)
+
+
+def _blocks(radius: int, n: int) -> list[list[int]]:
+    """The bits of each block, one of which differs in at most radius // blocks bits: of at least two blocks, and at most so many that this is FLIPS, as
+    many as ask for least among n fingerprints. So keys grow longer with the number of fingerprints; the pairs found are the same."""
+    most = max(2, radius // (FLIPS + 1) + 1)
+    return min((_cut(m) for m in range(2, most + 1)), key=lambda blocks: cost(blocks, radius, n))
+
+
+def _pairs(asked: DataFrame, there: DataFrame, radius: int, n: int | None = None) -> DataFrame:
+    """query, bits and the columns of there: each pair of a query and a fingerprint (column fp) within the radius once, where neither side repeats one.
+    n: about how many fingerprints there are; else they are counted."""
+    blocks = _blocks(radius, there.count() if n is None else n)
     flips = radius // len(blocks)
     masks = [_signed(sum(1 << b for b in block)) for block in blocks]
-    place = lambda t, m, keep: F.struct(F.lit(t).alias("table"), F.lit(m).cast("long").alias("m"), F.lit(keep).cast("long").alias("keep"))
-    asks = [place(t, _signed(sum(1 << b for b in c)), masks[t]) for t, block in enumerate(blocks) for k in range(flips + 1) for c in combinations(block, k)]
-    stands = [place(t, 0, keep) for t, keep in enumerate(masks)]
+    place = lambda t, m, keep: f"named_struct('table', {t}, 'm', {_long(m)}, 'keep', {_long(keep)})"
+    listed = lambda places: F.expr(f"array({', '.join(places)})")  # noqa: E731  one constant, however long
+    asks = listed(place(t, _signed(sum(1 << b for b in c)), masks[t]) for t, block in enumerate(blocks) for k in range(flips + 1) for c in combinations(block, k))
+    stands = listed(place(t, 0, keep) for t, keep in enumerate(masks))
     key = lambda fp: F.col(fp).bitwiseXOR(F.col("_t.m")).bitwiseAND(F.col("_t.keep")).alias("_key")
-    a = asked.select("query", F.explode(F.array(*asks)).alias("_t")).select("query", F.col("_t.table").alias("_table"), key("query"))
-    b = there.select("*", F.explode(F.array(*stands)).alias("_t")).select(*there.columns, F.col("_t.table").alias("_table"), key("fp"))
+    a = asked.select("query", F.explode(asks).alias("_t")).select("query", F.col("_t.table").alias("_table"), key("query"))
+    b = there.select("*", F.explode(stands).alias("_t")).select(*there.columns, F.col("_t.table").alias("_table"), key("fp"))
     differ = F.col("query").bitwiseXOR(F.col("fp"))
     fine = F.bit_count(differ) <= radius
     for t, mask in enumerate(masks[:-1]):
@@ -157,7 +181,7 @@ def report(docs: DataFrame, radius: int = 3, every: int = 50) -> DataFrame:
     rows = materialise(edited(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "fingerprints")
     asked = rows.filter(F.col("doc_id") % every == 0)
     counts = rows.groupBy("fp").agg(F.count("*").alias("n"))
-    found = _pairs(asked.select(F.col("fp").alias("query")).distinct(), counts, radius).groupBy("query").agg((F.sum("n") - 1).alias("n_near"))
+    found = _pairs(asked.select(F.col("fp").alias("query")).distinct(), counts, radius, rows.count()).groupBy("query").agg((F.sum("n") - 1).alias("n_near"))
     out = rows.join(found.select(F.col("query").alias("fp"), "n_near"), "fp", "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", text_of(F.col("fp")).alias("fingerprint"), text_of(F.col("edited_fp")).alias("edited_fingerprint"),

@@ -1,9 +1,12 @@
-"""Notices that are wrapped, and the key of pseudonyms, which no plan shows."""
+"""Notices that are wrapped, and the key of pseudonyms, which no plan shows; fingerprints searched
+by keys of all lengths."""
+
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from podium.llm import licenses, pii
+from podium.llm import licenses, pii, simhash
 
 WRAPS = ["\n", "\r\n * ", "\n# ", "  ", "\n// ", "\t", " \n\n"]
 
@@ -39,3 +42,21 @@ def test_the_key_is_in_no_plan(spark):
     again = pii.pseudonymise(df.withColumn("_key", F.lit("own")), key)
     assert again.columns == ["doc_id", "text", "_key"] and again.first()["text"] == rows[0]["text"] and again.first()["_key"] == "own"
     assert any(word in pii.KEY_SETTING for word in ("secret", "password", "token"))
+
+
+@pytest.mark.parametrize(("radius", "n", "blocks"), [(11, 1000, 4), (11, 5_000_000, 3), (3, 10**9, 2), (5, 10**6, 2)])
+def test_keys_of_all_lengths_find_the_same(spark, radius, n, blocks):
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(30)] + [0, 1 << 63, (1 << 64) - 1]
+    signed = [x - (1 << 64) if x >> 63 else x for x in {*base, *(b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, 15))) for b in base for _ in range(4))}]
+    assert len(simhash._blocks(radius, n)) == blocks
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    found = simhash._pairs(df.select(F.col("fp").alias("query")), df, radius, n)
+    assert sorted((r["query"], r["fp"]) for r in found.collect()) == sorted((a, b) for a in signed for b in signed if bin((a ^ b) & (2**64 - 1)).count("1") <= radius)
+
+
+def test_questions_ask_for_less_as_keys_grow():
+    """At a thousand times the fingerprints a question costs a hundredth of what 16-bit keys would, and never more than with them."""
+    for power in range(4, 10):
+        chosen, fixed = (simhash.cost(b, 11, 10**power) for b in (simhash._blocks(11, 10**power), simhash._cut(4)))
+        assert chosen <= fixed and (power < 9 or chosen < fixed / 10)
