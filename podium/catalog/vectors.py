@@ -84,7 +84,9 @@ def mean_vector_similarity(spark, sf_dir):
 
 @_R.add("svm_match_threshold")
 def svm_match_threshold(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select((F.col("n_chars") / 1000).alias("v"), (F.col("n_chars") > 3000).cast("int").alias("y"))
+    """The share of small letters of a document's signs from which on its quality is labelled good."""
+    labelled = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").filter("quality IS NOT NULL"), "doc_id")
+    rows = labelled.filter("length(text) > 0").select((F.length(F.regexp_replace("text", "[^a-z]", "")) / F.length("text")).alias("v"), F.col("quality").alias("y"))
     return spark.createDataFrame([(round(vectors.svm_threshold(rows, "v", "y"), 4),)], "threshold double")
 
 

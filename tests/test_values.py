@@ -72,11 +72,59 @@ def test_near_pairs_recall(spark, sf_dir, embeddings):
     assert all(dist == pytest.approx(want[p], abs=1e-5) for p, dist in found.items())
 
 
-def test_learnt_numbers(spark, sf_dir):
+def hinge(x, y, w, b, reg):
+    return np.maximum(0, 1 - y * (w * x + b)).mean() + reg / 2 * w * w
+
+
+def narrowed(f, a, b, steps=80):
+    """Where a convex function is least, by thirds."""
+    for _ in range(steps):
+        c, d = a + (b - a) / 3, b - (b - a) / 3
+        a, b = (a, d) if f(c) < f(d) else (c, b)
+    return (a + b) / 2
+
+
+def test_svm_threshold_against_a_plain_solver(spark, sf_dir):
     ((threshold,),) = run(spark, sf_dir, "svm_match_threshold")
-    assert 1.5 < threshold < 6  # the classes part at 3
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").select("text", "quality").collect()
+    rows = [(len(re.findall("[a-z]", r["text"])) / len(r["text"]), 1 if r["quality"] else -1) for r in docs if r["text"] and r["quality"] is not None]
+    x, y = (np.array(c, float) for c in zip(*rows, strict=True))
+    z = x / x.std(ddof=1)  # the solver scales values, and its penalty is on the scaled weight
+    best = lambda w: narrowed(lambda b: hinge(z, y, w, b, 0.01), -60, 60)
+    w = narrowed(lambda w: hinge(z, y, w, best(w), 0.01), -40, 40, 50)
+    plain = -best(w) / w * x.std(ddof=1)
+    assert threshold == pytest.approx(plain, abs=0.02 * (x.max() - x.min()))
+    side = (x > threshold) if w > 0 else (x < threshold)
+    assert (side == (y > 0)).mean() > 0.93
+
+
+def test_cross_validation_against_a_plain_one(spark, sf_dir):
     accuracy = dict(run(spark, sf_dir, "classifier_cross_validation"))
-    assert set(accuracy) == {0.01, 0.1} and all(0 < a <= 1 for a in accuracy.values())
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    x, label = np.array([r["embedding"] for r in rows], float), np.array([r["label"] for r in rows])
+    x, fold = x / x.std(axis=0), np.random.default_rng(0).integers(0, 3, len(rows))
+    kinds = np.unique(label)
+    for reg, found in accuracy.items():
+        right = 0
+        for f in range(3):
+            a, own = x[fold != f], (label[fold != f][:, None] == kinds).astype(float)
+            w, bias = np.zeros((x.shape[1], len(kinds))), np.zeros(len(kinds))
+            for _ in range(1500):
+                e = np.exp(a @ w + bias - (a @ w + bias).max(axis=1, keepdims=True))
+                g = (e / e.sum(axis=1, keepdims=True) - own) / len(a)
+                w, bias = w - 0.3 * (a.T @ g + reg * w), bias - 0.3 * g.sum(axis=0)
+            right += (kinds[(x[fold == f] @ w + bias).argmax(axis=1)] == label[fold == f]).sum()
+        assert found == pytest.approx(right / len(rows), abs=0.06)
+
+
+def test_costs_are_near_the_best_of_plain_runs(spark, sf_dir, embeddings):
+    _, _, x = embeddings
+    for k, cost in run(spark, sf_dir, "cost_by_k"):
+        plain = []
+        for seed in range(6):
+            label = vectors.kmeans_labels(x, k, seed)
+            plain.append(sum(((x[label == c] - x[label == c].mean(axis=0)) ** 2).sum() for c in np.unique(label)))
+        assert 0.98 * min(plain) <= cost <= 1.05 * max(plain)
 
 
 @pytest.mark.parametrize("block", [7, 10_000])
