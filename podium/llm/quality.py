@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> np.ndarray:
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["at", "w"])
 
-    chosen = docs.join(F.broadcast(labelled(labels, most)), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
+    chosen = docs.join(F.broadcast(labelled(labels, most)), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of several texts of one id the same one always
     found = chosen.mapInArrow(pick, "doc_id long, label int, at binary, x binary").repartition(1).mapInArrow(fit, "at long, w double").toPandas()  # at most 2^BITS rows
     weights = np.zeros((1 << BITS) + 1)
     weights[found["at"].to_numpy(np.int64)] = found["w"].to_numpy(float)
