@@ -122,6 +122,10 @@ def _long(x: int) -> str:
     return f"{x}L" if x > -(1 << (BITS - 1)) else f"(-{(1 << (BITS - 1)) - 1}L - 1L)"
 
 
+#: Keys of a question, which stand in the plan as one constant.
+MOST_KEYS = 10_000
+
+
 def _cut(n: int) -> list[list[int]]:
     """The bits of n blocks."""
     return [list(range(BITS * i // n, BITS * (i + 1) // n)) for i in range(n)]
@@ -139,9 +143,12 @@ def cost(blocks: list[list[int]], radius: int, n: int) -> float:
 
 def _blocks(radius: int, n: int) -> list[list[int]]:
     """The bits of each block, one of which differs in at most radius // blocks bits: of at least two blocks, and at most so many that this is FLIPS, as
-    many as ask for least among n fingerprints. So keys grow longer with the number of fingerprints; the pairs found are the same."""
+    many as ask for least among n fingerprints, of those with MOST_KEYS keys at most. So keys grow longer with the number of fingerprints; the pairs
+    found are the same."""
     most = max(2, radius // (FLIPS + 1) + 1)
-    return min((_cut(m) for m in range(2, most + 1)), key=lambda blocks: cost(blocks, radius, n))
+    ways = [_cut(m) for m in range(2, most + 1)]
+    few = [x for x in ways if sum(_flipped(b, radius // len(x)) for b in x) <= MOST_KEYS] or ways[-1:]
+    return min(few, key=lambda blocks: cost(blocks, radius, n))
 
 
 def _pairs(asked: DataFrame, there: DataFrame, radius: int, n: int | None = None) -> DataFrame:
