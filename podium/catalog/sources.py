@@ -134,7 +134,7 @@ def clock_seconds(spark, sf_dir):
 @_R.add("frame_numbers", "SELECT p_partkey, p_partkey::INT AS frame, CASE WHEN p_size % 2 = 0 THEN p_partkey::INT END AS figure FROM part")
 def frame_numbers(spark, sf_dir):
     k = F.col("p_partkey").cast("string")
-    path = F.concat(F.lit("/data/set_7/img_"), F.lpad(k, 6, "0"), F.lit(".jpg"))
+    path = F.concat(F.lit("/data/set_7/img_"), F.format_string("%06d", F.col("p_partkey").cast("long")), F.lit(".jpg"))
     figure = F.concat(F.lit("/data/set_7/"), F.when(F.col("p_size") % 2 == 0, F.concat(k, F.lit("_figure_3.png"))).otherwise(F.lit("plain.png")))
     return table(spark, sf_dir, "part").select("p_partkey", S.frame_number(path).alias("frame"), S.figure_frame(figure).alias("figure"))
 
