@@ -17,6 +17,12 @@ def _drawn(spark, sf_dir, height: int, width: int, **pixels):
     return rows.select("*", *(F.expr(at(e)).alias(name) for name, e in pixels.items()))
 
 
+def vector_pixels(vector: str):
+    """A column: the components of a vector of floats as grey values, in single precision as in SQL."""
+    real = lambda x: F.lit(float(x)).cast("float")
+    return F.transform(vector, lambda x: F.least(F.lit(255), F.greatest(F.lit(0), (real(128) + x.cast("float") * real(400)).cast("int"))))
+
+
 _BORDER = "SELECT vec_id, vec_id % 4 AS t, vec_id // 4 % 4 AS b, vec_id // 16 % 4 AS l, vec_id // 64 % 4 AS r FROM embeddings"
 
 
@@ -89,8 +95,7 @@ bool_and(p < 5) FILTER (i < 8) OR bool_and(p < 5) FILTER (i >= 56) OR bool_and(p
 FROM p JOIN m USING (vec_id) JOIN e USING (vec_id) GROUP BY vec_id""")
 def image_predicates(spark, sf_dir):
     """Average hash, one colour, black edge and entropy of small images drawn from the vectors."""
-    pixels = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), (F.lit(128) + x * 400).cast("int"))))
-    drawn = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), pixels.alias("pixels"))
+    drawn = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), vector_pixels("embedding").alias("pixels"))
     work = lambda a: (images.average_hash(a), images.is_solid(a), images.has_black_border(a), round(images.entropy(a), 6))
     return images.applied(drawn, "vec_id", work, "average string, solid boolean, border boolean, entropy double")
 
