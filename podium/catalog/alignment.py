@@ -11,8 +11,8 @@ _R = Registry()
 
 
 def _clock(spark, sf_dir):
-    """Words (all events but sign-ups; purchases end sentences) and slides (sign-ups) of each user, in whole seconds."""
-    events = table(spark, sf_dir, "events").withColumn("t", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    """Words (all events but sign-ups; purchases end sentences) and slides (sign-ups) of each user, in the nearest whole seconds."""
+    events = table(spark, sf_dir, "events").withColumn("t", F.rint(F.col("ts").cast("timestamp").cast("double")).cast("long"))
     words = events.filter("event_type <> 'signup'").select("user_id", F.col("event_id").alias("pos"), F.col("t").cast("double").alias("start"), "event_type")
     slides = events.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("slide"), "t")
     return slides, words
