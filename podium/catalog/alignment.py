@@ -46,7 +46,7 @@ UNION ALL SELECT l.user_id, last + 1, 'conclusion', coalesce(transcript, '') FRO
 def structured_alignment_text(spark, sf_dir):
     slides, words = _clock(spark, sf_dir)
     words = words.withColumn("word", F.concat(F.col("pos").cast("string"), F.when(F.col("event_type") == "purchase", ".").otherwise("")))
-    return align.align(slides.select("user_id", F.col("t").alias("frame_number")), words, ["user_id"], first_slide=False).select("user_id", "ord", "kind", "transcript")
+    return align.align(slides, words, ["user_id"], "slide", first_slide=False, time="t").select("user_id", "ord", "kind", "transcript")
 
 
 _LINES = "SELECT conv_id, turn + (turn >= 3)::INT AS line_num, (turn % 4 = 0)::INT AS category, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS text FROM conversations"

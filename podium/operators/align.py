@@ -26,21 +26,21 @@ def timed(words: DataFrame, by: list[str], pos: str, start: str, end: Column) ->
     return rows.withColumn("sentence", F.coalesce(F.sum(F.col("is_end").cast("long")).over(before), F.lit(0)))
 
 
-def boundaries(slides: DataFrame, words: DataFrame, by: list[str], order: str, time: str) -> DataFrame:
-    """slides with idx (from 1), reach (the number of the sentence end where the slide ends) and n_ends (sentence ends of the part).
+def boundaries(slides: DataFrame, words: DataFrame, by: list[str], order: str, time: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """by, order and keep of the slides with idx (from 1), reach (the number of the sentence end where the slide ends) and n_ends (sentence ends of the part).
 
-    words: what timed() gives. Times don't go back. Instead of pairing slides with sentence ends, both are put on one line in time,
+    words: what timed() gives. Instead of pairing slides with sentence ends, both are put on one line in time,
     and each slide counts the ends before it.
     """
     ends = words.filter("is_end").select(*by, F.col("current_time").alias("_time"), F.lit(None).cast("long").alias("_order"), F.lit(1).alias("_kind"))
-    marks = slides.select(*by, F.col(time).cast("double").alias("_time"), F.col(order).cast("long").alias("_order"), F.lit(0).alias("_kind"))
+    marks = slides.select(*by, F.col(time).cast("double").alias("_time"), F.col(order).cast("long").alias("_order"), F.lit(0).alias("_kind"), *keep)
     line = Window.partitionBy(*by).orderBy("_time", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
-    both = ends.unionByName(marks).withColumn("_before", F.sum("_kind").over(line)).withColumn("n_ends", F.sum("_kind").over(whole)).filter("_kind = 0")
+    both = ends.unionByName(marks, allowMissingColumns=True).withColumn("_before", F.sum("_kind").over(line)).withColumn("n_ends", F.sum("_kind").over(whole)).filter("_kind = 0")
     idx = F.row_number().over(Window.partitionBy(*by).orderBy("_order"))
     both = both.withColumn("idx", idx.cast("long")).withColumn("_b", F.col("_before") + 1)
     upto = Window.partitionBy(*by).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("reach", F.col("idx") + F.max(F.col("_b") - F.col("idx")).over(upto)).select(*by, F.col("_order").alias(order), "idx", "reach", "n_ends")
+    return both.withColumn("reach", F.col("idx") + F.max(F.col("_b") - F.col("idx")).over(upto)).select(*by, F.col("_order").alias(order), *keep, "idx", "reach", "n_ends")
 
 
 def slide_of_words(words: DataFrame, bounds: DataFrame, by: list[str], pos: str) -> DataFrame:
@@ -64,21 +64,23 @@ def joined(words: DataFrame, by: list[str], pos: str, word: str, name: str = "tr
     return spaced.groupBy(*by, "idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(pos, "_w"))), lambda x: x["_w"]), "").alias(name))
 
 
-def align(slides: DataFrame, words: DataFrame, by: list[str], order: str = "frame_number", pos: str = "pos", start: str = "start", word: str = "word", every: float = 1.0, first_slide: bool = True) -> DataFrame:
+def align(slides: DataFrame, words: DataFrame, by: list[str], order: str = "frame_number", pos: str = "pos", start: str = "start", word: str = "word", every: float = 1.0, first_slide: bool = True, time: str | None = None) -> DataFrame:
     """by, ord, frame_number, kind (preface, slide or conclusion), transcript of each part.
 
+    Slides stand by `order`; each frame is `every` long, or `time` names the column of the slides' times. Slides of one number are one after the other.
+
     A preface stands first where the first slide's frame isn't 0; a slide without words has an empty transcript; a conclusion (maybe
     empty) stands last unless the words ran out before.
     """
     rows = timed(words, by, pos, start, is_terminator(word))
-    marks = slides.select(*by, F.col(order).cast("long").alias("frame_number"), F.lit("slide").alias("kind"), F.lit(1).alias("_second"))
+    at = F.col(time).cast("double") if time else F.col(order).cast("long") * F.lit(float(every))
+    marks = slides.select(*by, F.col(order).cast("long").alias("frame_number"), at.alias("_time"), F.lit("slide").alias("kind"), F.lit(1).alias("_second"))
     if first_slide:
-        ahead = marks.groupBy(*by).agg(F.min("frame_number").alias("frame_number")).filter("frame_number <> 0")
-        marks = marks.unionByName(ahead.select(*by, "frame_number", F.lit("preface").alias("kind"), F.lit(0).alias("_second")))
-    marks = marks.withColumn("_key", F.col("frame_number") * 2 + F.col("_second")).withColumn("_time", F.col("frame_number") * F.lit(float(every)))
-    bounds = boundaries(marks, rows, by, "_key", "_time")
-    text = joined(slide_of_words(rows, bounds, by, pos), by, pos, word)
-    found = marks.join(bounds, [*by, "_key"]).select(*by, "idx", "frame_number", "kind", "reach", "n_ends")
+        ahead = marks.groupBy(*by).agg(F.min("frame_number").alias("frame_number"), F.min_by("_time", "frame_number").alias("_time")).filter("frame_number <> 0")
+        marks = marks.unionByName(ahead.select(*by, "frame_number", "_time", F.lit("preface").alias("kind"), F.lit(0).alias("_second")))
+    marks = marks.withColumn("_key", F.col("frame_number") * 2 + F.col("_second"))
+    found = boundaries(marks, rows, by, "_key", "_time", ("frame_number", "kind"))
+    text = joined(slide_of_words(rows, found, by, pos), by, pos, word)
     full = rows.groupBy(*by).agg(F.count("*").alias("_words"))
     ends = found.groupBy(*by).agg(F.max("idx").alias("_last"), F.max("reach").alias("_reach"), F.max("n_ends").alias("_ends"))
     # words ran out where the last slide's sentence end doesn't exist
