@@ -22,6 +22,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 SPLIT = 4 << 20
+#: Bytes of the ranges that one task reads, those that opening a file counts for, and the number of ranges from which on they share tasks.
+TASK, OPEN, LEAST = 4 << 20, 16 << 10, 500
 #: Bytes of a batch of frames.
 BATCH = 1 << 20
 WHITE = b" \t\r\n"
@@ -51,11 +53,13 @@ def files_of(folder: str, suffixes: tuple[str, ...]) -> list[Found]:
     return sorted(out, key=lambda f: (f.time, f.path))
 
 
-class Range(InputPartition):
+@dataclass
+class Range:
     """The n-th of `of` parts of a file."""
 
-    def __init__(self, file: Found, n: int, of: int):
-        self.file, self.n, self.of = file, n, of
+    file: Found
+    n: int
+    of: int
 
 
 def ranges(files: Iterable[Found], split: int) -> list[Range]:
@@ -66,6 +70,27 @@ def ranges(files: Iterable[Found], split: int) -> list[Range]:
     return out
 
 
+class Task(InputPartition):
+    """Ranges that one task reads one after the other: many small files or ranges are few tasks."""
+
+    def __init__(self, parts: list[Range]):
+        self.parts = parts
+
+
+def tasks(parts: list[Range]) -> list[Task]:
+    """The ranges in their order: a task each, or beyond LEAST of them tasks of about equal cost, at most TASK."""
+    costs = [OPEN + p.file.size // p.of for p in parts]
+    most = min(TASK, sum(costs) / LEAST) if len(parts) > LEAST else 0
+    out, size = [], 0
+    for p, cost in zip(parts, costs, strict=True):
+        if not out or size + cost > most:
+            out.append(Task([]))
+            size = 0
+        out[-1].parts.append(p)
+        size += cost
+    return out
+
+
 class FolderSource(DataSource):
     """Files of some suffixes. Kinds of them say how a range is read."""
 
@@ -92,11 +117,12 @@ class FolderReader(DataSourceReader):
     def __init__(self, source: FolderSource):
         self.source = source
 
-    def partitions(self) -> list[Range]:
-        return ranges(self.source.files(), self.source.split())
+    def partitions(self) -> list[Task]:
+        return tasks(ranges(self.source.files(), self.source.split()))
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        yield from self.source.rows(partition) if partition else ()
+    def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts if partition else ():
+            yield from self.source.rows(part)
 
 
 class FolderStream(DataSourceStreamReader):
@@ -110,12 +136,13 @@ class FolderStream(DataSourceStreamReader):
         files = self.source.files()
         return {"time": files[-1].time, "path": files[-1].path} if files else self.initialOffset()
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Task]:
         after, upto = (start["time"], start["path"]), (end["time"], end["path"])
-        return ranges((f for f in self.source.files() if after < (f.time, f.path) <= upto), self.source.split())
+        return tasks(ranges((f for f in self.source.files() if after < (f.time, f.path) <= upto), self.source.split()))
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        yield from self.source.rows(partition)
+    def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from self.source.rows(part)
 
     def commit(self, end: dict) -> None:
         pass
