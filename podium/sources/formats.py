@@ -13,6 +13,7 @@ import re
 import uuid
 import wave
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 SPLIT = 4 << 20
 #: Bytes of the ranges that one task reads, those that opening a file counts for, and the number of ranges from which on they share tasks.
 TASK, OPEN, LEAST = 4 << 20, 16 << 10, 500
+#: Files that are moved at once.
+MOVES = 16
 #: Bytes of a batch of frames.
 BATCH = 1 << 20
 WHITE = b" \t\r\n"
@@ -277,8 +280,9 @@ class FilesWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         system, root = fs.FileSystem.from_uri(self.folder)
         for message in filter(None, messages):
-            for x in system.get_file_info(fs.FileSelector(message.folder)):
-                system.move(x.path, f"{root}/{x.base_name}")
+            found = system.get_file_info(fs.FileSelector(message.folder))
+            with ThreadPoolExecutor(MOVES) as pool:  # names of one task differ
+                list(pool.map(lambda x: system.move(x.path, f"{root}/{x.base_name}"), found))
         self._clean(system, root)
 
     def abort(self, messages: list[Written | None]) -> None:
