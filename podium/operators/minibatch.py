@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.operators.vectors import kmeans_labels
+from podium.operators.vectors import first_nearest, kmeans_labels
 from podium.session import new_folder
 
 #: Rows of the first batch, a bounded sample by a hash, on which the first centers are fitted; rows of a local batch.
@@ -37,31 +37,37 @@ class Sparse:
         return Sparse(own, self.at[at], self.x[at], len(rows), self.width)
 
     def full(self) -> np.ndarray:
-        out = np.zeros((self.n, self.width))
-        np.add.at(out, (self.row, self.at), self.x)
-        return out
+        return np.bincount(self.row * self.width + self.at, self.x, self.n * self.width).reshape(self.n, self.width)
+
+    def packed(self) -> tuple[Sparse, np.ndarray]:
+        """The rows on only those places that they have, and the places: others are 0 in all rows and in all means of rows."""
+        places, at = np.unique(self.at, return_inverse=True)
+        return Sparse(self.row, at, self.x, self.n, max(1, len(places))), places
 
     def nearest(self, centers: np.ndarray) -> np.ndarray:
-        """The nearest center of each row, by 2 x c - c c."""
-        score = np.zeros((self.n, len(centers)))
+        """The nearest center of each row, the first of equally near ones, by c c - 2 x c."""
+        far, size = np.zeros((self.n, len(centers))), (centers**2).sum(axis=1)
         for k, c in enumerate(centers):
-            score[:, k] = 2 * np.bincount(self.row, self.x * c[self.at], self.n) - (c**2).sum()
-        return score.argmax(axis=1)
+            far[:, k] = size[k] - 2 * np.bincount(self.row, self.x * c[self.at], self.n)
+        return first_nearest(far, np.bincount(self.row, self.x**2, self.n)[:, None] + size)
 
     def sums(self, label: np.ndarray, k: int) -> np.ndarray:
-        out = np.zeros((k, self.width))
-        np.add.at(out, (label[self.row], self.at), self.x)
-        return out
+        return np.bincount(label[self.row] * self.width + self.at, self.x, k * self.width).reshape(k, self.width)
 
 
 def labels(rows: Sparse, k: int, seed: int = 0, batch: int = BATCH) -> np.ndarray:
-    """Clusters of one part's sparse rows: first centers from the first batch, one pass over dealt batches, then each row's nearest center."""
+    """Clusters of one part's sparse rows: first centers from the first batch, one pass over dealt batches, then each row's nearest center.
+
+    Matrices have the places that the rows have (the first batch's own for its fit), so their size goes with the text and not with the width of the hash."""
+    rows, _ = rows.packed()
     order = np.random.default_rng(seed).permutation(rows.n)
     first = rows.taken(order[:batch])
-    dense = first.full()
+    own, places = first.packed()
+    dense = own.full()
     label = kmeans_labels(dense, min(k, first.n), seed)
     n = np.bincount(label)
-    centers = np.stack([dense[label == c].mean(axis=0) if n[c] else dense[0] for c in range(len(n))])
+    centers = np.zeros((len(n), rows.width))
+    centers[:, places] = np.stack([dense[label == c].mean(axis=0) if n[c] else dense[0] for c in range(len(n))])[:, : len(places)]
     had = n.astype(float)
     for at in range(batch, rows.n, batch):
         part = rows.taken(order[at : at + batch])
