@@ -1,7 +1,7 @@
 """Kernels whose memory and time once went with a width or a batch, and not with a row."""
 
 import numpy as np
-from pyspark.sql import functions as F
+import pytest
 
 from podium.operators import minibatch, vectors
 
@@ -17,3 +17,47 @@ def test_clusters_of_rows_with_a_huge_width():
 def test_equally_near_centers_are_not_told_apart_by_rounding():
     d = np.array([[1 + 2e-16, 1.0, 2.0], [3.0, 1.0, 1 - 2e-16]])
     assert vectors.first_nearest(d, np.ones((2, 3))).tolist() == [0, 1]
+
+
+def dense_affinity(x, preference, damping=0.72, steady=15):
+    """All n x n messages."""
+    n, size = len(x), (x**2).sum(axis=1)
+    s = np.minimum(2 * x @ x.T - size[:, None] - size[None, :], 0)
+    np.fill_diagonal(s, preference)
+    s = s + 1e-12 * np.random.default_rng(0).standard_normal((n, n)) * np.abs(s)
+    r, a, rows, same, was = np.zeros((n, n)), np.zeros((n, n)), np.arange(n), 0, None
+    for _ in range(1000):
+        t = a + s
+        best = t.argmax(axis=1)
+        top = t[rows, best]
+        t[rows, best] = -np.inf
+        new = s - top[:, None]
+        new[rows, best] = s[rows, best] - t.max(axis=1)
+        r = damping * r + (1 - damping) * new
+        p = np.where(np.eye(n, dtype=bool), r, np.maximum(r, 0))
+        sums = p.sum(axis=0)
+        a = damping * a + (1 - damping) * np.where(np.eye(n, dtype=bool), sums - p, np.minimum(sums - p, 0))
+        chosen = np.flatnonzero(np.diag(a) + np.diag(r) > 0)
+        same = same + 1 if was is not None and np.array_equal(chosen, was) else 0
+        was = chosen
+        if same >= steady and len(chosen):
+            break
+    label = was[s[:, was].argmax(axis=1)]
+    label[was] = was
+    return label
+
+
+@pytest.mark.parametrize(("n", "d", "preference", "next_"), [(300, 2, -1, 32), (300, 2, -1, 1), (400, 3, -0.05, 2), (200, 1, -100, 32), (600, 6, -0.5, 1)])
+def test_affinity_of_links_is_that_of_all_messages(monkeypatch, n, d, preference, next_):
+    monkeypatch.setattr(vectors, "AFFINITY_NEXT", next_)
+    x = np.random.default_rng(n).normal(size=(n, d))
+    x[n // 2 :] = x[: n - n // 2]
+    assert vectors.affinity_labels(x, preference).tolist() == dense_affinity(x, preference).tolist()
+
+
+def test_affinity_of_more_than_3000_rows(spark):
+    rows = spark.range(3200).selectExpr("1 AS label", "id", "array(cast(id div 2 * 10 AS double), 0.0D) AS v")
+    out = vectors.affinity(rows, "label", "v", "id", preference=-1.0)
+    assert (out.count(), out.select("cluster_id").distinct().count()) == (3200, 1600)
+    with pytest.raises(ValueError, match="links in one part"):
+        vectors.affinity_labels(np.zeros((40, 2)), -1.0, most=100)
