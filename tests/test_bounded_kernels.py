@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from podium.operators import minibatch, vectors
+from podium.operators import minibatch, neighbours, vectors
 
 
 def test_clusters_of_rows_with_a_huge_width():
@@ -61,3 +61,17 @@ def test_affinity_of_more_than_3000_rows(spark):
     assert (out.count(), out.select("cluster_id").distinct().count()) == (3200, 1600)
     with pytest.raises(ValueError, match="links in one part"):
         vectors.affinity_labels(np.zeros((40, 2)), -1.0, most=100)
+
+
+def test_queries_and_cells_are_not_broadcast(spark, monkeypatch):
+    plans, written = [], neighbours.written
+
+    def kept(df, name):
+        if name == "nearest":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(neighbours, "written", kept)
+    rows = spark.range(300).selectExpr("id", "array(cast(id % 17 AS double), cast(id % 5 AS double)) AS v")
+    assert neighbours.nearest(rows.filter("id % 10 = 0"), rows, "id", "id", "v", 2, True).count() == 60
+    assert len(plans) == 2 and not any("BroadcastHashJoin [cell" in p for p in plans)
