@@ -44,9 +44,10 @@ def alignment_counts(truth: Column, said: Column) -> Column:
 
 
 def word_errors_kernel(pairs: DataFrame, key: str, truth: str, said: str) -> DataFrame:
-    """key, hits, subs, dels, ins, by a NumPy table in pandas batches: the same choice among equal costs as alignment_counts."""
+    """key, hits, subs, dels, ins, by a NumPy table of one pair at a time: the same choice among equal costs as alignment_counts."""
     import numpy as np
-    import pandas as pd
+
+    from podium.operators.rowwise import by_row
 
     def count(a: list[str], b: list[str]) -> tuple[int, int, int, int]:
         n, m = len(a), len(b)
@@ -70,13 +71,8 @@ def word_errors_kernel(pairs: DataFrame, key: str, truth: str, said: str) -> Dat
         subs = n - hits - dels
         return hits, subs, dels, errors - subs - dels
 
-    def run(parts):
-        for part in parts:
-            found = [count(list(a), list(b)) for a, b in zip(part["a"], part["b"], strict=True)]
-            yield pd.DataFrame({key: part[key], **{k: [f[i] for f in found] for i, k in enumerate(("hits", "subs", "dels", "ins"))}})
-
     rows = pairs.select(key, normal_tokens(truth).alias("a"), normal_tokens(said).alias("b"))
-    return rows.mapInPandas(run, f"`{key}` {dict(pairs.dtypes)[key]}, hits long, subs long, dels long, ins long")
+    return by_row(rows, [key], lambda a, b: [count(a, b)], dict.fromkeys(("hits", "subs", "dels", "ins"), "long"))
 
 
 def error_rates(counts: DataFrame) -> DataFrame:
