@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from podium.operators import minibatch, neighbours, vectors
+from podium.operators import minibatch, neighbours, summarise, vectors
 
 
 def test_clusters_of_rows_with_a_huge_width():
@@ -75,3 +76,29 @@ def test_queries_and_cells_are_not_broadcast(spark, monkeypatch):
     rows = spark.range(300).selectExpr("id", "array(cast(id % 17 AS double), cast(id % 5 AS double)) AS v")
     assert neighbours.nearest(rows.filter("id % 10 = 0"), rows, "id", "id", "v", 2, True).count() == 60
     assert len(plans) == 2 and not any("BroadcastHashJoin [cell" in p for p in plans)
+
+
+def test_summaries_of_many_texts_leave_the_task_as_they_come(spark, monkeypatch):
+    """3000 texts of 400 sentences in one batch: what the worker holds does not grow by them."""
+
+    def resident(docs):
+        with open("/proc/self/statm") as f:
+            return np.full(len(docs), int(f.read().split()[1]) * 4096 / 2**20)
+
+    monkeypatch.setitem(summarise.METHODS, "luhn", resident)
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('ab. ', 400) AS t")
+    summarise.extractive(rows.limit(9), "t", "id", "luhn", 1.0).collect()  # workers import what they need
+    low, high = summarise.extractive(rows, "t", "id", "luhn", 1.0).agg(F.min("rating"), F.max("rating")).first()
+    assert high - low < 40
+
+
+def test_keyword_pairs_are_those_of_a_walk():
+    word = np.random.default_rng(5).integers(0, 9, 200)
+    for window in (1, 2, 5, 300):
+        links = {}
+        for k, x in enumerate(word.tolist()):
+            for y in word[k + 1 : k + 1 + window].tolist():
+                if x != y:
+                    links[min(x, y), max(x, y)] = links.get((min(x, y), max(x, y)), 0) + 1
+        a, b, w = summarise._neighbours(word, 9, window)
+        assert list(zip(a.tolist(), b.tolist(), w.tolist(), strict=True)) == [(*k, v) for k, v in links.items()]
