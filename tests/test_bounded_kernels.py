@@ -1,10 +1,12 @@
 """Kernels whose memory and time once went with a width or a batch, and not with a row."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from podium.operators import minibatch, neighbours, summarise, vectors
+from podium.operators import minibatch, neighbours, summarise, text, vectors
 
 
 def test_clusters_of_rows_with_a_huge_width():
@@ -102,3 +104,11 @@ def test_keyword_pairs_are_those_of_a_walk():
                     links[min(x, y), max(x, y)] = links.get((min(x, y), max(x, y)), 0) + 1
         a, b, w = summarise._neighbours(word, 9, window)
         assert list(zip(a.tolist(), b.tolist(), w.tolist(), strict=True)) == [(*k, v) for k, v in links.items()]
+
+
+def test_the_last_word_of_a_long_unbroken_text_takes_linear_time(spark):
+    rows = spark.range(2).selectExpr("id", "concat('A b. ', repeat('x', if(id = 0, 3, 400000)), '. C d.') AS t")
+    text.learned_sentences(rows.filter("id = 0"), "t", ["id"], []).collect()
+    began = time.perf_counter()
+    got = text.learned_sentences(rows.filter("id = 1"), "t", ["id"], []).selectExpr("length(sentence)").collect()
+    assert [r[0] for r in got] == [4 + 1 + 400_001, 4] and time.perf_counter() - began < 10
