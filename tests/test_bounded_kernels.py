@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from podium.operators import minibatch, neighbours, summarise, text, vectors
+from podium.operators import images, minibatch, neighbours, summarise, text, vectors
 
 
 def test_clusters_of_rows_with_a_huge_width():
@@ -112,3 +112,14 @@ def test_the_last_word_of_a_long_unbroken_text_takes_linear_time(spark):
     began = time.perf_counter()
     got = text.learned_sentences(rows.filter("id = 1"), "t", ["id"], []).selectExpr("length(sentence)").collect()
     assert [r[0] for r in got] == [4 + 1 + 400_001, 4] and time.perf_counter() - began < 10
+
+
+def test_rows_mixed_once_give_the_four_neighbours_mean():
+    a = np.random.default_rng(2).integers(0, 256, (30, 40)).astype(np.uint8)
+    y, x = (np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1) for m, n in ((45, 30), (60, 40)))
+    i, j = np.floor(y).astype(int), np.floor(x).astype(int)
+    fy, fx, p, q = (y - i)[:, None], x - j, np.minimum(i + 1, 29), np.minimum(j + 1, 39)
+    four = [a[np.ix_(r, c)].astype(float) for r in (i, p) for c in (j, q)]
+    assert np.array_equal(images.to_height(a, 45), (four[0] * (1 - fx) + four[1] * fx) * (1 - fy) + (four[2] * (1 - fx) + four[3] * fx) * fy)
+    three = images.model_input(np.repeat(a[:, :, None], 3, axis=2))
+    assert np.array_equal(images.model_input(a), three) and images.model_input(a).flags["C_CONTIGUOUS"]
