@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from podium.catalog.registry import Registry, table
@@ -11,9 +13,9 @@ _R = Registry()
 
 
 def _drawn(spark, sf_dir, height: int, width: int, **pixels):
-    """vec_id, height, width and a column of pixels for each expression of k (vec_id), y and x."""
+    """vec_id, height, width and a column of pixels for each expression of k (vec_id), y (a long) and x. Rows are drawn within the image, so that no pixel divides for its place."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(height).alias("height"), F.lit(width).alias("width"))
-    at = lambda e: f"transform(sequence(0, {height * width - 1}), i -> cast({e.replace('k', 'vec_id').replace('y', f'(i div {width})').replace('x', f'(i % {width})')} as int))"
+    at = lambda e: f"flatten(transform(sequence(0L, {height - 1}L), y -> transform(sequence(0, {width - 1}), x -> cast({re.sub(r'\bk\b', 'vec_id', e)} as int))))"
     return rows.select("*", *(F.expr(at(e)).alias(name) for name, e in pixels.items()))
 
 
