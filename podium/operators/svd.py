@@ -2,7 +2,8 @@
 
 Rows lie in blocks (compressed sparse rows of bounded size). A pass multiplies each block by a matrix of one column block, which has a row for each feature: of fixed size, whatever
 the number of rows, and sent to all tasks; the first one is random and made by the tasks from a seed. Products are never kept: each pass makes them again.
-Their triangular factors meet by a tree of QR decompositions, first in a task, then some of them at a time. Only triangular factors, (k + spare) squared, reach the driver.
+An iteration is one pass: products with the rows and their transpose together, made orthonormal on the features' side. Blocks that are not too sparse are multiplied as dense slices
+of bounded size, others entry by entry. In the end triangular factors meet by a tree of QR decompositions, first in a task, then some of them at a time. Only triangular factors, (k + spare) squared, reach the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from podium.session import written
 
 #: Columns beyond the wanted ones, subspace iterations, entries of a block, and factors that meet in a task of the tree.
 SPARE, ITERATIONS, ENTRIES, FAN = 30, 7, 50_000, 32
+#: Rows and cells of a dense slice, and how many cells may lie there for each entry.
+SLICE, CELLS, THIN = 256, 2_560_000, 150
 
 
 @cache
@@ -63,6 +66,43 @@ def _whitening(r: np.ndarray) -> np.ndarray:
     return vt.T * np.where(keep, 1 / np.where(keep, s, 1), 0)
 
 
+class _Block:
+    """Rows of a block: row, at, x of their entries, and products with them."""
+
+    def __init__(self, ends: np.ndarray, at: np.ndarray, x: np.ndarray, buffer: np.ndarray):
+        self.n, self.at, self.x, self.buffer = len(ends), at, x, buffer
+        self.bounds = np.append(0, ends)
+        self.row = np.repeat(np.arange(self.n), np.diff(self.bounds))
+        self.dense = len(at) * THIN > self.n * buffer.shape[1]
+
+    def slices(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """Places of some rows, and these rows in the buffer, which is empty before and after."""
+        size, width = self.buffer.shape
+        for a in range(0, self.n, size):
+            b = min(a + size, self.n)
+            part = slice(self.bounds[a], self.bounds[b])
+            cells = (self.row[part] - a) * width + self.at[part]
+            self.buffer.reshape(-1)[cells] = self.x[part]
+            yield slice(a, b), self.buffer[: b - a]
+            self.buffer.reshape(-1)[cells] = 0
+
+    def times(self, m: np.ndarray) -> np.ndarray:
+        if self.dense:
+            return np.concatenate([d @ m for _, d in self.slices()])
+        return np.add.reduceat(m[self.at] * self.x[:, None], self.bounds[:-1], axis=0)
+
+    def add_turned(self, z: np.ndarray, m: np.ndarray, left: np.ndarray | None) -> None:
+        """Adds the rows' transpose times their product with m (and left) to z."""
+        m = m if left is None else m @ left
+        if self.dense:
+            for _, d in self.slices():
+                z += d.T @ (d @ m)
+        else:
+            order = np.argsort(self.at, kind="stable")
+            places, first = np.unique(self.at[order], return_index=True)
+            z[places] += np.add.reduceat(self.times(m)[self.row[order]] * self.x[order][:, None], first, axis=0)
+
+
 class Decomposition:
     def __init__(self, entries: DataFrame, key: str, width: int, k: int, seed: int = 0):
         self.key, self.kind, self.width, self.seed = key, dict(entries.dtypes)[key], width, seed
@@ -72,21 +112,20 @@ class Decomposition:
         self.right: DataFrame | None = None  # a row: the matrix of the next pass; None: the random one
 
     def _pass(self, work: Callable, schema: str) -> DataFrame:
-        """work(blocks' keys, product with the matrix, block as (row, at, x)) of each block, in tasks."""
+        """work(blocks' keys, block, matrix) of each block, in tasks."""
         width, columns, seed = self.width, self.columns, self.seed
         first = self.right is None
         rows = self.blocks if first else self.blocks.crossJoin(F.broadcast(self.right))
 
         def products(batches: Iterator[pa.RecordBatch]):
             m = _random(seed, width, columns) if first else None
+            buffer = np.zeros((max(1, min(SLICE, CELLS // width)), width))
             for batch in batches:
                 for i in range(batch.num_rows):
                     read = lambda c: np.frombuffer(batch.column(c)[i].as_buffer())  # noqa: B023, E731
                     m = read("m").reshape(width, columns) if m is None else m  # one matrix in all rows
                     ends, at, x = read("ends").astype(int), read("at").astype(int), read("x")
-                    starts = np.append(0, ends[:-1])
-                    y = np.add.reduceat(m[at] * x[:, None], starts, axis=0)
-                    yield batch.column("keys")[i].values, y, (np.repeat(np.arange(len(ends)), ends - starts), at, x)
+                    yield batch.column("keys")[i].values, _Block(ends, at, x, buffer), m
 
         return rows.mapInArrow(lambda batches: work(products(batches)), schema)
 
@@ -120,21 +159,21 @@ class Decomposition:
 
         def work(products):
             r = np.zeros((0, columns))
-            for _, y, _ in products:
-                r = _factor(np.vstack([r, y]))
+            for _, block, m in products:
+                r = _factor(np.vstack([r, block.times(m)]))
             yield pa.RecordBatch.from_arrays([_binary(r)], ["r"])
 
         return self._joined(self._pass(work, "r binary"))
 
-    def turned(self, left: np.ndarray) -> DataFrame:
-        """j, z: the rows' transpose times their orthonormal product; sums are made in tasks, then by feature."""
+    def turned(self, left: np.ndarray | None = None) -> DataFrame:
+        """j, z: the rows' transpose times their product with the matrix (and left, which makes it orthonormal); sums are made in tasks, then by feature."""
         width, columns = self.width, self.columns
 
         def work(products):
             z, met = np.zeros((width, columns)), np.zeros(width, bool)
-            for _, y, (row, at, x) in products:
-                np.add.at(z, at, (y @ left)[row] * x[:, None])
-                met[at] = True
+            for _, block, m in products:
+                block.add_turned(z, m, left)
+                met[block.at] = True
             j = np.flatnonzero(met)
             if len(j):
                 yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), *(pa.array(z[j, c]) for c in range(columns))], ["j", *(f"z{c}" for c in range(columns))])
@@ -144,7 +183,7 @@ class Decomposition:
         return written(sums.select("j", F.array(*(f"z{c}" for c in range(columns))).alias("z")), "turned")
 
     def placed(self, turned: DataFrame) -> DataFrame:
-        """The table of features as the matrix of the next pass: one row of fixed size."""
+        """The table of features, its columns made orthonormal, as the matrix of the next pass: one row of fixed size."""
         width, columns = self.width, self.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +191,7 @@ class Decomposition:
             for batch in batches:
                 if batch.num_rows:
                     m[batch.column("j").to_numpy()] = batch.column("z").flatten().to_numpy().reshape(-1, columns)
-            yield pa.RecordBatch.from_arrays([_binary(m / max(np.abs(m).max(), 1e-300))], ["m"])
+            yield pa.RecordBatch.from_arrays([_binary(np.linalg.qr(m / max(np.abs(m).max(), 1e-300))[0])], ["m"])
 
         return written(turned.coalesce(1).mapInArrow(run, "m binary"), "matrix")
 
@@ -160,7 +199,7 @@ class Decomposition:
         """(singular values, rows' features: key, features; features' directions: j, direction), k of each: features are left vectors times values."""
         columns, k = self.columns, self.k
         for _ in range(ITERATIONS):
-            self.right = self.placed(self.turned(_whitening(self.left_factor())))
+            self.right = self.placed(self.turned())
         left = _whitening(self.left_factor())
         turned = self.turned(left)
 
@@ -178,8 +217,8 @@ class Decomposition:
         key, to_features = self.key, left @ u * s
 
         def work(products):
-            for keys, y, _ in products:
-                f = y @ to_features
+            for keys, block, m in products:
+                f = block.times(m) @ to_features
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1) * f.shape[1], pa.int32()), pa.array(f.ravel()))
                 yield pa.RecordBatch.from_arrays([keys, values], [key, "features"])
 

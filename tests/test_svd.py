@@ -52,3 +52,25 @@ def test_odd_entries(spark):
     assert np.allclose(values, [4, 2, 0]) and sorted(repr(r[0]) for r in found.collect()) == ["1", "None"]
     values, found, directions = svd.truncated(spark.createDataFrame([], SCHEMA), "row", 3, 2)
     assert np.allclose(values, 0) and found.count() == 0 and directions.count() == 0
+
+
+@pytest.mark.parametrize("thin", [0, 10**9])
+def test_a_block_multiplies_as_its_matrix(monkeypatch, thin):
+    """Dense slices (some to a block) and single entries; an iteration is one pass, not two."""
+    monkeypatch.setattr(svd, "THIN", thin)
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(23, 40)) * (rng.random((23, 40)) < 0.2)
+    a[:, 0] = 1
+    row, at = np.nonzero(a)
+    block = svd._Block(np.cumsum(np.bincount(row)), at, a[row, at], np.zeros((5, 40)))
+    m, left, z = rng.normal(size=(40, 6)), rng.normal(size=(6, 6)), np.ones((40, 6))
+    assert np.allclose(block.times(m), a @ m)
+    block.add_turned(z, m, left)
+    assert np.allclose(z, 1 + a.T @ a @ m @ left) and not block.buffer.any()
+
+
+def test_an_iteration_reads_the_rows_once(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(svd.Decomposition, "_pass", lambda *a, f=svd.Decomposition._pass: (passes.append(1), f(*a))[1])
+    svd.truncated(spark.createDataFrame(entries_of(np.eye(6)), SCHEMA), "row", 6, 2)
+    assert len(passes) == svd.ITERATIONS + 3
