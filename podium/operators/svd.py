@@ -35,9 +35,8 @@ def _binary(x: np.ndarray) -> pa.Array:
 
 def _packed(entries: DataFrame, key: str, width: int) -> DataFrame:
     """keys, ends, at, x: blocks of rows, of entries (key, j, x); equal places of a row are summed."""
-    cells = entries.filter(F.col("j").between(0, width - 1) & F.col("x").isNotNull()).groupBy(key, "j").agg(F.sum("x").alias("x"))
-    rows = cells.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("j").cast("int").alias("j"), F.col("x").cast("double").alias("x")))).alias("e"))
-    rows = rows.select(key, F.col("e.j").alias("at"), F.col("e.x").alias("x"))
+    kept = entries.filter(F.col("j").between(0, width - 1) & F.col("x").isNotNull()).select(key, F.col("j").cast("int").alias("j"), F.col("x").cast("double").alias("x"))
+    rows = kept.groupBy(key).agg(F.collect_list(F.struct("j", "x")).alias("e")).select(key, F.col("e.j").alias("at"), F.col("e.x").alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,8 +47,11 @@ def _packed(entries: DataFrame, key: str, width: int) -> DataFrame:
                 last = max(first + 1, int(np.searchsorted(ends, done + ENTRIES, side="right")))
                 part = batch.slice(first, last - first)
                 at, x = (part.column(c).flatten().to_numpy() for c in ("at", "x"))
+                row = np.repeat(np.arange(len(part)), np.diff(ends[first:last], prepend=done))
+                cells, same = np.unique(row * width + at, return_inverse=True)
                 keys = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(key))
-                yield pa.RecordBatch.from_arrays([keys, _binary(ends[first:last] - done), _binary(at), _binary(x)], ["keys", "ends", "at", "x"])
+                counts = np.bincount(cells // width, minlength=len(part))
+                yield pa.RecordBatch.from_arrays([keys, _binary(np.cumsum(counts)), _binary(cells % width), _binary(np.bincount(same, x))], ["keys", "ends", "at", "x"])
                 first = last
 
     return rows.mapInArrow(run, f"keys array<{dict(entries.dtypes)[key]}>, ends binary, at binary, x binary")
